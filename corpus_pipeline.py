@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontam, toxicity
+from inkwell.llm import decontam, mixing, sharding, simhash, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,20 +17,57 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, carry=True).where(F.col("predicted") == 0).select("_row.*")
 
 
+#: Near copies: five-word shingles, a similarity of 0.8 or more. Candidates come from fingerprints of the distinct words,
+#: which an edit changes in one place where it changes five shingles.
+NEAR = {"width": 1, "distinct": True, "bits": 5, "verify": (5, 0.8)}
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of the smallest id stays; of rows that share an id one stays."""
+    first = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    groups = simhash.group_near_duplicates(docs, **NEAR)
+    gone = groups.where(F.col("doc_id").cast("long") != F.col("component_id")).select(first.alias("_gone")).distinct()
+    kept = docs.withColumn("_gone", first).join(gone, "_gone", "left_anti").drop("_gone")
+    ids = kept.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
+    if ids.isEmpty():
+        return kept
+    return kept.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(ids, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
-    marked = decontam.mark_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
+    marked = decontam.mark_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True, min_items=1)
     return marked.where(~F.col("contaminated")).select("_row.*")
 
 
-STAGES = [("toxicity", drop_toxic), ("decontamination", decontaminate)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No document goes; those of domains below their target weight are repeated as often as their rate says."""
+    return mixing.repeat_to_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), least=1.0)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and place of every row."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates), ("decontamination", decontaminate), ("mixing", mix_sources), ("sharding", shard)]
 
 #: The stages score with fitted models, so SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each stage's rows are written to the shared folder and read back by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(spark, docs)
     return docs
+
+
+def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp()
+    path = f"{folder}/pipeline-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontam, quality, secrets, toxicity, urls
+from inkwell.llm import decontam, mixing, quality, secrets, sharding, simhash, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.contract,
+        "op4_simhash_near_dedup": simhash.contract,
         "op5_toxicity": toxicity.contract,
         "op6_url_filters": urls.contract,
         "op7_quality_rules": quality.contract,
         "op8_secret_scans": secrets.contract,
         "op9_decontamination": decontam.contract,
+        "op10_sharding": sharding.contract,
     }
 
 
