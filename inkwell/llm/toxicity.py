@@ -14,8 +14,9 @@ from inkwell.llm.common import WORDS, crc_mod, documents, map_docs, ship
 
 #: Labelled examples in the index, at most, of label 1 and of label 0 (those first in hash order).
 MOST_EXAMPLES = {1: 2000, 0: 6000}
-#: Terms of the index: at most so many, with this z-score at least of occurring more often under label 1.
-MOST_TERMS, LEAST_Z = 4096, 4.0
+#: Terms of the index: at most so many, in this share of the texts of label 1 at least, and with this z-score at least of
+#: occurring more often there. Texts count once, however many copies the sample has, so that copies don't make terms.
+MOST_TERMS, LEAST_SHARE, LEAST_Z = 4096, 0.01, 6.0
 NEIGHBOURS = 15
 #: Weight of the prior in a vote, as so much cosine.
 PRIOR_WEIGHT = 0.05
@@ -60,17 +61,21 @@ class BlockMaxIndex:
             return []
         ts, qs = list(vector), np.array(list(vector.values()))
         bound = qs @ self.most[ts]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+        cosine, found = np.zeros(0), np.zeros(0, np.int64)
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] <= 0 or len(found) == k and bound[b] < cosine[-1] - 1e-9:
                 break
             dots = np.zeros(BLOCK)
             for t, q in zip(ts, qs):
                 lo, hi = self.edge[t][b], self.edge[t][b + 1]
-                dots[self.example[t][lo:hi] - b * BLOCK] += q * self.weight[t][lo:hi]
-            best += [(-round(dots[i], 9), int(b * BLOCK + i)) for i in np.flatnonzero(dots > 0) if b * BLOCK + i != skip]
-            best = sorted(best)[:k]
-        return [(-c, e) for c, e in best]
+                if lo < hi:
+                    dots[self.example[t][lo:hi] - b * BLOCK] += q * self.weight[t][lo:hi]
+            hit = np.flatnonzero(dots)
+            hit = hit[hit != skip - b * BLOCK]
+            cosine, found = np.append(cosine, np.round(dots[hit], 9)), np.append(found, hit + b * BLOCK)
+            best = np.lexsort((found, -cosine))[:k]
+            cosine, found = cosine[best], found[best]
+        return list(zip(cosine.tolist(), found.tolist()))
 
 
 class ToxicityModel:
@@ -78,6 +83,7 @@ class ToxicityModel:
 
     def __init__(self, index: BlockMaxIndex, names: list[str], y: np.ndarray, weight: np.ndarray, vectors: list[dict[int, float]], k: int = NEIGHBOURS):
         self.index, self.names, self.y, self.weight, self.k = index, names, y, weight, k
+        self.words = {t: w for w, t in index.terms.items()}
         self.prior = float((y * weight).sum() + 0.5) / float(weight.sum() + 1)
         bare = np.array([not v for v in vectors], bool)
         self.bare = float((y * weight)[bare].sum() + self.prior) / float(weight[bare].sum() + 1)
@@ -97,9 +103,8 @@ class ToxicityModel:
         if not v:
             return self.bare, [], []
         near = self.index.nearest(v, self.k)
-        words = {t: w for w, t in self.index.terms.items()} if near else {}
         strongest = sorted(v, key=lambda t: (-v[t], t))[:5]
-        return float(np.interp(self.vote(near), self.knots, self.levels)), [e for _, e in near], [words[t] for t in strongest if near]
+        return float(np.interp(self.vote(near), self.knots, self.levels)), [e for _, e in near], [self.words[t] for t in strongest if near]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,6 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: dict[int, int] = M
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         few = part if few is None else few.unionAll(part)
     sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    once = sample.groupBy("text", "y").agg(F.min("doc_id").alias("doc_id"))  # at most as many as ``most`` says
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -153,11 +159,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: dict[int, int] = M
         words = [w for w in seen[1] if len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["w", "d1", "d0"])
 
-    n = {y: min(total.get(y, 0), most[y]) for y in (0, 1)}
-    counts = sample.mapInArrow(frequencies, "w binary, d1 long, d0 long").groupBy("w").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
+    n = {0: 0, 1: 0} | {r.y: r["count"] for r in once.groupBy("y").count().collect()}
+    counts = once.mapInArrow(frequencies, "w binary, d1 long, d0 long").groupBy("w").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
     share = (F.col("d1") + F.col("d0") + 0.5) / float(n[0] + n[1] + 1)
     z = (F.col("d1") / float(max(n[1], 1)) - F.col("d0") / float(max(n[0], 1))) / F.sqrt(share * (1 - share) * (1 / max(n[1], 1) + 1 / max(n[0], 1)))
-    terms = counts.where((F.col("d1") >= 3) & (share < 1)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(MOST_TERMS).collect()
+    terms = counts.where((F.col("d1") >= max(3, LEAST_SHARE * n[1])) & (share < 1)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(MOST_TERMS).collect()
     words = sorted(bytes(r.w) for r in terms)
     df = {bytes(r.w): r.d1 * total.get(1, 0) / max(n[1], 1) + r.d0 * total.get(0, 0) / max(n[0], 1) for r in terms}
     everything = sum(total.values())
@@ -173,6 +179,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: dict[int, int] = M
     rows = sorted(sample.mapInArrow(vectors, "doc_id string, y int, w array<binary>, c array<long>").collect(), key=lambda r: (r.doc_id, r.w, r.c))
     shell = BlockMaxIndex(words, idf, [])
     examples = [shell.vector(Counter({bytes(w): c for w, c in zip(r.w, r.c)})) for r in rows]
+    # examples with like terms stand together, which makes the bounds of blocks sharp
+    near = sorted(range(len(rows)), key=lambda e: (not examples[e], sorted(examples[e]), rows[e].doc_id))
+    rows, examples = [rows[e] for e in near], [examples[e] for e in near]
+    n = Counter(r.y for r in rows)
     y = np.array([r.y for r in rows], float)
     weight = np.array([total[r.y] / n[r.y] for r in rows], float)
     return ToxicityModel(BlockMaxIndex(words, idf, examples), [r.doc_id for r in rows], y, weight, examples)
