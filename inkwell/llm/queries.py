@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from inkwell.llm import decontam, mixing, quality, secrets, sharding, simhash, suffix_dedup, toxicity, urls
+from inkwell.llm import decontam, lm_scoring, mixing, quality, secrets, sharding, simhash, suffix_dedup, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.contract,
+        "op2_lm_scoring": lm_scoring.contract,
         "op3_suffix_dedup": suffix_dedup.contract,
         "op4_simhash_near_dedup": simhash.contract,
         "op5_toxicity": toxicity.contract,
