@@ -79,6 +79,8 @@ def search(tests: TestSuffixes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def longest(tests: TestSuffixes, window: np.ndarray, start: np.ndarray, doc: np.ndarray, first: np.ndarray) -> dict[int, tuple[int, int, int]]:
     """By document: words, item and place of the longest verbatim match. Windows that follow on in both texts form one match."""
+    if not len(window):
+        return {}
     order = np.lexsort((start, start - tests.at[window], tests.item[window], doc))
     window, start, doc = window[order], start[order], doc[order]
     item, at = tests.item[window], tests.at[window]
