@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from inkwell.llm.common import documents, ship
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES, PIECE, BUCKET_KEYS = 8 << 20, 1 << 20, 1 << 20
+BLOCK_BYTES, PIECE, BUCKET_KEYS = 8 << 20, 1 << 20, 1 << 18
 #: Keys for each byte of text, about 2 / (windows that a gram can be the least of, and one).
 KEYS_PER_BYTE = 2 / (LENGTH - GRAM + 2)
-BATCH = 1 << 18
+BATCH = 1 << 20
 #: Rows without an id come after all others.
 NO_ID = (1 << 63) - 1
 _rng = np.random.default_rng(50)
@@ -49,8 +49,13 @@ def gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
         n = len(part) - span
         part = part[:n] * np.uint64(pow(FACTOR, span, 1 << 64)) + part[span : span + n]
         span *= 2
-    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
+    return mixed(out)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Scatter 64-bit values, one to one."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -100,7 +105,7 @@ class Stretches:
         cols[0].append(np.array([p[0] for p in pieces])[piece])
         cols[1].append(begin - (ends - sizes)[piece] + np.array([p[1] for p in pieces])[piece])
         cols[2].append(size)
-        cols[3].append(least[begin])
+        cols[3].append(mixed(least[begin] + np.uint64(1)))  # least values crowd near zero
         cols[4].append(begin + (len(self.buffers) << 32))
         self.buffers.append(buffer)
 
@@ -176,26 +181,25 @@ def repeats(owner: np.ndarray, start: np.ndarray, size: np.ndarray, data: bytes)
     place = np.cumsum(size) - size
     family, out, k = SuffixFamily(), [], 0
     # batches end between owners and hold BATCH bytes or one owner
-    total = np.cumsum(size[order])
+    total, ordered = np.cumsum(size[order]), owner[order]
     while k < len(order):
         end = int(np.searchsorted(total, (total[k - 1] if k else 0) + BATCH, "right"))
-        end = int(np.searchsorted(owner[order], owner[order[min(max(end, k + 1), len(order)) - 1]], "right"))
+        end = int(np.searchsorted(ordered, ordered[min(max(end, k + 1), len(order)) - 1], "right"))
         pick = order[k:end]
         part = b"".join([data[place[i] : place[i] + size[i]] for i in pick])
         at, o, m = suffixes(part, size[pick])
         n = size[pick] - LENGTH + 1
         which = np.repeat(np.arange(len(pick)), n)
         hit = family.add(o, m, owner[pick][which])
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
         # a span ends where its stretch does
-        begin, stop = edge[::2], edge[1::2]
+        new, old = np.ones(len(hit), bool), np.ones(len(hit), bool)
+        new[1:] = ~hit[:-1] | (which[1:] != which[:-1])
+        old[:-1] = ~hit[1:] | (which[1:] != which[:-1])
+        begin, last = np.flatnonzero(hit & new), np.flatnonzero(hit & old)
         if len(begin):
-            bounds = np.cumsum(n)
-            cuts = [np.unique(np.concatenate(([b], bounds[np.searchsorted(bounds, b, "right") : np.searchsorted(bounds, e, "left")], [e]))) for b, e in zip(begin, stop)]
-            begin, stop = np.concatenate([c[:-1] for c in cuts]), np.concatenate([c[1:] for c in cuts])
             w = which[begin]
             offset = start[pick][w] - (np.cumsum(size[pick]) - size[pick])[w]
-            out.append((pick[w], at[begin] + offset, at[stop - 1] + offset + LENGTH))
+            out.append((pick[w], at[begin] + offset, at[last] + offset + LENGTH))
         k = end
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -317,9 +321,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         which, begin, end = repeats(owner, start, size, b"".join(cols["data"]))
         spans = np.stack([np.concatenate(rows_)[which], begin, end], axis=1)
         row = whose[which]
-        out = []
-        for k, done in enumerate(cols["done"]):
-            out.append(spans[row == k].tobytes() + done)
+        by_row = np.argsort(row, kind="stable")
+        edge = np.searchsorted(row[by_row], np.arange(len(id_of) + 1))
+        out = [spans[by_row[edge[k] : edge[k + 1]]].tobytes() + done for k, done in enumerate(cols["done"])]
         return pa.table({"block": pa.array(cols["block"], pa.int32()), "spans": pa.array(out, pa.binary())})
 
     id_type = docs.schema["doc_id"].dataType
