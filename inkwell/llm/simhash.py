@@ -123,11 +123,22 @@ def run_links(fp: np.ndarray, bits: int, every: bool) -> list[tuple[int, int]]:
     return out
 
 
+def meeting(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
+    """Segment and wildcard (as in a key) under which two fingerprints meet first, of all under which they do."""
+    x, out = a ^ b, np.full(len(a), -1, np.int64)
+    for s, (low, width) in reversed(list(enumerate(cuts))):
+        part = (x >> np.uint64(low)) & np.uint64((1 << width) - 1)
+        wild = np.where(part == 0, 0, 1 + np.bitwise_count(part - np.uint64(1)).astype(np.int64))  # of a power of two: 1 + its bit
+        out = np.where(np.bitwise_count(part) <= 1, s << 6 | wild, out)
+    return out
+
+
 def links(nodes: DataFrame, bits: int, *, every: bool = False) -> DataFrame:
     """Links (u, v), u > v, between nodes (fp, node) whose fingerprints differ in at most ``bits`` bits.
 
     Each node goes to the keys of its variants; equal keys meet by one shuffle, and a run of equal keys is verified at
-    once. Runs with a deleted bit only matter where that bit differs inside, for the others have met without it.
+    once. Runs with a deleted bit only matter where that bit differs inside, for the others have met without it. A link
+    is given by the first key its ends meet under and left out by later ones: their ends are connected by then.
     """
     spark = nodes.sparkSession
     ship(spark)
@@ -142,17 +153,17 @@ def links(nodes: DataFrame, bits: int, *, every: bool = False) -> DataFrame:
             bit = (fp >> np.maximum(low + wild - 1, 0).astype(np.uint64)) & np.uint64(1)
             mixed = np.minimum.reduceat(bit, begin) != np.maximum.reduceat(bit, begin)
             want = (size > 1) & ((wild[begin] == 0) | mixed)
-            us, vs = [], []
             two = begin[want & (size == 2)]
             near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-            us.append(node[near])
-            vs.append(node[near + 1])
+            xs, ys = [near], [near + 1]
             for b, n in zip(begin[want & (size > 2)].tolist(), size[want & (size > 2)].tolist()):
                 if pairs := run_links(fp[b : b + n], bits, every):
                     x = np.array(pairs) + b
-                    us.append(node[x[:, 0]])
-                    vs.append(node[x[:, 1]])
-            u, v = np.concatenate(us), np.concatenate(vs)
+                    xs.append(x[:, 0])
+                    ys.append(x[:, 1])
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            first = meeting(fp[x], fp[y], cuts) == key[x] >> np.int64(33)
+            u, v = node[x[first]], node[y[first]]
             e = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(e[0], pa.int64()), pa.array(e[1], pa.int64())], names=["u", "v"])
 
