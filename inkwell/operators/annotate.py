@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.runtime import ship
+
 FUNCTION_POS = {"DET", "ADP", "PRON", "CCONJ", "SCONJ", "AUX", "PART"}
 CLAUSE_DEPS = {"ROOT", "conj", "ccomp", "advcl", "relcl", "acl", "xcomp", "csubj", "parataxis"}
 SUBORDINATE_DEPS = {"advcl", "ccomp", "relcl", "acl", "xcomp", "csubj", "mark"}
@@ -96,6 +98,7 @@ def features(text: str, tagger: Tagger) -> list[float]:
 
 def annotate(docs: DataFrame, key: str, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """(key, COLUMNS...) of every document, Arrow batch by Arrow batch."""
+    ship(docs.sparkSession)
     used = tagger or RuleTagger()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

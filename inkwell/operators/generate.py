@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import stats as st
 from inkwell.functions import text as tx
 from inkwell.operators import sampling
+from inkwell.runtime import ship
 
 MIN_WORDS, MIN_PARAGRAPHS, PER_MODEL = 200, 2, 50
 
@@ -91,6 +92,7 @@ def revision_plan(essays: DataFrame, key: str, text: str = "text", seed: int = 4
 
 def generate(rows: DataFrame, key: str, model: str, prompt: str, client: Callable[[], Client]) -> DataFrame:
     """(key, response, error): one call for each row. The client is made once in a task; a row that fails keeps its error."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used = client()

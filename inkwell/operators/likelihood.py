@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions import text as tx
 from inkwell.functions.stats import ratio
+from inkwell.runtime import ship
 
 CONTRACT = "doc_id string, paragraph_index int, sentence_index int, tok int, lp_base double, rank_base long, ent_base double, lp_alt double, error string"
 
@@ -83,8 +84,10 @@ def document_means(sentences: DataFrame, key: str) -> DataFrame:
 
 def score_with(sentences: DataFrame, scorer: Callable[[], Callable[[str, int], list[tuple]]]) -> DataFrame:
     """Fill the contract through Arrow. ``scorer`` is called once in a task (load the model there) and gives a function of
-    (paragraph, start of the sentence in it) that returns (lp, rank, entropy, lp_alt) rows. A sentence that fails gives one
-    row with the error, and the others go on. sentences: (doc_id, paragraph_index, sentence_index, paragraph, char_start)."""
+    (paragraph up to the sentence's end, start of the sentence in it) that returns (lp, rank, entropy, lp_alt) rows. A
+    sentence that fails gives one row with the error, and the others go on. sentences: as ``segment.sentence_offsets``
+    makes them, with doc_id as the key."""
+    ship(sentences.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
@@ -94,9 +97,10 @@ def score_with(sentences: DataFrame, scorer: Callable[[], Callable[[str, int], l
             for r in b.itertuples(index=False):
                 place = (str(r.doc_id), r.paragraph_index, r.sentence_index)
                 try:
-                    rows += [(*place, k, *t, None) for k, t in enumerate(score(r.paragraph, r.char_start))]
+                    rows += [(*place, k, *t, None) for k, t in enumerate(score(r.context, r.char_start))]
                 except Exception as e:  # noqa: BLE001
                     rows.append((*place, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=names).astype({"tok": "Int32", "rank_base": "Int64"})
 
-    return sentences.select("doc_id", "paragraph_index", "sentence_index", "paragraph", "char_start").mapInPandas(run, CONTRACT)
+    context = F.substr("paragraph", F.lit(1), F.col("char_end").cast("int")).alias("context")
+    return sentences.select("doc_id", "paragraph_index", "sentence_index", context, "char_start").mapInPandas(run, CONTRACT)

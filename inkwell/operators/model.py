@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import stats as st
 
-MAX_ITERATIONS, PENALTY = 1000, 1.0
+MAX_ITERATIONS, PENALTY, TOLERANCE = 1000, 1.0, 1e-5
 MIN_WORDS = 150
 
 FAMILIES = {
@@ -28,7 +28,7 @@ FAMILIES = {
 def logistic(features: list[str], n: int, name: str = "margin") -> Pipeline:
     """L2 with the penalty of C = 1 over n rows; the intercept is free. Missing features count as 0, the mean."""
     fill = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[fill, LogisticRegression(labelCol="label", regParam=1 / (PENALTY * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=MAX_ITERATIONS, rawPredictionCol=name)])
+    return Pipeline(stages=[fill, LogisticRegression(labelCol="label", regParam=1 / (PENALTY * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=MAX_ITERATIONS, tol=TOLERANCE, rawPredictionCol=name)])
 
 
 def filled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -73,11 +73,13 @@ class CalibratedModel:
 
 def fit(df: DataFrame, key: str, features: list[str], *, seed: int = 42, method: str = "isotonic", folds: int = 3) -> CalibratedModel:
     """df: the key, ``label`` (0 or 1) and the features. Folds are by hash; there are min(folds, smallest class), two at least."""
-    counts = {r.label: r["count"] for r in df.groupBy("label").count().collect()}
+    base = filled(df, features).select(key, F.col("label").cast("double").alias("label"), *features).persist()  # numbers alone; read by every fit
+    counts = {r.label: r["count"] for r in base.groupBy("label").count().collect()}
     if len(counts) < 2:
+        base.unpersist()
         raise ValueError("both classes are needed")
     folds = max(2, min(folds, min(counts.values())))
-    rows = filled(df, features).withColumn("label", F.col("label").cast("double")).withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
+    rows = base.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
     n, out = sum(counts.values()), CalibratedModel(features, method=method)
     for k in range(folds):
         model = logistic(features, n * (folds - 1) // folds).fit(rows.where(F.col("_fold") != k))
@@ -85,9 +87,10 @@ def fit(df: DataFrame, key: str, features: list[str], *, seed: int = 42, method:
         if method == "isotonic":
             calibrator = IsotonicRegression(featuresCol="_m", labelCol="label").fit(held)
         else:
-            calibrator = Pipeline(stages=[VectorAssembler(inputCols=["_m"], outputCol="features"), LogisticRegression(labelCol="label", maxIter=MAX_ITERATIONS)]).fit(held)
+            calibrator = Pipeline(stages=[VectorAssembler(inputCols=["_m"], outputCol="features"), LogisticRegression(labelCol="label", maxIter=MAX_ITERATIONS, tol=TOLERANCE)]).fit(held)
         out.folds.append((model, calibrator))
     out.plain = logistic(features, n).fit(rows)
+    base.unpersist()
     return out
 
 
@@ -96,7 +99,7 @@ def ablation(df: DataFrame, key: str, features: list[str], families: dict[str, l
     from inkwell.operators.metrics import auc
     from inkwell.operators.sampling import train_test
 
-    parts = train_test(df, key, "label")
+    parts = train_test(df, key, "label").persist()
     out: list[tuple[str, float | None]] = []
     for name, dropped in [("full", []), *families.items()]:
         left = [c for c in features if not any(c == d or c == f"{d}_z" for d in dropped)]
@@ -105,6 +108,7 @@ def ablation(df: DataFrame, key: str, features: list[str], families: dict[str, l
             out.append((name, auc(model.score(parts.where("split = 'test'")), "probability", "label").first().auc))
         except Exception:  # noqa: BLE001
             out.append((name, None))
+    parts.unpersist()
     return out
 
 

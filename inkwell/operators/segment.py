@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.functions import text as tx
 
@@ -22,9 +23,8 @@ def sentences(docs: DataFrame, key: str, text: str, delimiter: str = "\n\n") ->
 def sentence_offsets(docs: DataFrame, key: str, text: str, delimiter: str = "\n\n") -> DataFrame:
     """Sentences with the places where they begin and end in their paragraph (code points, end exclusive), empty ones kept."""
     parts = F.regexp_extract_all("paragraph", F.lit(tx.SENTENCE), F.lit(0))
-    rows = paragraphs(docs, key, text, delimiter).withColumn("_raw", parts)
-    rows = rows.withColumn("_end", F.transform("_raw", lambda _, i: F.aggregate(F.slice("_raw", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x))))
-    rows = rows.select(key, "paragraph_index", "paragraph", F.posexplode(F.arrays_zip(F.col("_raw").alias("raw"), F.col("_end").alias("end"))).alias("sentence_index", "s"))
-    start = F.col("s.end") - F.length("s.raw")
-    lead = F.length("s.raw") - F.length(F.regexp_replace("s.raw", rf"\A{tx.WS}+", ""))
-    return rows.select(key, "paragraph_index", "sentence_index", tx.strip(F.col("s.raw")).alias("text"), (start + lead).alias("char_start"), F.col("s.end").alias("char_end"), "paragraph")
+    rows = paragraphs(docs, key, text, delimiter).select(key, "paragraph_index", "paragraph", F.posexplode(parts).alias("sentence_index", "_raw"))
+    upto = Window.partitionBy(key, "paragraph_index").orderBy("sentence_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("char_end", F.sum(F.length("_raw")).over(upto))
+    lead = F.length("_raw") - F.length(F.regexp_replace("_raw", rf"\A{tx.WS}+", ""))
+    return rows.select(key, "paragraph_index", "sentence_index", tx.strip(F.col("_raw")).alias("text"), (F.col("char_end") - F.length("_raw") + lead).alias("char_start"), "char_end", "paragraph")

@@ -21,20 +21,34 @@ NATIVE = ["sent_len_mean", "sent_len_std", "sent_len_burstiness", "mattr", "hapa
 
 
 def mattr(w: Column, window: int = WINDOW) -> Column:
-    """Moving-average type-token ratio over every window of words; the plain ratio of a text no longer than one."""
+    """Moving-average type-token ratio over every window of words; the plain ratio of a text no longer than one.
+
+    A word counts in those windows where it is the first of its kind: the windows that hold its place and not the place
+    of the same word before it. So one pass over the sorted (word, place) pairs sums up all windows. w must be a column
+    of its own, not an expression, which each step would evaluate again."""
     n = F.size(w)
-    plain = F.size(F.array_distinct(w)) / n
-    shares = F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.size(F.array_distinct(F.slice(w, i, window))) / F.lit(float(window)))
-    mean = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) / F.size(shares)
-    return F.when(n < 2, 0.0).when(n <= window, plain).otherwise(mean)
+    pairs = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    start = F.struct(F.lit("").alias("w"), F.lit(-1).alias("i"), F.lit(0).cast("long").alias("t"))
+
+    def step(a: Column, x: Column) -> Column:
+        before = F.when(a["w"] == x["w"], a["i"]).otherwise(-1)
+        held = F.least(x["i"], n - window) - F.greatest(x["i"] - (window - 1), before + 1, F.lit(0)) + 1
+        return F.struct(x["w"].alias("w"), x["i"].alias("i"), (a["t"] + F.greatest(held, F.lit(0))).alias("t"))
+
+    moving = F.aggregate(pairs, start, step, lambda a: a["t"]) / (F.lit(float(window)) * (n - window + 1))
+    return F.when(n < 2, 0.0).when(n <= window, F.size(F.array_distinct(w)) / n).otherwise(moving)
 
 
 def hapax_rate(w: Column) -> Column:
-    """Types that occur once, for each token. Sorted, such a word differs from both neighbours."""
-    s = F.array_sort(w)
-    n = F.size(s)
-    alone = F.filter(F.transform(s, lambda x, i: (i.eqNullSafe(0) | (F.get(s, i - 1) != x)) & ((i == n - 1) | (F.get(s, i + 1) != x))), lambda b: b)
-    return ratio(F.size(alone), n)
+    """Types that occur once, for each token, by one pass over the sorted words."""
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("once"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = a["w"] == x
+        return F.struct(x.alias("w"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), (a["once"] + F.when(~same & (a["run"] == 1), 1).otherwise(0)).alias("once"))
+
+    once = F.aggregate(F.array_sort(w), start, step, lambda a: a["once"] + F.when(a["run"] == 1, 1).otherwise(0))
+    return ratio(once, F.size(w))
 
 
 def mean(xs: Column) -> Column:

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from inkwell.plans import relational
+from pyspark.sql import DataFrame, SparkSession
 
-MODULES = [relational]
+from inkwell.operators import baseline
+from inkwell.operators.stylometry import NATIVE, native_features
+from inkwell.plans import evaluation, relational, textual
+from inkwell.plans import roles as ro
+
+MODULES = [relational, textual, evaluation]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts, native stylometric features, band statistics, and z-scores against them."""
+    first = relational.text_hash_dedup(spark, sf_dir)
+    docs = ro.docs(spark, sf_dir).join(first.select("doc_id"), "doc_id", "left_semi")
+    rows = native_features(docs, "doc_id").withColumnRenamed("n_words", "word_count")
+    return baseline.zscore(rows, NATIVE, baseline.baseline_stats(rows, NATIVE)).select("doc_id", "word_count", *NATIVE, *(f"{c}_z" for c in NATIVE))
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.Q.items()}
+    return {"stylometric_zscores": flagship} | {k: v for m in MODULES for k, v in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,7 +58,7 @@ SCORED = f"{CORPUS}, scored AS (SELECT doc_id, floor((0.6::DOUBLE * {UNIT.format
 FEATURES = f"""w AS (SELECT doc_id, lang, {WORDS.format('text')} AS w FROM documents),
 features AS (SELECT doc_id, lang, len(w)::BIGINT AS word_count,
   CASE WHEN len(w) < 2 THEN 0::DOUBLE WHEN len(w) <= 50 THEN list_unique(w)::DOUBLE / len(w)
-    ELSE list_sum(list_transform(range(1, len(w) - 48), lambda i: list_unique(w[i:i + 49])::DOUBLE / 50)) / (len(w) - 49) END AS mattr,
+    ELSE list_sum(list_transform(range(1, len(w) - 48), lambda i: list_unique(w[i:i + 49])))::DOUBLE / (50.0::DOUBLE * (len(w) - 49)) END AS mattr,
   CASE WHEN len(w) = 0 THEN 0::DOUBLE ELSE length(array_to_string(w, ''))::DOUBLE / len(w) END AS mean_word FROM w),
 banded AS (SELECT *, CASE WHEN word_count < 250 THEN 'short' WHEN word_count < 500 THEN 'medium' ELSE 'long' END AS band FROM features)"""
 SENTENCES = r"""raw AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS sent FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*') AS l FROM documents)),
