@@ -107,8 +107,18 @@ def fit_words(docs: DataFrame) -> tuple[WordModel, DataFrame, dict[str, int]]:
     counts = cut(count_words(docs))
     r = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("words"), F.count_if(F.col("c") == 1).alias("once")).first()
     total = {k: int(r[k] or 0) for k in ("n", "words", "once")}
-    # words seen once stay out of the head, so that its groups never hold what unknown words are like
-    top = counts.where((F.col("seen") > 1) | (F.col("word") == END)).orderBy((F.col("word") == END).desc(), F.desc("seen"), "word").limit(GROUP_RANKS[-1]).collect()
+    # The head are the words above a number of occurrences that so many have at most; a histogram of sixteenths of powers
+    # of two finds it, so no more than the head comes to the driver. Words seen once stay out, and its groups never hold
+    # what unknown words are like.
+    bins, least = counts.where("seen > 1").groupBy(F.floor(F.log2("seen") * 16).alias("bin")).count().orderBy(F.desc("bin")).collect(), 1 << 62
+    room = GROUP_RANKS[-1] - 1
+    for r in bins:
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.bin
+    top = counts.where(((F.col("seen") > 1) & (F.floor(F.log2("seen") * 16) >= least)) | (F.col("word") == END)).collect()
+    top.sort(key=lambda x: (x.word != END, -x.seen, x.word))
     head = [(bytes(x.word), x.c) for x in top] or [(END, 0)]
     train = docs.where((crc_mod("doc_id", 7) != 2) & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text")
     sample = train.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_TEXTS).collect()
