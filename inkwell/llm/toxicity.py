@@ -31,22 +31,19 @@ def term_counts(text: bytes) -> Counter:
 
 
 class BlockMaxIndex:
-    """Inverted index of unit TF-IDF vectors. Postings of a term are sorted by example; for each block of examples the
-    term's largest weight is kept, so a block whose bound can't reach the best k is never opened. Results are exact."""
+    """Inverted index of unit TF-IDF vectors, its postings cut into blocks of examples. For each term and block the
+    largest weight is kept, so a block whose bound can't reach the best k is never opened. Results are exact."""
 
     def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[dict[int, float]]):
         self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
         self.size, self.blocks = len(examples), -(-len(examples) // BLOCK)
-        posts: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for e, vector in enumerate(examples):
-            for t, w in vector.items():
-                posts[t].append((e, w))
-        self.example = [np.array([e for e, _ in p], np.int64) for p in posts]
-        self.weight = [np.array([w for _, w in p], float) for p in posts]
-        self.edge = [np.searchsorted(e, np.arange(self.blocks + 1) * BLOCK) for e in self.example]
         self.most = np.zeros((len(terms), self.blocks))
-        for t, (e, w) in enumerate(zip(self.example, self.weight)):
-            np.maximum.at(self.most[t], e // BLOCK, w)
+        self.postings = []
+        for b in range(self.blocks):
+            own = [(t, e, w) for e, vector in enumerate(examples[b * BLOCK : (b + 1) * BLOCK]) for t, w in vector.items()]
+            term, example, weight = (np.array([p[k] for p in own], kind) for k, kind in enumerate((np.int64, np.int64, float)))
+            np.maximum.at(self.most[:, b], term, weight)
+            self.postings.append((term, example, weight))
 
     def vector(self, counts: Counter) -> dict[int, float]:
         """Unit vector, (1 + ln tf) * idf, over the index's terms; empty if the text has none of them."""
@@ -60,16 +57,15 @@ class BlockMaxIndex:
         if not vector or not self.size:
             return []
         ts, qs = list(vector), np.array(list(vector.values()))
+        query = np.zeros(len(self.terms))
+        query[ts] = qs
         bound = qs @ self.most[ts]
         cosine, found = np.zeros(0), np.zeros(0, np.int64)
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(found) == k and bound[b] < cosine[-1] - 1e-9:
                 break
-            dots = np.zeros(BLOCK)
-            for t, q in zip(ts, qs):
-                lo, hi = self.edge[t][b], self.edge[t][b + 1]
-                if lo < hi:
-                    dots[self.example[t][lo:hi] - b * BLOCK] += q * self.weight[t][lo:hi]
+            term, example, weight = self.postings[b]
+            dots = np.bincount(example, query[term] * weight, BLOCK)
             hit = np.flatnonzero(dots)
             hit = hit[hit != skip - b * BLOCK]
             cosine, found = np.append(cosine, np.round(dots[hit], 9)), np.append(found, hit + b * BLOCK)
@@ -198,14 +194,22 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, carry: bool = False
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        from hashlib import blake2b
         from zlib import crc32
 
+        seen: dict[bytes, tuple] = {}  # like vectors need one search; of bounded size
+
         def fn(ids: list, texts: list[bytes]) -> dict:
             m, out = held.value, []
+            if len(seen) > 20_000:
+                seen.clear()
             for i, t in zip(ids, texts):
                 words = t.translate(WORDS).split()
                 found = Counter([w for w in words if w in m.index.terms])
-                score, near, terms = m.score(found)
+                key = blake2b(repr(sorted(found.items())).encode(), digest_size=16).digest()
+                if key not in seen:
+                    seen[key] = m.score(found)
+                score, near, terms = seen[key]
                 score = round(min(1.0, max(0.0, score)), 9)
                 out.append((crc32(str("" if i is None else i).encode()) % 3 == 1, score, int(score >= reject_from), [m.names[e] for e in near], [w.decode("utf-8", "replace") for w in terms]))
             return {n: [r[k] for r in out] for k, (n, _) in enumerate(FIELDS)}
