@@ -121,7 +121,9 @@ def fit_words(docs: DataFrame) -> tuple[WordModel, DataFrame, dict[str, int]]:
     top.sort(key=lambda x: (x.word != END, -x.seen, x.word))
     head = [(bytes(x.word), x.c) for x in top] or [(END, 0)]
     train = docs.where((crc_mod("doc_id", 7) != 2) & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "text")
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_TEXTS).collect()
+    # ids come first, so that tasks send no texts but those of the sample
+    few = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
+    sample = sorted(train.join(F.broadcast(few), "doc_id").limit(2 * SAMPLE_TEXTS).collect(), key=lambda x: (x.doc_id, x.text))[:SAMPLE_TEXTS]
     return WordModel(head, total, [x.text.encode() for x in sample]), counts, total
 
 
