@@ -201,4 +201,17 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, carry: bool = Fa
 
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tests = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return mark_contaminated(docs, tests).drop("items", "hit_spans")
+    return mark_contaminated(docs, tests).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+UP, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD_LIST = rf"regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{DOWN}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""WITH items AS (SELECT item_id::VARCHAR AS item, {WORD_LIST} AS w FROM benchmark WHERE item_id IS NOT NULL),
+grams AS (SELECT DISTINCT item, w[j:j + {WINDOW - 1}] AS g FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS j FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(g) AS n FROM grams), d AS (SELECT doc_id, {WORD_LIST} AS w FROM documents),
+parts AS (SELECT doc_id, n, p, w[p:p + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes)),
+found AS (SELECT doc_id, n, p, item FROM parts JOIN grams USING (g)),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p FROM found) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""

@@ -100,4 +100,25 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge_urls(pages, fit_hosts(pages, page_outcomes(pages, labels)))
+    return judge_urls(pages, fit_hosts(pages, page_outcomes(pages, labels))).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level(name: str, by: str) -> str:
+    """Beta-binomial rate and concentration of the labelled groups of a level, by moments."""
+    return f"""{name}_g AS (SELECT {by}, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k FROM hosts GROUP BY {by} HAVING sum(n) > 0), {name}_p AS (SELECT sum(k) / sum(n) AS p FROM {name}_g),
+{name}_m AS (SELECT count(*) AS m, sum(n) AS n, sum(n * n) AS nn, sum(n * pow(k / n - p, 2)) AS q, any_value(p) AS p, any_value(p) * (1 - any_value(p)) AS v FROM {name}_g, {name}_p),
+{name}_s AS (SELECT coalesce(p, 0.5) AS p, CASE WHEN p IS NULL THEN 1 WHEN v <= 0 OR n - nn / n - (m - 1) <= 0 THEN 100 ELSE 1 / least(greatest((q - (m - 1) * v) / (v * (n - nn / n - (m - 1))), 0.0001), 0.9) - 1 END AS s FROM {name}_m)"""
+
+
+_REST = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)"
+SQL = rf"""WITH u AS (SELECT page_id, translate({_REST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+shown AS (SELECT page_id, try_cast(nullif(regexp_extract(path, '/(\d{{1,18}})', 1), '') AS BIGINT) AS doc_id FROM u),
+bad AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+known AS (SELECT page_id, max(bad) AS bad FROM shown JOIN bad USING (doc_id) GROUP BY 1),
+hosts AS (SELECT host, split_part(host, '.', -1) AS suffix, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS domain, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM u LEFT JOIN known USING (page_id) GROUP BY 1),
+{_level('suffix', 'suffix')}, {_level('domain', 'suffix, domain')}, {_level('host', 'host')},
+suffix_r AS (SELECT suffix, (sum(k) + any_value(s) * any_value(p)) / (sum(n) + any_value(s)) AS r FROM hosts, suffix_s GROUP BY 1),
+domain_r AS (SELECT domain, (sum(k) + any_value(s) * any_value(r)) / (sum(n) + any_value(s)) AS r FROM hosts JOIN suffix_r USING (suffix), domain_s GROUP BY 1),
+host_r AS (SELECT host, n, s, (k + s * r) / (n + s) AS m FROM hosts JOIN domain_r USING (domain), host_s),
+ruled AS (SELECT page_id, host, path, CASE {' '.join(f"WHEN (host = '{r.split('/', 1)[0]}' OR ends_with(host, '.{r.split('/', 1)[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{r}'" for r in sorted(RULES, key=lambda r: (-len(r), r)))} END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES.items())} WHEN m - {Z} * sqrt(m * (1 - m) / (n + s + 1)) > {BAD_RATE} THEN 'block' ELSE 'allow' END AS verdict FROM ruled LEFT JOIN host_r USING (host)"""
