@@ -8,10 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, since Java's \s is ASCII only.
-SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACES = r"\s\x1c-\x1f\x85\p{Z}"
 WS = f"[{SPACES}]"
 #: White space, letters, digits and underscore of any script.
-GAP = rf"[{SPACES}\p{{L}}\p{{N}}_]"
+GAP = rf"[a-zA-Z \p{{L}}\p{{N}}_{SPACES}]"
 
 # Fixed values of the feature definitions.
 DISCOURSE_MARKERS = [
@@ -26,8 +26,11 @@ NUMBER_WORDS = [
     "hundred", "thousand", "million", "billion", "trillion", "quadrillion", "gajillion", "bazillion",
 ]
 
-#: A list of three: first item, second item, an optional comma, and/or, third item.
-LIST_OF_THREE = rf"(?i)([A-Za-z]{GAP}{{0,30}}),{WS}*([A-Za-z]{GAP}{{0,30}}?)(,)?{WS}+(and|or){WS}+([A-Za-z]{GAP}{{0,30}})"
+#: A list of three: first item, second item, an optional comma, and/or, third item. Few commas begin one, and each place
+#: before a comma would try the same rest again, so commas that can't are marked (by a private character) beforehand.
+MARK = "\ue000"
+NO_LIST_COMMA = rf",(?!{WS}*+[A-Za-z]{GAP}{{0,30}}?,?{WS}+(?i:and|or){WS}+[A-Za-z])"
+LIST_OF_THREE = rf"(?=[A-Za-z][^,]{{0,30}},)([A-Za-z]{GAP}{{0,30}}+),{WS}*+([A-Za-z]{GAP}{{0,30}}?)([,\x{{e000}}])?{WS}+(?i:(and|or)){WS}+([A-Za-z]{GAP}{{0,30}})"
 NOT_JUST_BUT = rf"(?i)\bnot{WS}+(?:just|only)\b[^\n]{{0,60}}?\bbut\b(?:{WS}+also)?"
 PREAMBLE = (
     r"(?is)\A(?:here.{0,15}(?:is|s|are).{0,30}(?:revised|rewritten|corrected|paragraph|version)"
@@ -88,6 +91,11 @@ def count_pattern(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, lit_re(pattern)).cast("long")
 
 
+def lists(text: Column) -> Column:
+    """For each list of three in the text the comma before its and/or; empty where there is none."""
+    return F.regexp_extract_all(F.regexp_replace(text, NO_LIST_COMMA, MARK), lit_re(LIST_OF_THREE), F.lit(3))
+
+
 def count_homophones(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [count_pattern(text, rf"(?i)\b{p}\b") for p in HOMOPHONE_ERRORS])
 

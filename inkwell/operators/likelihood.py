@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,6 +64,22 @@ def score_tokens(grams: DataFrame, base: DataFrame, alt: DataFrame, key: str) ->
     return grams.join(scores, ["prev", "word"]).select(key, "sent", "tok", "lp_base", "rank_base", "ent_base", "lp_alt")
 
 
+def score_corpus(grams: DataFrame, in_alt: Column, key: str) -> DataFrame:
+    """The contract table of a corpus under the bigram model of all of it (base) and of the part where ``in_alt`` holds
+    (alt): as ``score_tokens`` gives it, with both models counted in one aggregate and finished inside contexts."""
+    pairs = grams.groupBy("prev", "word").agg(F.count("*").alias("n"), F.count_if(in_alt).alias("m"))
+    words = pairs.groupBy("word").agg(F.max("m").alias("m"))
+    types = words.agg(F.count("*").alias("v"), F.count_if(F.col("m") > 0).alias("w"))
+    context = Window.partitionBy("prev")
+    rows = pairs.join(F.broadcast(types))  # one row
+    rows = rows.withColumns({"all": F.sum("n").over(context) + F.col("v"), "alt": F.sum("m").over(context) + F.col("w"), "seen": F.count("*").over(context), "rank": F.rank().over(context.orderBy(F.desc("n")))})
+    p = (F.col("n") + 1) / F.col("all").cast("double")
+    rest = (F.col("v") - F.col("seen")) / F.col("all").cast("double") * F.ln(F.col("all").cast("double"))
+    rows = rows.withColumn("ent_base", F.sum(-p * F.ln(p)).over(context) + rest)
+    scores = rows.select("prev", "word", F.ln(p).alias("lp_base"), F.col("rank").cast("long").alias("rank_base"), "ent_base", F.ln((F.col("m") + 1) / F.col("alt").cast("double")).alias("lp_alt"))
+    return grams.join(scores, ["prev", "word"]).select(key, "sent", "tok", "lp_base", "rank_base", "ent_base", "lp_alt")
+
+
 def sentence_features(tokens: DataFrame, by: list[str]) -> DataFrame:
     """The seven likelihood features of each sentence with a scored token."""
     lp, rank = F.avg("lp_base"), F.avg(F.ln(F.col("rank_base").cast("double")))

@@ -69,7 +69,7 @@ def native_features(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_len", F.transform("_s", lambda s: F.size(tx.alpha_words(s)).cast("double")))
     rows = rows.withColumn("_mean", mean(F.col("_len"))).withColumn("_n", F.size("_w").cast("long"))
     rows = rows.withColumn("_std", F.sqrt(mean(F.transform("_len", lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))))))
-    rows = rows.withColumn("_lists", F.regexp_extract_all("_t", F.lit(tx.LIST_OF_THREE), F.lit(3)))
+    rows = rows.withColumn("_lists", tx.lists(F.col("_t")))
     body, per100 = F.col("_t"), ratio(F.lit(100.0), F.col("_n"))
     lists, oxford = F.size("_lists").cast("long"), F.size(F.filter("_lists", lambda g: g != ""))
     templates = tx.count_pattern(body, tx.NOT_JUST_BUT) + lists

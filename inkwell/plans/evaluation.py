@@ -145,7 +145,7 @@ def pool_labels(spark, d):
 
 def training_frame(spark, d):
     """Labelled documents with z-scored native features; the baseline are documents without a label."""
-    rows = native_features(ro.docs(spark, d), "doc_id").withColumnRenamed("n_words", "word_count")
+    rows = native_features(ro.texts(spark, d), "doc_id").withColumnRenamed("n_words", "word_count").persist()
     labels = ro.corpus(spark, d).select("doc_id", "label")
     stats = baseline.baseline_stats(rows.join(labels, "doc_id", "left_anti"), NATIVE)
     return baseline.zscore(rows.join(labels, "doc_id"), NATIVE, stats).select("doc_id", "label", "word_count", *(f"{c}_z" for c in NATIVE))

@@ -31,7 +31,7 @@ def values(rows: list[tuple]) -> str:
 
 @query(f"SELECT {ro.HASH.format('text')} AS text_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def text_hash_dedup(spark, d):
-    rows = ro.docs(spark, d).select("doc_id", tx.text_hash(F.col("text")).alias("text_hash"))
+    rows = ro.texts(spark, d).select("doc_id", tx.text_hash(F.col("text")).alias("text_hash"))
     return joins.keep_first(rows.withColumn("o", F.col("doc_id")), ["text_hash"], ["o"]).select("text_hash", "doc_id")
 
 
@@ -40,7 +40,7 @@ f AS (SELECT h, min(doc_id) AS essay_id, arg_min(ell, doc_id) AS ell FROM r GROU
 SELECT d.doc_id, f.h AS text_hash, f.essay_id, f.ell AS ell FROM documents d JOIN f ON {ro.HASH.format('d.text')} = f.h""")
 def hash_join_demographics(spark, d):
     right = ro.corpus(spark, d).select(F.col("doc_id").alias("essay_id"), F.col("text").alias("full_text"), "ell")
-    left = ro.docs(spark, d).select("doc_id", "text")
+    left = ro.texts(spark, d).select("doc_id", "text")
     return joins.hash_join(left, right, left_text="text", right_text="full_text", right_order=["essay_id"]).select("doc_id", "text_hash", "essay_id", "ell")
 
 
@@ -49,7 +49,7 @@ m AS (SELECT r.ell, r.h IS NOT NULL AS hit FROM documents d LEFT JOIN r ON {ro.H
 SELECT count(*) AS left_rows, count_if(hit)::BIGINT AS matched, round(count_if(hit)::DOUBLE / count(*), 6) AS match_rate, count_if(ell = 'Yes')::BIGINT AS ell_yes, count_if(ell = 'No')::BIGINT AS ell_no,
 (count_if(hit) - count_if(ell = 'Yes') - count_if(ell = 'No'))::BIGINT AS ell_unknown, count_if(ell = 'Yes') < 200 AS recommend_more FROM m""")
 def join_match_report(spark, d):
-    out = joins.match_report(ro.docs(spark, d), ro.corpus(spark, d).select("text", "ell"), left_text="text", right_text="text", ell="ell")
+    out = joins.match_report(ro.texts(spark, d), ro.corpus(spark, d).select("text", "ell"), left_text="text", right_text="text", ell="ell")
     return out.withColumn("match_rate", ro.r6(F.col("match_rate")))
 
 
@@ -187,7 +187,7 @@ def uniqueness_violations(spark, d):
 @query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, (generate_subscripts(l, 1) - 1)::INTEGER AS paragraph_index, unnest(l) AS paragraph FROM p""")
 def paragraphs(spark, d):
-    return segment.paragraphs(ro.docs(spark, d), "doc_id", "text", "\n")
+    return segment.paragraphs(ro.texts(spark, d), "doc_id", "text", "\n")
 
 
 PARAS = [(1, "One. Two!\n\nThree?"), (2, "\n\n  \n\nOnly one here \n\n\n\n next one."), (3, ""), (4, "no end")]
@@ -203,7 +203,7 @@ def segment_fixture(spark, d):
 
 @query(rf"WITH {ro.SENTENCES}, x AS (SELECT doc_id, sent::INTEGER AS sentence_index, s AS text FROM sentences) SELECT doc_id, 0 AS paragraph_index, sentence_index, text, {WC} AS word_count FROM x")
 def sentences(spark, d):
-    return segment.sentences(ro.docs(spark, d), "doc_id", "text")
+    return segment.sentences(ro.texts(spark, d), "doc_id", "text")
 
 
 @query(f"""WITH {ro.SENTENCES}, n AS (SELECT doc_id, sent, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY sent) - 1 AS k FROM sentences),
@@ -211,7 +211,7 @@ t AS (SELECT doc_id, sent, CASE WHEN n <= 3 THEN -1 WHEN k < n // 3 THEN 0 WHEN
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tercile ORDER BY sha256('42:' || doc_id || ':' || sent)) AS rn FROM t)
 SELECT doc_id, sent::INTEGER AS sentence_index, tercile FROM r WHERE tercile = -1 OR rn = 1""")
 def tercile_sample(spark, d):
-    rows = segment.sentences(ro.docs(spark, d), "doc_id", "text").select("doc_id", "sentence_index")
+    rows = segment.sentences(ro.texts(spark, d), "doc_id", "text").select("doc_id", "sentence_index")
     return sampling.sample_sentences(rows, "doc_id", "sentence_index")
 
 
@@ -251,7 +251,7 @@ def strip_preamble_turns(spark, d):
 @query("SELECT doc_id, CASE WHEN n < 250 THEN 'short' WHEN n < 500 THEN 'medium' ELSE 'long' END AS band, n AS word_count FROM (SELECT doc_id, " + WC + " AS n FROM documents)")
 def length_bands(spark, d):
     n = tx.word_count(F.col("text"))
-    return ro.docs(spark, d).select("doc_id", st.length_band(n).alias("band"), n.alias("word_count"))
+    return ro.texts(spark, d).select("doc_id", st.length_band(n).alias("band"), n.alias("word_count"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import stats as st
 from inkwell.functions import text as tx
-from inkwell.sources.corpora import table
+from inkwell.sources.corpora import spread, table
 
 THRESHOLD = 0.45
 
@@ -24,6 +24,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for work that is heavy on each text."""
+    return spread(docs(spark, d).select("doc_id", "text", "lang", "source"))
+
+
 def labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels")
 
@@ -45,7 +50,7 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, word_count, mattr, mean_word) of every document."""
     from inkwell.operators.stylometry import mattr
 
-    rows = docs(spark, d).select("doc_id", "lang", tx.alpha_words(F.col("text")).alias("w"))
+    rows = texts(spark, d).select("doc_id", "lang", tx.alpha_words(F.col("text")).alias("w"))
     chars = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     return rows.select("doc_id", "lang", F.size("w").cast("long").alias("word_count"), mattr(F.col("w")).alias("mattr"), st.ratio(chars, F.size("w")).alias("mean_word"))
 

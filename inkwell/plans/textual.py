@@ -32,13 +32,13 @@ SAFE = "coalesce(({0})::DOUBLE / nullif(({1})::DOUBLE, 0), 0)"
 
 @query(f"WITH {ro.SENTENCES}, n AS (SELECT doc_id, count(*) AS n FROM sentences GROUP BY 1) SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, len({ro.WORDS.format('text')})::BIGINT AS n_words FROM documents LEFT JOIN n USING (doc_id)")
 def word_stats(spark, d):
-    return stylometry.native_features(ro.docs(spark, d), "doc_id").select("doc_id", "n_sentences", "n_words")
+    return stylometry.native_features(ro.texts(spark, d), "doc_id").select("doc_id", "n_sentences", "n_words")
 
 
 @query(f"""WITH {ro.SENTENCES}, l AS (SELECT doc_id, len({ro.WORDS.format('s')})::DOUBLE AS n FROM sentences)
 SELECT doc_id, round(avg(n), 6) AS sent_len_mean, round(stddev_pop(n), 6) AS sent_len_std, round(coalesce(stddev_pop(n) / nullif(avg(n), 0), 0), 6) AS sent_len_burstiness FROM l GROUP BY 1""")
 def sentence_length_stats(spark, d):
-    out = stylometry.native_features(ro.docs(spark, d), "doc_id").where("n_sentences > 0").select("doc_id", "sent_len_mean", "sent_len_std", "sent_len_burstiness")
+    out = stylometry.native_features(ro.texts(spark, d), "doc_id").where("n_sentences > 0").select("doc_id", "sent_len_mean", "sent_len_std", "sent_len_burstiness")
     return rounded(out, "sent_len_mean", "sent_len_std", "sent_len_burstiness")
 
 
@@ -50,7 +50,7 @@ def mattr(spark, d):
 @query(f"""WITH t AS (SELECT doc_id, unnest({ro.WORDS.format('text')}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY 1, 2),
 h AS (SELECT doc_id, count_if(n = 1)::DOUBLE / sum(n) AS h FROM c GROUP BY 1) SELECT doc_id, round(coalesce(h, 0), 6) AS hapax_rate FROM documents LEFT JOIN h USING (doc_id)""")
 def hapax_rate(spark, d):
-    return rounded(stylometry.native_features(ro.docs(spark, d), "doc_id").select("doc_id", "hapax_rate"), "hapax_rate")
+    return rounded(stylometry.native_features(ro.texts(spark, d), "doc_id").select("doc_id", "hapax_rate"), "hapax_rate")
 
 
 LIST_RE = r"(?i)([A-Za-z][\s\p{L}\p{N}_]{0,30}),\s*([A-Za-z][\s\p{L}\p{N}_]{0,30}?)(,)?\s+(and|or)\s+([A-Za-z][\s\p{L}\p{N}_]{0,30})"
@@ -59,7 +59,7 @@ LIST_RE = r"(?i)([A-Za-z][\s\p{L}\p{N}_]{0,30}),\s*([A-Za-z][\s\p{L}\p{N}_]{0,30
 @query(f"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{LIST_RE}', 3) AS l FROM documents)
 SELECT doc_id, len(l)::BIGINT AS n_lists, round(CASE WHEN len(l) = 0 THEN -1 ELSE len(list_filter(l, lambda x: x = ','))::DOUBLE / len(l) END, 6) AS oxford_comma_rate FROM l""")
 def list_oxford(spark, d):
-    return rounded(stylometry.native_features(ro.docs(spark, d), "doc_id").select("doc_id", F.col("n_lists_detected").alias("n_lists"), "oxford_comma_rate"), "oxford_comma_rate")
+    return rounded(stylometry.native_features(ro.texts(spark, d), "doc_id").select("doc_id", F.col("n_lists_detected").alias("n_lists"), "oxford_comma_rate"), "oxford_comma_rate")
 
 
 NUMERAL = r"[\p{L}\p{N}]+(?:[.,/]\p{N}+)*"
@@ -121,7 +121,7 @@ def not_just_but(spark, d):
 c AS (SELECT doc_id, count(*) AS n, count(DISTINCT CASE WHEN k.w IS NULL THEN t.w END) AS u FROM t LEFT JOIN k USING (w) WHERE length(t.w) > 1 GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_checkable, coalesce(u, 0)::BIGINT AS n_unknown, round({SAFE.format('u', 'n')}, 6) AS spelling_error_rate FROM documents LEFT JOIN c USING (doc_id)""")
 def spelling_rate(spark, d):
-    docs = ro.docs(spark, d)
+    docs = ro.texts(spark, d)
     return rounded(stylometry.spelling_rate(docs, "doc_id", stylometry.lexicon(docs, "text", 3)), "spelling_error_rate")
 
 
@@ -186,9 +186,9 @@ LIKE = ["mean_logprob", "mean_logrank", "lrr", "mean_entropy", "mean_curvature",
 
 
 def tokens(spark, d):
-    grams = likelihood.bigrams(ro.docs(spark, d), "doc_id", "text")
-    good = ro.labels(spark, d).where("quality = 1").select("doc_id")
-    return likelihood.score_tokens(grams, likelihood.train_bigram(grams), likelihood.train_bigram(grams.join(good, "doc_id", "left_semi")), "doc_id")
+    grams = likelihood.bigrams(ro.texts(spark, d), "doc_id", "text")
+    good = ro.labels(spark, d).where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    return likelihood.score_corpus(grams.join(good, "doc_id", "left"), F.coalesce("good", F.lit(False)), "doc_id")
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, sent::INTEGER AS sent, tok::INTEGER AS tok, round(lp_base, 6) AS lp_base, rank_base::BIGINT AS rank_base, round(ent_base, 6) AS ent_base, round(lp_alt, 6) AS lp_alt FROM tokens")
@@ -211,36 +211,36 @@ def doc_likelihood(spark, d):
 @query()
 def scorer_seam(spark, d):
     """The contract filled through Arrow by an injected scorer (here one of constant scores), sentence by sentence."""
-    rows = segment.sentence_offsets(ro.docs(spark, d), "doc_id", "text")
+    rows = segment.sentence_offsets(ro.texts(spark, d), "doc_id", "text")
     return likelihood.score_with(rows, lambda: lambda context, start: [(-1.0, 1, 1.0, -1.0)] * max(0, len(context[start:].split()) - 1))
 
 
 @query()
 def annotated_features(spark, d):
-    return annotate.annotate(ro.docs(spark, d), "doc_id")
+    return annotate.annotate(ro.texts(spark, d), "doc_id")
 
 
 @query()
 def document_features(spark, d):
-    docs = ro.docs(spark, d)
+    docs = ro.texts(spark, d)
     return stylometry.document_features(docs, "doc_id", stylometry.lexicon(docs, "text", 3))
 
 
 @query()
 def typo_attack(spark, d):
     text, key = F.col("text"), F.col("doc_id")
-    return ro.docs(spark, d).select("doc_id", attacks.apply_attack(text, "typo", key).alias("attacked"))
+    return ro.texts(spark, d).select("doc_id", attacks.apply_attack(text, "typo", key).alias("attacked"))
 
 
 @query()
 def synonym_attack(spark, d):
-    frequent = stylometry.lexicon(ro.docs(spark, d), "text", 20).withColumn("synonym", F.concat("word", F.lit("ly")))
-    return attacks.swap_from_table(ro.docs(spark, d), "doc_id", "text", frequent)
+    frequent = stylometry.lexicon(ro.texts(spark, d), "text", 20).withColumn("synonym", F.concat("word", F.lit("ly")))
+    return attacks.swap_from_table(ro.texts(spark, d), "doc_id", "text", frequent)
 
 
 @query("SELECT doc_id AS essay_id, doc_id || '::orig' AS doc_id, 'original' AS version, text FROM documents UNION ALL SELECT doc_id, doc_id || '::attk', 'attacked', text || '!' FROM documents")
 def attack_unpivot(spark, d):
-    return attacks.attacked_versions(ro.docs(spark, d).select("doc_id", "text", F.concat("text", F.lit("!")).alias("other")), "doc_id", "text", "other")
+    return attacks.attacked_versions(ro.texts(spark, d).select("doc_id", "text", F.concat("text", F.lit("!")).alias("other")), "doc_id", "text", "other")
 
 
 def listed(xs: list[str]) -> str:
@@ -273,5 +273,5 @@ class Shout:
 
 @query()
 def polish_essays(spark, d):
-    docs = ro.docs(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.lit("flow").alias("intensity"))
+    docs = ro.texts(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"), F.lit("flow").alias("intensity"))
     return generate.polish(docs, "doc_id", "intensity", "any", Shout)

@@ -188,6 +188,8 @@ def test_likelihood_identities(spark):
     assert tokens.count() == 9
     for r in tokens.collect():
         assert r.lp_base == r.lp_alt < 0 and r.rank_base >= 1 and r.ent_base >= 0
+    one = likelihood.score_corpus(grams, F.lit(True), "doc_id")
+    assert sorted(map(repr, ([round(x, 9) for x in r] for r in one.collect()))) == sorted(map(repr, ([round(x, 9) for x in r] for r in tokens.collect())))
     for r in likelihood.sentence_features(tokens, ["doc_id", "sent"]).collect():
         assert r.mean_curvature == pytest.approx(r.mean_logprob + r.mean_entropy) and r.cross_ppl_ratio == pytest.approx(1)
     v = 3  # words that follow another: a, b, c, d
