@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import baseline
 from inkwell.operators.stylometry import NATIVE, native_features
-from inkwell.plans import evaluation, relational, textual
+from inkwell.plans import coverage, evaluation, relational, textual
 from inkwell.plans import roles as ro
 
-MODULES = [relational, textual, evaluation]
+MODULES = [relational, textual, evaluation, coverage]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
