@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import stats as st
 
 MAX_ITERATIONS, PENALTY, TOLERANCE = 1000, 1.0, 1e-5
+ROWS_PER_TASK = 50_000
 MIN_WORDS = 150
 
 FAMILIES = {
@@ -71,9 +72,18 @@ class CalibratedModel:
         self.plain.write().overwrite().save(f"{path}/plain")
 
 
-def fit(df: DataFrame, key: str, features: list[str], *, seed: int = 42, method: str = "isotonic", folds: int = 3) -> CalibratedModel:
+def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, kept for the many passes of a fit, in as many partitions as their rows are worth."""
+    whole = df.select(*columns).persist()
+    few = whole.coalesce(max(1, -(-whole.count() // ROWS_PER_TASK))).persist()
+    few.count()
+    whole.unpersist()
+    return few
+
+
+def fit(df: DataFrame, key: str, features: list[str], *, seed: int = 42, method: str = "isotonic", folds: int = 3, plain: bool = True) -> CalibratedModel:
     """df: the key, ``label`` (0 or 1) and the features. Folds are by hash; there are min(folds, smallest class), two at least."""
-    base = filled(df, features).select(key, F.col("label").cast("double").alias("label"), *features).persist()  # numbers alone; read by every fit
+    base = numbers(filled(df, features).withColumn("label", F.col("label").cast("double")), [key, "label", *features])
     counts = {r.label: r["count"] for r in base.groupBy("label").count().collect()}
     if len(counts) < 2:
         base.unpersist()
@@ -89,7 +99,8 @@ def fit(df: DataFrame, key: str, features: list[str], *, seed: int = 42, method:
         else:
             calibrator = Pipeline(stages=[VectorAssembler(inputCols=["_m"], outputCol="features"), LogisticRegression(labelCol="label", maxIter=MAX_ITERATIONS, tol=TOLERANCE)]).fit(held)
         out.folds.append((model, calibrator))
-    out.plain = logistic(features, n).fit(rows)
+    if plain:
+        out.plain = logistic(features, n).fit(rows)
     base.unpersist()
     return out
 
@@ -99,12 +110,12 @@ def ablation(df: DataFrame, key: str, features: list[str], families: dict[str, l
     from inkwell.operators.metrics import auc
     from inkwell.operators.sampling import train_test
 
-    parts = train_test(df, key, "label").persist()
+    parts = numbers(train_test(df, key, "label"), [key, "label", "split", *features])
     out: list[tuple[str, float | None]] = []
     for name, dropped in [("full", []), *families.items()]:
         left = [c for c in features if not any(c == d or c == f"{d}_z" for d in dropped)]
         try:
-            model = fit(parts.where("split = 'train'"), key, left, method="sigmoid", folds=2)
+            model = fit(parts.where("split = 'train'"), key, left, method="sigmoid", folds=2, plain=False)
             out.append((name, auc(model.score(parts.where("split = 'test'")), "probability", "label").first().auc))
         except Exception:  # noqa: BLE001
             out.append((name, None))
