@@ -226,13 +226,28 @@ def document_features(spark, d):
     return stylometry.document_features(docs, "doc_id", stylometry.lexicon(docs, "text", 3))
 
 
-@query()
+CORE = "regexp_replace(regexp_replace(t, '^[[:punct:]]+', ''), '[[:punct:]]+$', '')"
+PLACED = "substr(t, 1, instr(t, core) - 1) || {0} || substr(t, instr(t, core) + length(core))"
+KEYS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in attacks.NEIGHBOURS.items())
+DIGITS = "('0x' || substr(h, {0}, 4))::INTEGER"
+
+
+@query(rf"""WITH tok AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS k FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)),
+a AS (SELECT *, {CORE} AS core, sha256(doc_id || ':' || k) AS h FROM tok), b AS (SELECT *, length(core) AS n, {DIGITS.format(5)} % 4 AS op, {DIGITS.format(9)} % greatest(length(core), 1) AS i FROM a),
+c AS (SELECT *, substr(core, 1, i) AS head, substr(core, i + 1, 1) AS x, substr(core, i + 2) AS tail FROM b), d AS (SELECT *, CASE lower(x) {KEYS} ELSE 'abcdefghijklmnopqrstuvwxyz' END AS near FROM c),
+e AS (SELECT *, substr(near, {DIGITS.format(13)} % length(near) + 1, 1) AS y FROM d),
+f AS (SELECT *, CASE WHEN n < 3 THEN core WHEN op = 0 THEN CASE WHEN n >= 4 AND i < n - 1 THEN head || substr(core, i + 2, 1) || x || substr(core, i + 3) ELSE core END WHEN op = 1 THEN head || tail WHEN op = 2 THEN head || y || x || tail ELSE head || y || tail END AS typed FROM e)
+SELECT doc_id, string_agg(CASE WHEN regexp_matches(core, '^\p{{L}}+$') AND {DIGITS.format(1)} < 7864 THEN {PLACED.format('typed')} ELSE t END, ' ' ORDER BY k) AS attacked FROM f GROUP BY 1""")
 def typo_attack(spark, d):
     text, key = F.col("text"), F.col("doc_id")
     return ro.texts(spark, d).select("doc_id", attacks.apply_attack(text, "typo", key).alias("attacked"))
 
 
-@query()
+@query(rf"""WITH tok AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS k FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)),
+lex AS (SELECT w FROM (SELECT doc_id, unnest({ro.WORDS.format('text')}) AS w FROM documents) GROUP BY w HAVING count(DISTINCT doc_id) >= 20),
+a AS (SELECT *, {CORE} AS core, sha256('42:' || doc_id || ':' || k) AS h FROM tok)
+SELECT doc_id, string_agg(CASE WHEN w IS NOT NULL AND {DIGITS.format(1)} < 19660 THEN {PLACED.format("CASE WHEN regexp_matches(core, '^\\p{Lu}') THEN upper(w[1:1]) || lower(w[2:]) || 'ly' ELSE w || 'ly' END")} ELSE t END, ' ' ORDER BY k) AS attacked
+FROM a LEFT JOIN lex ON lower(core) = w GROUP BY 1""")
 def synonym_attack(spark, d):
     frequent = stylometry.lexicon(ro.texts(spark, d), "text", 20).withColumn("synonym", F.concat("word", F.lit("ly")))
     return attacks.swap_from_table(ro.texts(spark, d), "doc_id", "text", frequent)
