@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import stats as st
 from inkwell.operators import baseline, manifest, metrics, model
 from inkwell.operators.stylometry import NATIVE, native_features
+from inkwell.plans import nativesql
 from inkwell.plans import roles as ro
 from inkwell.plans.relational import values
 
@@ -151,9 +152,9 @@ def training_frame(spark, d):
     return baseline.zscore(rows.join(labels, "doc_id"), NATIVE, stats).select("doc_id", "label", "word_count", *(f"{c}_z" for c in NATIVE))
 
 
-@query()
+@query(nativesql.TRAINING)
 def training_frame_z(spark, d):
-    return training_frame(spark, d)
+    return training_frame(spark, d).withColumns({f"{c}_z": ro.r6(F.col(f"{c}_z")) for c in NATIVE})
 
 
 @query()
