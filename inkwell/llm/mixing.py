@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.llm.common import cut, documents
 
@@ -45,12 +44,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain_col: str) -> tuple
     words = held.select("domain", F.explode(F.concat(words_of(F.col("text")), F.array(F.lit(END)))).alias("word")).where("word <> ''")
     counts = words.groupBy("word").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("domain") == d, 1.0).otherwise(0.0)).alias(f"c{k}") for k, d in enumerate(domains)))
     top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(VOCABULARY).unionAll(counts.where(F.col("word") == END))
-    every = Window.partitionBy(F.col("word") == END)  # the vocabulary, and END alone
-    size = F.count("*").over(every)
-    logs = [F.log((F.col(f"c{k}") + 1) / (F.sum(f"c{k}").over(every) + size)) for k in range(len(domains))]
+    top = cut(top)
+    ks = range(len(domains))
+    sums = top.where(F.col("word") != END).agg(F.count("*").alias("size"), *(F.sum(f"c{k}").alias(f"c{k}") for k in ks)).first()
+    logs = [F.log((F.col(f"c{k}") + 1) / F.lit(float((sums[f"c{k}"] or 0.0) + max(sums["size"], 1)))) for k in ks]
     # END's counts are documents: its row holds the log-priors
-    n = total([F.col(f"c{k}") for k in range(len(domains))])
-    priors = [F.log((F.col(f"c{k}") + 1) / (n + len(domains))) for k in range(len(domains))]
+    n = total([F.col(f"c{k}") for k in ks])
+    priors = [F.log((F.col(f"c{k}") + 1) / (n + len(domains))) for k in ks]
     marked = F.col("word") == END
     return domains, top.select("word", marked.cast("int").alias("mark"), *(F.when(marked, p).otherwise(x).alias(f"l{k}") for k, (p, x) in enumerate(zip(priors, logs))))
 
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, labels: DataFrame, *, domain_col: str = "lang", targets
     domains, table = fit_classifier(docs, labels, domain_col)
     if not domains:
         return docs.select(key_of(docs).alias("key"), F.when(words_of(docs["text"])[0] == "", 0).otherwise(F.size(words_of(docs["text"]))).cast("long").alias("n_tokens")).distinct().select("key", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"))
-    found = cut(memberships(docs, domains, cut(table)))
+    found = cut(memberships(docs, domains, table))
     rate = fit_rates(found, domains, targets, least, tokens)
     best = F.greatest(*(F.col(f"p{k}") for k in range(len(domains)))) if len(domains) > 1 else F.col("p0")
     name = F.coalesce(*(F.when(F.col(f"p{k}") == best, F.lit(d)) for k, d in enumerate(domains)))
