@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
@@ -106,3 +106,12 @@ def adversarial(checkpoint: DataFrame) -> DataFrame:
     c = F.col
     name = F.concat_ws(" + ", generator_name(c("source_family")), c("attack_type"))
     return _rows(checkpoint, c("essay_id"), F.lit("adversarial"), c("source_family"), F.lit("machine"), name, c("attack_type"), F.lit("n/a"), c("topic"), c("word_count").cast("long"), F.lit(MACHINE_LICENSE))
+
+
+def build_generated(spark: SparkSession, root: str, joined: DataFrame, order: str) -> dict[str, DataFrame]:
+    """Manifests of the generated sets whose checkpoints are there, by pool; absent sets are left out."""
+    from inkwell.sources.checkpoint import exists
+
+    makers = {"polish": ("polished_mixed", lambda df: polished(df, joined, order)), "modern": ("machine_modern", modern), "adversarial": ("adversarial", adversarial)}
+    found = {name: f"{root}/{name}/checkpoint.parquet" for name in makers}
+    return {makers[name][0]: makers[name][1](spark.read.parquet(path)) for name, path in found.items() if exists(spark, path)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
 
@@ -29,6 +30,15 @@ def resume(targets: DataFrame, path: str, key: str, schema: str) -> DataFrame:
     return targets.join(load(targets.sparkSession, path, schema).select(key), key, "left_anti")
 
 
+def run_batch(targets: DataFrame, path: str, key: str, schema: str, job: Callable[[DataFrame], DataFrame], error: str | None = None) -> None:
+    """Run a job over the targets that aren't done and append its rows in one commit. Rows with an ``error`` stay out, so
+    that the next run takes them up again. schema: that of the table."""
+    done = job(resume(targets, path, key, schema))
+    if error is not None:
+        done = done.where(F.col(error).isNull())
+    append(done.select(*(c.split()[0] for c in schema.split(", "))), path)
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     """A small metrics table as JSON lines."""
     df.coalesce(1).write.mode("overwrite").json(path)

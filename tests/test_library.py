@@ -328,3 +328,24 @@ def test_incremental(spark, tmp_path):
     take()
     take()
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, 2), (2, 4), (3, 6)]
+
+
+def test_generation_resumes_after_failures(spark, tmp_path):
+    targets = spark.createDataFrame([("a", "ok"), ("b", "fail"), ("c", "ok")], "id string, prompt string").withColumn("model", F.lit("m"))
+    path, schema, calls = f"{tmp_path}/gen", "id string, response string", []
+
+    def job(df):
+        calls.append(sorted(r.id for r in df.collect()))
+        return generate.generate(df, "id", "model", "prompt", Client)
+
+    checkpoint.run_batch(targets, path, "id", schema, job, error="error")
+    checkpoint.run_batch(targets, path, "id", schema, job, error="error")
+    assert calls == [["a", "b", "c"], ["b"]]
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", "NEW"), ("c", "NEW")]
+
+
+def test_generated_manifests_skip_absent_sets(spark, tmp_path):
+    joined = spark.createDataFrame([("h1", "T1", "Yes", 1)], "text_hash string, prompt_name string, ell_status string, o int")
+    spark.createDataFrame([("e", "m", "bare", "T", 9)], "essay_id string, model string, condition string, topic string, word_count long").write.parquet(f"{tmp_path}/modern/checkpoint.parquet")
+    got = manifest.build_generated(spark, str(tmp_path), joined, "o")
+    assert list(got) == ["machine_modern"] and got["machine_modern"].first().generator == "m"
