@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: Near copies: five-word shingles, a similarity of 0.8 or more. Candidates come from fingerprints of the distinct words,
 #: which an edit changes in one place where it changes five shingles.
-NEAR = {"width": 1, "distinct": True, "bits": 5, "verify": (5, 0.8)}
+NEAR = {"width": 1, "distinct": True, "bits": 7, "verify": (5, 0.8)}
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

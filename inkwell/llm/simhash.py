@@ -15,9 +15,9 @@ from inkwell.llm.common import LOWER, cut, documents, map_docs, ship, tasks_for
 SEED = 42
 #: Shingle hashes of a text that its sketch keeps (the smallest); texts with no more of them compare exactly.
 SKETCH = 256
-#: Members of a run up to which all its pairs are looked at; beyond, links are found by breadth-first search.
-SMALL = 48
-#: Nearest members that a member of a large run is offered to for verification, besides its search tree.
+#: Members of a run up to which its pairs are counted, and pairs for each member up to which all are links.
+WHOLE, MOST_EACH = 4096, 6
+#: Nearest members that a member of a still larger run is linked with for verification, besides its search tree.
 NEAREST = 8
 
 
@@ -93,13 +93,25 @@ def variants(fp: Column, bits: int) -> Column:
 def run_links(fp: np.ndarray, bits: int, every: bool) -> list[tuple[int, int]]:
     """Links inside a run of one key, as pairs of its members at most ``bits`` bits apart.
 
-    Small runs: with ``every`` all such pairs, else a tree. Large ones: the breadth-first trees, in which each member
-    looks at the members not reached yet, and with ``every`` also each member's nearest ones. Links grow linearly.
+    Breadth-first trees, in which each member looks at the members not reached yet: they connect what all pairs would.
+    With ``every`` (for links that are verified afterwards) all pairs, unless the run is a dense cluster of more than
+    MOST_EACH pairs for each member; then the trees, and each member with those of its neighbours that have the most
+    neighbours (beyond WHOLE members, with its nearest). Links grow linearly either way.
     """
     n, out = len(fp), []
-    if every and n <= SMALL:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= bits, 1))
-        return list(zip(a.tolist(), b.tolist()))
+    if every and n <= WHOLE:
+        near = np.concatenate([np.bitwise_count(fp[k : k + 256, None] ^ fp[None]) <= bits for k in range(0, n, 256)])
+        np.fill_diagonal(near, False)
+        degree = near.sum(1)
+        if degree.sum() > 2 * MOST_EACH * n:
+            # what many are near to is likeliest what they were copied from
+            hubs = np.lexsort((np.arange(n), -degree))
+            near &= np.cumsum(near[:, hubs], axis=1)[:, np.argsort(hubs)] <= MOST_EACH
+            near |= near.T
+        a, b = np.nonzero(np.triu(near, 1))
+        out = list(zip(a.tolist(), b.tolist()))
+        if degree.sum() <= 2 * MOST_EACH * n:
+            return out
     rest = np.arange(n)
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
@@ -110,7 +122,7 @@ def run_links(fp: np.ndarray, bits: int, every: bool) -> list[tuple[int, int]]:
             out += [(x, y) for y in found]
             front += found
             rest = rest[~near]
-    if every:
+    if every and n > WHOLE:
         order = np.argsort(fp)
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
