@@ -16,6 +16,8 @@ EVIDENCE = 20.0
 #: Default targets are the domains' shares to this power, made to sum to one.
 TEMPERATURE = 0.7
 ROUNDS, CLOSE = 40, 1e-5
+#: Rounds after which the rates are written down, so that their expression, and with it the driver's plans, stay small.
+CUT_AFTER = 5
 #: Stands at the end of every text, so that texts without a known word stay.
 END = "\u0000"
 
@@ -70,20 +72,20 @@ def memberships(docs: DataFrame, domains: list[str], table: DataFrame) -> DataFr
     return found.select("key", "n_tokens", "copies", *(F.col(f"e{k}") / total([F.col(f"e{j}") for j in ks]) for k in ks)).toDF("key", "n_tokens", "copies", *(f"p{k}" for k in ks))
 
 
-def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float] | None, least: float, tokens: float | None) -> Column:
-    """Rates as an expression over p0, p1, ...: projected-gradient least squares on the domains' relative errors.
+def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float] | None, least: float, tokens: float | None) -> DataFrame:
+    """found and its column ``rate``: projected-gradient least squares on the domains' relative errors.
 
     Each round one aggregate gives the expected tokens of each domain under the present rates, and the rates move down
     the gradient (scaled by document length and domain size, so a step of one can't overshoot) and back to ``least`` or
     more. Only one number for each domain comes to the driver.
     """
     ks = range(len(domains))
-    expected = lambda rate: [x or 0.0 for x in found.agg(*(F.sum(F.col("n_tokens") * F.col("copies") * rate * F.col(f"p{k}")) for k in ks)).first()]
+    expected = lambda found, rate: [x or 0.0 for x in found.agg(*(F.sum(F.col("n_tokens") * F.col("copies") * rate * F.col(f"p{k}")) for k in ks)).first()]
     rate = F.lit(1.0)
-    now = natural = expected(rate)
+    now = natural = expected(found, rate)
     everything = sum(natural)
     if not everything:
-        return F.greatest(rate, F.lit(float(least)))
+        return found.withColumn("rate", F.greatest(rate, F.lit(float(least))))
     if targets is None:
         flat = [(x / everything) ** TEMPERATURE if x else 0.0 for x in natural]
     else:
@@ -92,13 +94,15 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float] |
     if tokens is None:
         tokens = everything if least < 1 else least * max((n / w for n, w in zip(natural, share) if w), default=everything)
     goal = [w * tokens for w in share]
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         slope = [(a - g) / n if n else 0.0 for a, g, n in zip(now, goal, natural)]
         if sum(abs(a - g) for a, g in zip(now, goal)) <= CLOSE * tokens:
             break
         rate = F.greatest(F.lit(float(least)), rate - total([F.col(f"p{k}") * F.lit(slope[k]) for k in ks]))
-        now = expected(rate)
-    return rate
+        if turn % CUT_AFTER == CUT_AFTER - 1:
+            found, rate = cut(found.withColumn("rate", rate)), F.col("rate")
+        now = expected(found, rate)
+    return found.withColumn("rate", rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, domain_col: str = "lang", targets: dict[str, float] | None = None, least: float = 0.0, tokens: float | None = None) -> DataFrame:
@@ -116,10 +120,10 @@ def mix(docs: DataFrame, labels: DataFrame, *, domain_col: str = "lang", targets
     if not domains:
         return docs.select(key_of(docs).alias("key"), F.when(words_of(docs["text"])[0] == "", 0).otherwise(F.size(words_of(docs["text"]))).cast("long").alias("n_tokens")).distinct().select("key", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"))
     found = cut(memberships(docs, domains, table))
-    rate = fit_rates(found, domains, targets, least, tokens)
+    found = fit_rates(found, domains, targets, least, tokens)
     best = F.greatest(*(F.col(f"p{k}") for k in range(len(domains)))) if len(domains) > 1 else F.col("p0")
     name = F.coalesce(*(F.when(F.col(f"p{k}") == best, F.lit(d)) for k, d in enumerate(domains)))
-    return found.select("key", "n_tokens", name.alias("domain"), best.alias("posterior"), rate.alias("rate"))
+    return found.select("key", "n_tokens", name.alias("domain"), best.alias("posterior"), "rate")
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
