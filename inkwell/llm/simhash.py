@@ -150,7 +150,8 @@ def links(nodes: DataFrame, bits: int, *, every: bool = False) -> DataFrame:
 
     Each node goes to the keys of its variants; equal keys meet by one shuffle, and a run of equal keys is verified at
     once. Runs with a deleted bit only matter where that bit differs inside, for the others have met without it. A link
-    is given by the first key its ends meet under and left out by later ones: their ends are connected by then.
+    is given by the first key its ends meet under and left out by later ones: their ends are connected by then. That
+    doesn't hold for links that are verified afterwards (``every``), which each run gives that has them.
     """
     spark = nodes.sparkSession
     ship(spark)
@@ -174,8 +175,10 @@ def links(nodes: DataFrame, bits: int, *, every: bool = False) -> DataFrame:
                     xs.append(x[:, 0])
                     ys.append(x[:, 1])
             x, y = np.concatenate(xs), np.concatenate(ys)
-            first = meeting(fp[x], fp[y], cuts) == key[x] >> np.int64(33)
-            u, v = node[x[first]], node[y[first]]
+            if not every:
+                first = meeting(fp[x], fp[y], cuts) == key[x] >> np.int64(33)
+                x, y = x[first], y[first]
+            u, v = node[x], node[y]
             e = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(e[0], pa.int64()), pa.array(e[1], pa.int64())], names=["u", "v"])
 

@@ -129,6 +129,25 @@ def test_links_connect_like_brute_force(spark, bits):
         assert [found.get(k, k) for k, _ in nodes] == brute_components(nodes, lambda a, b: (a ^ b).bit_count() <= bits)
 
 
+def test_simhash_links_of_every_run(spark):
+    """A pair that a dense run leaves out is given by a later, sparse run."""
+    r = random.Random(6)
+    base, bits, fps = r.getrandbits(63), 7, set()
+    while len(fps) < 300:
+        fps.add(base ^ sum(1 << b for b in r.sample(range(16, 63), 3)))
+    fps, runs, want = sorted(fps), {}, set()
+    for k, f in enumerate(fps):
+        for low, width in simhash.segments(bits):
+            part = f >> low & (1 << width) - 1
+            for wild in range(width + 1):
+                runs.setdefault((low, wild, part & ~(1 << wild >> 1)), []).append(k)
+    for (low, wild, _), run in runs.items():
+        if not wild or len({fps[k] >> low + wild - 1 & 1 for k in run}) > 1:
+            want |= {(run[b], run[a]) for a, b in map(sorted, simhash.run_links(np.array([fps[k] for k in run], np.uint64), bits, True))}
+    df = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, node long")
+    assert want <= {(x.u, x.v) for x in simhash.links(df, bits, every=True).collect()}
+
+
 def test_simhash_verified(docs, rows):
     got = {r.doc_id: r.component_id for r in simhash.group_near_duplicates(docs, width=1, distinct=True, bits=5, verify=(5, 0.8)).collect() if r.doc_id is not None}
     assert {got[i] for i in range(240, 260)} == {240}
