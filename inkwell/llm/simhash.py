@@ -91,12 +91,17 @@ def variants(fp: Column, bits: int) -> Column:
 
 
 def run_links(fp: np.ndarray, bits: int, every: bool) -> list[tuple[int, int]]:
+    return run_search(fp, bits, every)[0]
+
+
+def run_search(fp: np.ndarray, bits: int, every: bool) -> tuple[list[tuple[int, int]], bool]:
     """Links inside a run of one key, as pairs of its members at most ``bits`` bits apart.
 
     Breadth-first trees, in which each member looks at the members not reached yet: they connect what all pairs would.
     With ``every`` (for links that are verified afterwards) all pairs, unless the run is a dense cluster of more than
     MOST_EACH pairs for each member; then the trees, and each member with those of its neighbours that have the most
-    neighbours (beyond WHOLE members, with its nearest). Links grow linearly either way.
+    neighbours (beyond WHOLE members, with its nearest). Links grow linearly either way. Also whether all pairs were
+    asked for and some may be left out.
     """
     n, out = len(fp), []
     if every and n <= WHOLE:
@@ -111,7 +116,7 @@ def run_links(fp: np.ndarray, bits: int, every: bool) -> list[tuple[int, int]]:
         a, b = np.nonzero(np.triu(near, 1))
         out = list(zip(a.tolist(), b.tolist()))
         if degree.sum() <= 2 * MOST_EACH * n:
-            return out
+            return out, False
     rest = np.arange(n)
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
@@ -132,7 +137,7 @@ def run_links(fp: np.ndarray, bits: int, every: bool) -> list[tuple[int, int]]:
             for y in around[np.argsort(d, kind="stable")[: NEAREST + 1]].tolist():
                 if y != x and int(fp[x] ^ fp[y]).bit_count() <= bits:
                     out.append((min(x, y), max(x, y)))
-    return out
+    return out, every and len(out) > 0
 
 
 def meeting(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
@@ -145,20 +150,48 @@ def meeting(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]]) -> np.nda
     return out
 
 
-def links(nodes: DataFrame, bits: int, *, every: bool = False) -> DataFrame:
-    """Links (u, v), u > v, between nodes (fp, node) whose fingerprints differ in at most ``bits`` bits.
-
-    Each node goes to the keys of its variants; equal keys meet by one shuffle, and a run of equal keys is verified at
-    once. Runs with a deleted bit only matter where that bit differs inside, for the others have met without it. A link
-    is given by the first key its ends meet under and left out by later ones: their ends are connected by then. That
-    doesn't hold for links that are verified afterwards (``every``), which each run gives that has them.
-    """
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first, many at a time, without cutting a run of equal values in it."""
+    held: list[list[np.ndarray]] = []
+    count = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([c.to_numpy() for c in b.columns])
+        count += b.num_rows
+        if count >= 1 << 18:
+            rows = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on in the next batch
+            if last:
+                yield [x[:last] for x in rows]
+            held, count = [[x[last:] for x in rows]], len(rows[0]) - last
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def found_rows(links: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Distinct links (u, v), u > v, and then the rows (key, fp, u, tried) of members that have more links to give."""
+    u, v = links
+    e = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
+    e = e[:, e[0] != e[1]]
+    none, (key, fp, node, tried) = np.zeros(e.shape[1], np.int64), left
+    columns = [np.concatenate(x) for x in ((none, key), (none, fp.view(np.int64)), (e[0], node), (e[1], node), (none, tried))]
+    link = np.arange(len(columns[0])) < len(none)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=~link if k == 3 else None) for k, c in enumerate(columns)], names=["key", "fp", "u", "v", "tried"])
+
+
+FOUND = "key long, fp long, u long, v long, tried long"
+
+
+def search(nodes: DataFrame, bits: int, every: bool) -> DataFrame:
+    """FOUND rows of nodes (fp, node): links, and (v null) with ``every`` the members of dense runs, which gave only some."""
     spark = nodes.sparkSession
     ship(spark)
     cuts = segments(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def find(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        for key, fp, node in whole_runs(batches):
+            fp = fp.view(np.uint64)
             begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(begin, len(key)))
             wild = (key >> np.int64(33)) & np.int64(63)
@@ -168,40 +201,102 @@ def links(nodes: DataFrame, bits: int, *, every: bool = False) -> DataFrame:
             want = (size > 1) & ((wild[begin] == 0) | mixed)
             two = begin[want & (size == 2)]
             near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-            xs, ys = [near], [near + 1]
+            xs, ys, left = [near], [near + 1], [near[:0]]
             for b, n in zip(begin[want & (size > 2)].tolist(), size[want & (size > 2)].tolist()):
-                if pairs := run_links(fp[b : b + n], bits, every):
+                pairs, more = run_search(fp[b : b + n], bits, every)
+                if pairs:
                     x = np.array(pairs) + b
                     xs.append(x[:, 0])
                     ys.append(x[:, 1])
-            x, y = np.concatenate(xs), np.concatenate(ys)
+                if more:
+                    left.append(np.arange(b, b + n))
+            x, y, left = np.concatenate(xs), np.concatenate(ys), np.concatenate(left)
             if not every:
                 first = meeting(fp[x], fp[y], cuts) == key[x] >> np.int64(33)
                 x, y = x[first], y[first]
-            u, v = node[x], node[y]
-            e = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(e[0], pa.int64()), pa.array(e[1], pa.int64())], names=["u", "v"])
-
-        held: list[tuple[np.ndarray, ...]] = []
-        count = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            part = (b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
-            held.append(part)
-            count += b.num_rows
-            if count >= 1 << 18:
-                key, fp, node = (np.concatenate(x) for x in zip(*held))
-                last = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
-                if last:
-                    yield find(key[:last], fp[:last], node[:last])
-                held, count = [(key[last:], fp[last:], node[last:])], len(key) - last
-        if held:
-            yield find(*(np.concatenate(x) for x in zip(*held)))
+            yield found_rows((node[x], node[y]), (key[left], fp[left], node[left], np.zeros(len(left), np.int64)))
 
     rows = nodes.select(F.explode(variants(F.col("fp"), bits)).alias("key"), "fp", "node")
     rows = rows.repartition(tasks_for(spark, 4), "key").sortWithinPartitions("key", "fp", "node")
-    return rows.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return rows.mapInArrow(run, FOUND)
+
+
+def links(nodes: DataFrame, bits: int, *, every: bool = False) -> DataFrame:
+    """Links (u, v), u > v, between nodes (fp, node) whose fingerprints differ in at most ``bits`` bits.
+
+    Each node goes to the keys of its variants; equal keys meet by one shuffle, and a run of equal keys is verified at
+    once. Runs with a deleted bit only matter where that bit differs inside, for the others have met without it. A link
+    is given by the first key its ends meet under and left out by later ones: their ends are connected by then. That
+    doesn't hold for links that are verified afterwards (``every``), which each run gives that has them.
+    """
+    return links_of(search(nodes, bits, every))
+
+
+def links_of(found: DataFrame) -> DataFrame:
+    return found.where("v is not null").select("u", "v").distinct()
+
+
+def search_again(left: DataFrame, roots: DataFrame, bits: int, step: int) -> DataFrame:
+    """FOUND rows of dense runs: links not given yet, and the members of runs that have more.
+
+    left: members (key, fp, node, tried), roots: (node, root) of those joined so far. A pair belongs to the run of its
+    first key. There each member, besides those of the group with most members, gives its links with the next ``step``
+    of its nearest that it isn't joined with. A run is done once all that have more to give are in one group: then of
+    each pair one end has given it, or both are joined.
+    """
+    spark = left.sparkSession
+    ship(spark)
+    cuts = segments(bits)
+
+    def again(first: int, fp: np.ndarray, tried: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+        """Links as pairs of members; ``tried`` is brought up to date, -1 for members that have given all."""
+        out: list[tuple[int, int]] = []
+        _, group, count = np.unique(root, return_inverse=True, return_counts=True)
+        for x in np.flatnonzero((group != count.argmax()) & (tried >= 0)).tolist():
+            d = np.bitwise_count(fp ^ fp[x])
+            near = np.flatnonzero(d <= bits)
+            near = near[(meeting(fp[near], fp[x : x + 1], cuts) == first) & (near != x)]
+            near = near[np.argsort(d[near], kind="stable")]
+            now = near[tried[x] : tried[x] + step]
+            tried[x] = tried[x] + step if tried[x] + step < len(near) else -1
+            out += [(x, y) for y in now[group[now] != group[x]].tolist()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, node, tried, root in whole_runs(batches):
+            fp, tried = fp.view(np.uint64), tried.copy()
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
+            xs, ys, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for b, e in zip(edge, edge[1:]):
+                if pairs := again(int(key[b]) >> 33, fp[b:e], tried[b:e], root[b:e]):
+                    x = np.array(pairs) + b
+                    xs.append(x[:, 0])
+                    ys.append(x[:, 1])
+                if len(np.unique(root[b:e][tried[b:e] >= 0])) > 1:
+                    left.append(np.arange(b, e))
+            x, y, left = np.concatenate(xs), np.concatenate(ys), np.concatenate(left)
+            yield found_rows((node[x], node[y]), (key[left], fp[left], node[left], tried[left]))
+
+    rows = left.join(roots, "node", "left").select("key", "fp", "node", "tried", F.coalesce("root", "node").alias("root"))
+    rows = rows.repartition(tasks_for(spark, 4), "key").sortWithinPartitions("key", "fp", "node")
+    return rows.mapInArrow(run, FOUND)
+
+
+def verified_components(nodes: DataFrame, sketches: DataFrame, bits: int, least: float) -> DataFrame:
+    """components() of the links of nodes (fp, node) that alike() keeps.
+
+    Dense runs give some of their pairs first. Then they are searched again for pairs that aren't joined, twice as many a
+    member in each round, until none is left. Inside a group that is joined no more pairs are made.
+    """
+    found, roots, step = cut(search(nodes, bits, True)), None, MOST_EACH
+    while True:
+        edges = cut(alike(links_of(found), sketches, least))
+        roots = components(edges if roots is None else edges.unionAll(roots.toDF("u", "v")))
+        left = found.where("v is null").select("key", "fp", F.col("u").alias("node"), "tried")
+        if left.isEmpty():
+            return roots
+        step *= 2
+        found = cut(search_again(left, roots, bits, step))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,11 +357,10 @@ def group_near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = 2, dis
     folded = [F.min("doc_id").cast("long").alias("node")] + ([F.min_by("sketch", "doc_id").alias("sketch")] if verify else [])
     nodes = sig.groupBy("fp", "same").agg(*folded)
     known = nodes.where(F.col("node").isNotNull())
-    edges = links(known.select("fp", "node"), bits, every=verify is not None)
     if verify:
-        edges = cut(edges)
-        edges = alike(edges, known.select("node", "sketch"), verify[1])
-    roots = components(edges)
+        roots = verified_components(known.select("fp", "node"), known.select("node", "sketch"), bits, verify[1])
+    else:
+        roots = components(links(known.select("fp", "node"), bits))
     of_node = nodes.select("fp", "same", "node").join(roots, "node", "left").select("fp", "same", F.coalesce("root", "node").alias("component_id"))
     return sig.select("doc_id", "fp", "same").join(of_node, ["fp", "same"]).select("doc_id", "fp", "component_id")
 

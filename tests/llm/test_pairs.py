@@ -155,6 +155,37 @@ def test_simhash_verified(docs, rows):
     assert sum(got[i] != i for i in range(240)) == 0
 
 
+def edited_copies(n, words, edits, seed):
+    """A text and copies of it or of other copies, each with some words replaced."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    out = [[r.choice(vocabulary) for _ in range(words)]]
+    while len(out) < n:
+        copy = list(out[0] if r.random() < 0.5 else r.choice(out))
+        for _ in range(r.randint(1, edits)):
+            copy[r.randrange(words)] = r.choice(vocabulary)
+        out.append(copy)
+    return [" ".join(w) for w in out]
+
+
+def check_verified(spark, texts):
+    """Single linkage of all pairs within 7 bits whose sets of 5-word shingles are alike to 0.8, exactly."""
+    prints = [brute_fingerprint(" ".join(dict.fromkeys(t.split())), 1) for t in texts]
+    shingles = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+
+    def near(a, b):
+        both = len(shingles[a] & shingles[b])
+        return (prints[a] ^ prints[b]).bit_count() <= 7 and 10 * both >= 8 * (len(shingles[a]) + len(shingles[b]) - both)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.group_near_duplicates(df, width=1, distinct=True, bits=7, verify=(5, 0.8)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components([(k, k) for k in range(len(texts))], near)
+
+
+def test_simhash_verified_dense(spark):
+    check_verified(spark, edited_copies(400, 150, 3, 8))
+
+
 def test_simhash_empty(empty):
     assert simhash.group_near_duplicates(empty[0]).count() == 0
 
