@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import LOWER, cut, documents, map_docs, ship, tasks_for
 
 SEED = 42
-#: Shingle hashes of a text that its sketch keeps (the smallest); texts with no more of them compare exactly.
-SKETCH = 256
 #: Members of a run up to which its pairs are counted, and pairs for each member up to which all are links.
 WHOLE, MOST_EACH = 4096, 6
+#: Ids up to which the documents whose shingles are compared are picked by a broadcast.
+FEW = 1 << 20
 #: Nearest members that a member of a still larger run is linked with for verification, besides its search tree.
 NEAREST = 8
 
@@ -46,30 +46,42 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
 
 
-def signatures(docs: DataFrame, *, width: int = 3, distinct: bool = False, sketch: int = 0) -> DataFrame:
-    """(doc_id, fp, same[, sketch]) of whole texts, A-Z in lower case. fp: the fingerprint as a signed long.
+def signatures(docs: DataFrame, *, width: int = 3, distinct: bool = False, words: bool = False) -> DataFrame:
+    """(doc_id, fp, same) of whole texts, A-Z in lower case. fp: the fingerprint as a signed long.
 
-    distinct: each shingle counts once. sketch: also the smallest hashes of the 5-word shingles, for that width as
-    given; then ``same`` is a hash of the words, else 0 (texts of one fingerprint are alike).
+    distinct: each shingle counts once. words: ``same`` is a hash of the words, else 0 (texts of one fingerprint are alike).
     """
 
     def make():
         def fn(ids: list, texts: list[bytes]) -> dict:
-            fps, same, sketches = [], [], []
+            fps, same = [], []
             for t in texts:
-                words = t.translate(LOWER).split()
-                h = hashes(list(set(words)) if distinct and width == 1 else shingles(words, width))
+                parts = t.translate(LOWER).split()
+                h = hashes(list(set(parts)) if distinct and width == 1 else shingles(parts, width))
                 fps.append(fingerprint(np.unique(h) if distinct else h))
-                if sketch:
-                    s = np.unique(hashes(shingles(words, sketch)))[:SKETCH]
-                    sketches.append(s.astype("<u8").tobytes())
-                    same.append(xxhash.xxh64_intdigest(b" ".join(words), SEED + 1))
-            out = {"fp": np.array(fps, np.uint64).view(np.int64), "same": np.array(same or [0] * len(fps), np.uint64).view(np.int64)}
-            return out | ({"sketch": sketches} if sketch else {})
+                same.append(xxhash.xxh64_intdigest(b" ".join(parts), SEED + 1) if words else 0)
+            return {"fp": np.array(fps, np.uint64).view(np.int64), "same": np.array(same, np.uint64).view(np.int64)}
 
         return fn
 
-    return map_docs(docs, make, [("fp", "long"), ("same", "long")] + ([("sketch", "binary")] if sketch else []))
+    return map_docs(docs, make, [("fp", "long"), ("same", "long")])
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): all distinct shingle hashes of the documents whose ids (node) are given, one row for each of an id's texts."""
+
+    def make():
+        def fn(_: list, texts: list[bytes]) -> dict:
+            parts = [t.translate(LOWER).split() for t in texts]
+            return {"shingles": [np.unique(hashes(shingles(w, width))).view(np.int64) for w in parts]}
+
+        return fn
+
+    ids = cut(ids.distinct())
+    n = ids.count()
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= FEW else ids, F.col("doc_id").cast("long") == F.col("node"), "left_semi")
+    sets = cut(map_docs(picked, make, [("shingles", "array<long>")]).select(F.col("doc_id").cast("long").alias("node"), "shingles"))
+    return sets if sets.count() <= n else sets.distinct()
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -282,15 +294,16 @@ def search_again(left: DataFrame, roots: DataFrame, bits: int, step: int) -> Dat
     return rows.mapInArrow(run, FOUND)
 
 
-def verified_components(nodes: DataFrame, sketches: DataFrame, bits: int, least: float) -> DataFrame:
-    """components() of the links of nodes (fp, node) that alike() keeps.
+def verified_components(nodes: DataFrame, docs: DataFrame, bits: int, width: int, least: float) -> DataFrame:
+    """components() of the links of nodes (fp, node: a doc_id) that alike() keeps.
 
     Dense runs give some of their pairs first. Then they are searched again for pairs that aren't joined, twice as many a
     member in each round, until none is left. Inside a group that is joined no more pairs are made.
     """
     found, roots, step = cut(search(nodes, bits, True)), None, MOST_EACH
+    sets = shingle_sets(docs, found.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null"), width)
     while True:
-        edges = cut(alike(links_of(found), sketches, least))
+        edges = cut(alike(links_of(found), sets, least))
         roots = components(edges if roots is None else edges.unionAll(roots.toDF("u", "v")))
         left = found.where("v is null").select("key", "fp", F.col("u").alias("node"), "tried")
         if left.isEmpty():
@@ -320,45 +333,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def alike(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The links whose texts' sketches (node, sketch) show a shingle similarity of ``least`` or more."""
-    ship(edges.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.union1d(x, y)
-                if max(len(x), len(y)) >= SKETCH:
-                    both = both[:SKETCH]
-                shared = np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)
-                keep.append(bool(shared.sum() >= least * len(both)))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    one = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
-    two = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b"))
-    return edges.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+def alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links whose texts' sets (node, shingles) have a similarity of ``least`` or more, exactly."""
+    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    shared = edges.join(one, "u").join(two, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("of"))
+    return shared.where((F.col("of") == 0) | (F.col("n") / (F.col("of") - F.col("n")) >= least)).select("u", "v")
 
 
 def group_near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = 2, distinct: bool = False, verify: tuple[int, float] | None = None) -> DataFrame:
     """(doc_id, fp, component_id): documents linked where fingerprints differ in at most ``bits`` bits.
 
     With ``verify`` = (words, similarity), a link also needs that similarity of the texts' shingles of so many words
-    (from sketches of the smallest hashes; exact for texts with up to SKETCH distinct shingles). Copies are folded into
-    one node before anything is shuffled by key, so a group of copies is one row of the join. component_id is the
+    (of the whole sets, exactly). Copies are folded into one node before anything is shuffled by key, so a group of copies is one row of the join. component_id is the
     smallest doc_id reachable.
 
     doc_id is an integer. Null texts are empty; empty texts share fingerprint zero and are linked like any other. Rows
     that repeat give one row each. Rows that share a doc_id count as one document in links. A null id can't name a
     component, but its row gets the component of its fingerprint's other rows, null if there is none.
     """
-    sig = cut(signatures(docs, width=width, distinct=distinct, sketch=verify[0] if verify else 0))
-    folded = [F.min("doc_id").cast("long").alias("node")] + ([F.min_by("sketch", "doc_id").alias("sketch")] if verify else [])
-    nodes = sig.groupBy("fp", "same").agg(*folded)
+    sig = cut(signatures(docs, width=width, distinct=distinct, words=verify is not None))
+    nodes = sig.groupBy("fp", "same").agg(F.min("doc_id").cast("long").alias("node"))
     known = nodes.where(F.col("node").isNotNull())
     if verify:
-        roots = verified_components(known.select("fp", "node"), known.select("node", "sketch"), bits, verify[1])
+        roots = verified_components(known.select("fp", "node"), docs, bits, *verify)
     else:
         roots = components(links(known.select("fp", "node"), bits))
     of_node = nodes.select("fp", "same", "node").join(roots, "node", "left").select("fp", "same", F.coalesce("root", "node").alias("component_id"))

@@ -186,6 +186,18 @@ def test_simhash_verified_dense(spark):
     check_verified(spark, edited_copies(400, 150, 3, 8))
 
 
+def test_simhash_verified_long(spark):
+    """Pairs on both sides of 0.8, of texts with many shingles."""
+    r, texts = random.Random(9), []
+    for k in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(900)]
+        texts.append(" ".join(words))
+        for place in r.sample(range(0, 900, 6), 19 + k % 4):
+            words[place] = f"x{r.randrange(5000)}"
+        texts.append(" ".join(words))
+    check_verified(spark, texts)
+
+
 def test_simhash_empty(empty):
     assert simhash.group_near_duplicates(empty[0]).count() == 0
 
