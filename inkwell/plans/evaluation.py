@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from inkwell.operators.stylometry import NATIVE, native_features
 from inkwell.plans import nativesql
 from inkwell.plans import roles as ro
 from inkwell.plans.relational import values
+from inkwell.runtime import shared_folder
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -175,8 +175,7 @@ def incremental_events(spark, d):
     """Take up the events table as a file stream, twice; the second run finds nothing new."""
     from inkwell.streaming.incremental import process_new
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp()
-    folder, schema = f"{root}/incremental-{uuid.uuid4()}", ro.table(spark, d, "events").schema.simpleString()[7:-1].replace(":", " ")
+    folder, schema = f"{shared_folder(spark)}/incremental-{uuid.uuid4()}", ro.table(spark, d, "events").schema.simpleString()[7:-1].replace(":", " ")
     out = "event_id bigint, user_id bigint, value double"
     for _ in range(2):
         process_new(spark, f"{d}/events.parquet*", schema, "event_id", lambda df: df.select("event_id", "user_id", "value"), f"{folder}/out", out, f"{folder}/state")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +24,22 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(root.parent))
         sc.addPyFile(name)
         _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: spark.checkpoint.dir. A temporary one stands in only where the master is local
+    and none is set; on a cluster its files would go with their machine, so there it is an error."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir", ""):
+        return folder
+    if not re.match(r"local($|\[)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local.setdefault(sc.applicationId, tempfile.mkdtemp())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage cut that survives a lost executor: a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
