@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import LOWER, cut, documents, map_docs, ship, tasks_for
 
 SEED = 42
-#: Members of a run up to which its pairs are counted, and pairs for each member up to which all are links.
-WHOLE, MOST_EACH = 4096, 6
-#: Ids up to which the documents whose shingles are compared are picked by a broadcast.
+#: Ids up to which rows are picked by a broadcast of ids.
 FEW = 1 << 20
-#: Nearest members that a member of a still larger run is linked with for verification, besides its search tree.
-NEAREST = 8
+#: Members of a component that are compared in one block, members that all of a larger one are compared with first, and
+#: shingle hashes that a block has about.
+SMALL, PIVOTS, BLOCK_HASHES = 64, 16, 1 << 22
+#: Rows of a block that others are compared with, that are compared with others, and that are both.
+HELD, ASKS, BOTH = 0, 1, 2
 
 
 def shingles(words: list[bytes], width: int) -> list[bytes]:
@@ -68,7 +69,7 @@ def signatures(docs: DataFrame, *, width: int = 3, distinct: bool = False, words
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): all distinct shingle hashes of the documents whose ids (node) are given, one row for each of an id's texts."""
+    """(node, shingles): the distinct shingle hashes of each row whose id (node) is given."""
 
     def make():
         def fn(_: list, texts: list[bytes]) -> dict:
@@ -78,10 +79,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         return fn
 
     ids = cut(ids.distinct())
-    n = ids.count()
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= FEW else ids, F.col("doc_id").cast("long") == F.col("node"), "left_semi")
-    sets = cut(map_docs(picked, make, [("shingles", "array<long>")]).select(F.col("doc_id").cast("long").alias("node"), "shingles"))
-    return sets if sets.count() <= n else sets.distinct()
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= FEW else ids, F.col("doc_id").cast("long") == F.col("node"), "left_semi")
+    return map_docs(picked, make, [("shingles", "array<long>")]).select(F.col("doc_id").cast("long").alias("node"), "shingles")
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -102,54 +101,22 @@ def variants(fp: Column, bits: int) -> Column:
     return F.array(*keys)
 
 
-def run_links(fp: np.ndarray, bits: int, every: bool) -> list[tuple[int, int]]:
-    return run_search(fp, bits, every)[0]
-
-
-def run_search(fp: np.ndarray, bits: int, every: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Links inside a run of one key, as pairs of its members at most ``bits`` bits apart.
-
-    Breadth-first trees, in which each member looks at the members not reached yet: they connect what all pairs would.
-    With ``every`` (for links that are verified afterwards) all pairs, unless the run is a dense cluster of more than
-    MOST_EACH pairs for each member; then the trees, and each member with those of its neighbours that have the most
-    neighbours (beyond WHOLE members, with its nearest). Links grow linearly either way. Also whether all pairs were
-    asked for and some may be left out.
-    """
-    n, out = len(fp), []
-    if every and n <= WHOLE:
-        near = np.concatenate([np.bitwise_count(fp[k : k + 256, None] ^ fp[None]) <= bits for k in range(0, n, 256)])
-        np.fill_diagonal(near, False)
-        degree = near.sum(1)
-        if degree.sum() > 2 * MOST_EACH * n:
-            # what many are near to is likeliest what they were copied from
-            hubs = np.lexsort((np.arange(n), -degree))
-            near &= np.cumsum(near[:, hubs], axis=1)[:, np.argsort(hubs)] <= MOST_EACH
-            near |= near.T
-        a, b = np.nonzero(np.triu(near, 1))
-        out = list(zip(a.tolist(), b.tolist()))
-        if degree.sum() <= 2 * MOST_EACH * n:
-            return out, False
-    rest = np.arange(n)
+def run_links(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Links inside a run of one key, as pairs of its members: breadth-first trees, in which each member looks at those
+    not reached yet. They connect what all pairs at most ``bits`` bits apart would, and grow with the members only."""
+    out: list[tuple[int, int]] = []
+    rest = np.arange(len(fp))
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             x = front.pop()
             near = np.bitwise_count(fp[rest] ^ fp[x]) <= bits
-            found = rest[near].tolist()
-            out += [(x, y) for y in found]
-            front += found
-            rest = rest[~near]
-    if every and n > WHOLE:
-        order = np.argsort(fp)
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        for x in range(n):
-            around = order[max(0, place[x] - 64) : place[x] + 64]
-            d = np.bitwise_count(fp[around] ^ fp[x])
-            for y in around[np.argsort(d, kind="stable")[: NEAREST + 1]].tolist():
-                if y != x and int(fp[x] ^ fp[y]).bit_count() <= bits:
-                    out.append((min(x, y), max(x, y)))
-    return out, every and len(out) > 0
+            if near.any():
+                found = rest[near].tolist()
+                out += [(x, y) for y in found]
+                front += found
+                rest = rest[~near]
+    return out
 
 
 def meeting(a: np.ndarray, b: np.ndarray, cuts: list[tuple[int, int]]) -> np.ndarray:
@@ -181,22 +148,13 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def found_rows(links: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    """Distinct links (u, v), u > v, and then the rows (key, fp, u, tried) of members that have more links to give."""
-    u, v = links
-    e = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.zeros((2, 0), np.int64)
-    e = e[:, e[0] != e[1]]
-    none, (key, fp, node, tried) = np.zeros(e.shape[1], np.int64), left
-    columns = [np.concatenate(x) for x in ((none, key), (none, fp.view(np.int64)), (e[0], node), (e[1], node), (none, tried))]
-    link = np.arange(len(columns[0])) < len(none)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=~link if k == 3 else None) for k, c in enumerate(columns)], names=["key", "fp", "u", "v", "tried"])
+def links(nodes: DataFrame, bits: int) -> DataFrame:
+    """Links (u, v), u > v, between nodes (fp, node): they connect all whose fingerprints differ in at most ``bits`` bits.
 
-
-FOUND = "key long, fp long, u long, v long, tried long"
-
-
-def search(nodes: DataFrame, bits: int, every: bool) -> DataFrame:
-    """FOUND rows of nodes (fp, node): links, and (v null) with ``every`` the members of dense runs, which gave only some."""
+    Each node goes to the keys of its variants; equal keys meet by one shuffle, and a run of equal keys is verified at
+    once. Runs with a deleted bit only matter where that bit differs inside, for the others have met without it. A link
+    is given by the first key its ends meet under and left out by later ones: their ends are connected by then.
+    """
     spark = nodes.sparkSession
     ship(spark)
     cuts = segments(bits)
@@ -213,103 +171,127 @@ def search(nodes: DataFrame, bits: int, every: bool) -> DataFrame:
             want = (size > 1) & ((wild[begin] == 0) | mixed)
             two = begin[want & (size == 2)]
             near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-            xs, ys, left = [near], [near + 1], [near[:0]]
+            xs, ys = [near], [near + 1]
             for b, n in zip(begin[want & (size > 2)].tolist(), size[want & (size > 2)].tolist()):
-                pairs, more = run_search(fp[b : b + n], bits, every)
-                if pairs:
+                if pairs := run_links(fp[b : b + n], bits):
                     x = np.array(pairs) + b
                     xs.append(x[:, 0])
                     ys.append(x[:, 1])
-                if more:
-                    left.append(np.arange(b, b + n))
-            x, y, left = np.concatenate(xs), np.concatenate(ys), np.concatenate(left)
-            if not every:
-                first = meeting(fp[x], fp[y], cuts) == key[x] >> np.int64(33)
-                x, y = x[first], y[first]
-            yield found_rows((node[x], node[y]), (key[left], fp[left], node[left], np.zeros(len(left), np.int64)))
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            first = meeting(fp[x], fp[y], cuts) == key[x] >> np.int64(33)
+            u, v = node[x[first]], node[y[first]]
+            e = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)])[:, u != v], axis=1) if len(u) else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e[0], pa.int64()), pa.array(e[1], pa.int64())], names=["u", "v"])
 
     rows = nodes.select(F.explode(variants(F.col("fp"), bits)).alias("key"), "fp", "node")
     rows = rows.repartition(tasks_for(spark, 4), "key").sortWithinPartitions("key", "fp", "node")
-    return rows.mapInArrow(run, FOUND)
-
-
-def links(nodes: DataFrame, bits: int, *, every: bool = False) -> DataFrame:
-    """Links (u, v), u > v, between nodes (fp, node) whose fingerprints differ in at most ``bits`` bits.
-
-    Each node goes to the keys of its variants; equal keys meet by one shuffle, and a run of equal keys is verified at
-    once. Runs with a deleted bit only matter where that bit differs inside, for the others have met without it. A link
-    is given by the first key its ends meet under and left out by later ones: their ends are connected by then. That
-    doesn't hold for links that are verified afterwards (``every``), which each run gives that has them.
-    """
-    return links_of(search(nodes, bits, every))
-
-
-def links_of(found: DataFrame) -> DataFrame:
-    return found.where("v is not null").select("u", "v").distinct()
-
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def alike(pivots: list[np.ndarray], sets: list[np.ndarray], least: float) -> list[np.ndarray]:
+    """For each pivot the places of all sets whose similarity (shared of all hashes) with it is ``least`` or more, exactly.
+    Only sets that share a hash with a pivot are looked at; sets without any hash are alike."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate([np.zeros(0, np.int64), *sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner, out = flat[order], np.repeat(np.arange(len(sets)), size)[order], []
+    for p in pivots:
+        lo, hi = np.searchsorted(flat, p, "left"), np.searchsorted(flat, p, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(owner[at], minlength=len(sets))
+        out.append(np.flatnonzero(shared >= least * (len(p) + size - shared) - 1e-9))
+    return out
 
-def search_again(left: DataFrame, roots: DataFrame, bits: int, step: int) -> DataFrame:
-    """FOUND rows of dense runs: links not given yet, and the members of runs that have more.
 
-    left: members (key, fp, node, tried), roots: (node, root) of those joined so far. A pair belongs to the run of its
-    first key. There each member, besides those of the group with most members, gives its links with the next ``step``
-    of its nearest that it isn't joined with. A run is done once all that have more to give are in one group: then of
-    each pair one end has given it, or both are joined.
-    """
-    spark = left.sparkSession
+def compare(rows: DataFrame, least: float) -> DataFrame:
+    """Verified links (u, v), u > v, of rows (comp, blk, kind, node, root, shingles). In each block of a component the rows
+    of kind ASKS and BOTH are compared with those of kind HELD and BOTH. Of the members of one group (root) that a row is
+    like, one link is given, so links don't grow with the square of a block."""
+    spark = rows.sparkSession
     ship(spark)
-    cuts = segments(bits)
 
-    def again(first: int, fp: np.ndarray, tried: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
-        """Links as pairs of members; ``tried`` is brought up to date, -1 for members that have given all."""
-        out: list[tuple[int, int]] = []
-        _, group, count = np.unique(root, return_inverse=True, return_counts=True)
-        for x in np.flatnonzero((group != count.argmax()) & (tried >= 0)).tolist():
-            d = np.bitwise_count(fp ^ fp[x])
-            near = np.flatnonzero(d <= bits)
-            near = near[(meeting(fp[near], fp[x : x + 1], cuts) == first) & (near != x)]
-            near = near[np.argsort(d[near], kind="stable")]
-            now = near[tried[x] : tried[x] + step]
-            tried[x] = tried[x] + step if tried[x] + step < len(near) else -1
-            out += [(x, y) for y in now[group[now] != group[x]].tolist()]
-        return out
+    def edges(kind: list[int], node: list[int], root: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        asking = [k for k, x in enumerate(kind) if x != HELD]
+        held = np.array([k for k, x in enumerate(kind) if x != ASKS], np.int64)
+        groups, uv = np.array(root, np.int64), set()
+        found = alike([sets[k] for k in asking], [sets[k] for k in held], least) if asking and len(held) else []
+        for k, near in zip(asking, found):
+            near = held[near]
+            near = near[groups[near] != groups[k]]
+            for y in near[np.unique(groups[near], return_index=True)[1]].tolist():
+                uv.add((max(node[k], node[y]), min(node[k], node[y])))
+        e = np.array(sorted(p for p in uv if p[0] != p[1]), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0], pa.int64()), pa.array(e[:, 1], pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, node, tried, root in whole_runs(batches):
-            fp, tried = fp.view(np.uint64), tried.copy()
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
-            xs, ys, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for b, e in zip(edge, edge[1:]):
-                if pairs := again(int(key[b]) >> 33, fp[b:e], tried[b:e], root[b:e]):
-                    x = np.array(pairs) + b
-                    xs.append(x[:, 0])
-                    ys.append(x[:, 1])
-                if len(np.unique(root[b:e][tried[b:e] >= 0])) > 1:
-                    left.append(np.arange(b, e))
-            x, y, left = np.concatenate(xs), np.concatenate(ys), np.concatenate(left)
-            yield found_rows((node[x], node[y]), (key[left], fp[left], node[left], tried[left]))
-
-    rows = left.join(roots, "node", "left").select("key", "fp", "node", "tried", F.coalesce("root", "node").alias("root"))
-    rows = rows.repartition(tasks_for(spark, 4), "key").sortWithinPartitions("key", "fp", "node")
-    return rows.mapInArrow(run, FOUND)
+        block: tuple[list, list, list, list] = ([], [], [], [])
+        now = None
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns[:5]]
+            sets = b.column(5)
+            flat, edge = sets.values.to_numpy(), sets.offsets.to_numpy()
+            for k, key in enumerate(zip(cols[0], cols[1])):
+                if now != key:
+                    if len(block[0]) > 1:
+                        yield edges(*block)
+                    block, now = ([], [], [], []), key
+                for held, value in zip(block, (cols[2][k], cols[3][k], cols[4][k], flat[edge[k] : edge[k + 1]].copy())):
+                    held.append(value)
+        if len(block[0]) > 1:
+            yield edges(*block)
+
+    rows = rows.select("comp", "blk", "kind", "node", "root", "shingles").repartition(tasks_for(spark, 4), "comp", "blk")
+    return rows.sortWithinPartitions("comp", "blk").mapInArrow(run, "u long, v long").distinct()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def verified_components(nodes: DataFrame, docs: DataFrame, bits: int, width: int, least: float) -> DataFrame:
-    """components() of the links of nodes (fp, node: a doc_id) that alike() keeps.
-
-    Dense runs give some of their pairs first. Then they are searched again for pairs that aren't joined, twice as many a
-    member in each round, until none is left. Inside a group that is joined no more pairs are made.
+    """components() of all pairs of nodes (fp, node: a doc_id) within one component of fingerprint links whose sets of
+    shingles are alike to ``least``: single linkage, exactly.
+
+    Components of more than SMALL members, or of long texts, are cut into blocks of a size that grows with the root of the
+    component's. First every member is compared with its own block, and some PIVOTS members with all blocks; what is alike
+    is joined. After that a pair that isn't joined has an end outside its component's largest group, so it is enough to
+    compare those members with every block: all at once where this sends few rows for each member, else four times as many
+    in each turn. Members that have been compared with all are done, so the turns end with nothing left; inside a group
+    that is joined no more pairs are made.
     """
-    found, roots, step = cut(search(nodes, bits, True)), None, MOST_EACH
-    sets = shingle_sets(docs, found.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null"), width)
+    cand = components(links(nodes, bits))
+    members = cand.select(F.col("root").alias("comp"), "node").unionAll(cand.select(F.col("root").alias("comp"), F.col("root").alias("node")).distinct())
+    sets = cut(cut(members).join(shingle_sets(docs, members.select("node"), width), "node"))
+    sizes = sets.groupBy("comp").agg(F.count("*").alias("size"), F.sum(F.size("shingles")).alias("bytes"))
+    blocks = F.greatest(F.when(F.col("size") > SMALL, F.ceil(F.sqrt(F.col("size").cast("double")) / 4)).otherwise(1), F.ceil(F.col("bytes") / BLOCK_HASHES)).cast("int")
+    large = cut(sizes.withColumn("blocks", blocks).where("blocks > 1").select("comp", "size", "blocks"))
+    sets = sets.join(small(large), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    luck = lambda turn: F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
+    blk = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    to_all = lambda df: df.withColumn("kind", F.lit(ASKS)).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    first = luck(0) * F.col("size") < PIVOTS
+    own = sets.withColumn("blk", blk).withColumn("kind", F.lit(BOTH)).withColumn("root", F.col("node"))
+    roots = components(compare(own.unionByName(to_all(own.where((F.col("blocks") > 1) & first))), least))
+    many = cut(sets.where("blocks > 1").withColumn("blk", blk).withColumn("kind", F.lit(HELD)))
+    state = many.select("comp", "size", "blocks", "node", first.alias("done")).distinct()
+    turn = PIVOTS
     while True:
-        edges = cut(alike(links_of(found), sets, least))
-        roots = components(edges if roots is None else edges.unionAll(roots.toDF("u", "v")))
-        left = found.where("v is null").select("key", "fp", F.col("u").alias("node"), "tried")
-        if left.isEmpty():
+        state = cut(state.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        groups = state.groupBy("comp", "root").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open"))
+        tops = groups.groupBy("comp").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("top"), F.max_by("open", F.struct("n", -F.col("root"))).alias("there"), F.sum("open").alias("all"))
+        tops = cut(tops.where("all > there").select("comp", "top", (F.col("all") - F.col("there")).alias("left")))
+        if tops.isEmpty():
             return roots
-        step *= 2
-        found = cut(search_again(left, roots, bits, step))
+        turn *= 4
+        state = state.join(small(tops), "comp", "left")
+        asked = F.coalesce(~F.col("done") & (F.col("root") != F.col("top")) & ((F.col("left") * F.col("blocks") <= 16 * F.col("size")) | (luck(turn) * F.col("left") < turn)), F.lit(False))
+        state = cut(state.withColumn("asked", asked).drop("left"))
+        pool = many.join(state.where("top is not null").select("node", "root", "asked"), "node")
+        found = compare(pool.unionByName(to_all(pool.where("asked"))), least)
+        roots = components(roots.toDF("u", "v").unionAll(found))
+        state = state.select("comp", "size", "blocks", "node", (F.col("done") | F.col("asked")).alias("done"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -333,20 +315,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def alike(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links whose texts' sets (node, shingles) have a similarity of ``least`` or more, exactly."""
-    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    shared = edges.join(one, "u").join(two, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("of"))
-    return shared.where((F.col("of") == 0) | (F.col("n") / (F.col("of") - F.col("n")) >= least)).select("u", "v")
-
-
 def group_near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = 2, distinct: bool = False, verify: tuple[int, float] | None = None) -> DataFrame:
     """(doc_id, fp, component_id): documents linked where fingerprints differ in at most ``bits`` bits.
 
-    With ``verify`` = (words, similarity), a link also needs that similarity of the texts' shingles of so many words
-    (of the whole sets, exactly). Copies are folded into one node before anything is shuffled by key, so a group of copies is one row of the join. component_id is the
-    smallest doc_id reachable.
+    With ``verify`` = (words, similarity), a link is instead a pair of documents that such links connect and whose
+    shingles of so many words have that similarity (of the whole sets, exactly). Copies are folded into one node before
+    anything is shuffled by key, so a group of copies is one row of the join. component_id is the smallest doc_id
+    reachable.
 
     doc_id is an integer. Null texts are empty; empty texts share fingerprint zero and are linked like any other. Rows
     that repeat give one row each. Rows that share a doc_id count as one document in links. A null id can't name a
@@ -354,15 +329,37 @@ def group_near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = 2, dis
     """
     sig = cut(signatures(docs, width=width, distinct=distinct, words=verify is not None))
     nodes = sig.groupBy("fp", "same").agg(F.min("doc_id").cast("long").alias("node"))
-    known = nodes.where(F.col("node").isNotNull())
-    if verify:
-        roots = verified_components(known.select("fp", "node"), docs, bits, *verify)
-    else:
-        roots = components(links(known.select("fp", "node"), bits))
-    of_node = nodes.select("fp", "same", "node").join(roots, "node", "left").select("fp", "same", F.coalesce("root", "node").alias("component_id"))
+    known = nodes.where(F.col("node").isNotNull()).select("fp", "node")
+    roots = verified_components(known, docs, bits, *verify) if verify else components(links(known, bits))
+    of_node = nodes.join(roots, "node", "left").select("fp", "same", F.coalesce("root", "node").alias("component_id"))
     return sig.select("doc_id", "fp", "same").join(of_node, ["fp", "same"]).select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, *, width: int, bits: int, distinct: bool, verify: tuple[int, float]) -> DataFrame:
+    """The documents that stay when of each group (as in group_near_duplicates) one does: that of the smallest doc_id.
+
+    A document is a row's id and text. So rows that share an id but not the text are judged apart, null ids come last
+    and stay like others, and of rows equal in both one stays (which one isn't fixed, if their other columns differ).
+    Null texts are empty, and empty texts are copies of each other. All columns stay, whatever their names.
+    """
+    key = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"].cast("string"), F.lit("")))
+    named = docs.select(F.struct(key.alias("key"), docs["doc_id"].alias("id")).alias("doc_id"), docs["text"].alias("text"))
+    sig = cut(signatures(named, width=width, distinct=distinct, words=True).select("doc_id.key", "doc_id.id", "fp", "same"))
+    nodes = cut(sig.groupBy("fp", "same").agg(F.min("key").alias("node"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best")))
+    roots = verified_components(nodes.select("fp", "node"), docs.select(key.alias("doc_id"), docs["text"].alias("text")), bits, *verify)
+    member = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    first = member.join(nodes.select("node", "best"), "node").groupBy("root").agg(F.min("best").alias("first"))
+    kept = nodes.join(member.join(first, "root").drop("root"), "node", "left").select("fp", "same", F.coalesce("first", "best")["key"].alias("kept"))
+    judged = sig.join(kept, ["fp", "same"]).select("key", (F.col("key") == F.col("kept")).alias("stays"))
+    fate = cut(judged.groupBy("key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"))
+    fate = small(fate)
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), key.alias("key")).join(fate, "key", "left")
+    once, more = rows.where("n is null").select("row.*"), rows.where("stays and n > 1")
+    if fate.where("stays").isEmpty():
+        return once
+    return once.unionByName(more.groupBy("key", "row.doc_id", "row.text").agg(F.first("row").alias("row")).select("row.*"))
+
+
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = group_near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -122,30 +122,10 @@ def test_links_connect_like_brute_force(spark, bits):
     prints = list(dict.fromkeys(prints + [hot ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)]))
     nodes = list(enumerate(prints))
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in nodes], "fp long, node long")
-    for every in (False, True):
-        edges = simhash.links(df, bits, every=every)
-        assert all((prints[e.u] ^ prints[e.v]).bit_count() <= bits for e in edges.collect())
-        found = {x.node: x.root for x in simhash.components(edges).collect()}
-        assert [found.get(k, k) for k, _ in nodes] == brute_components(nodes, lambda a, b: (a ^ b).bit_count() <= bits)
-
-
-def test_simhash_links_of_every_run(spark):
-    """A pair that a dense run leaves out is given by a later, sparse run."""
-    r = random.Random(6)
-    base, bits, fps = r.getrandbits(63), 7, set()
-    while len(fps) < 300:
-        fps.add(base ^ sum(1 << b for b in r.sample(range(16, 63), 3)))
-    fps, runs, want = sorted(fps), {}, set()
-    for k, f in enumerate(fps):
-        for low, width in simhash.segments(bits):
-            part = f >> low & (1 << width) - 1
-            for wild in range(width + 1):
-                runs.setdefault((low, wild, part & ~(1 << wild >> 1)), []).append(k)
-    for (low, wild, _), run in runs.items():
-        if not wild or len({fps[k] >> low + wild - 1 & 1 for k in run}) > 1:
-            want |= {(run[b], run[a]) for a, b in map(sorted, simhash.run_links(np.array([fps[k] for k in run], np.uint64), bits, True))}
-    df = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, node long")
-    assert want <= {(x.u, x.v) for x in simhash.links(df, bits, every=True).collect()}
+    edges = simhash.links(df, bits)
+    assert all((prints[e.u] ^ prints[e.v]).bit_count() <= bits for e in edges.collect())
+    found = {x.node: x.root for x in simhash.components(edges).collect()}
+    assert [found.get(k, k) for k, _ in nodes] == brute_components(nodes, lambda a, b: (a ^ b).bit_count() <= bits)
 
 
 def test_simhash_verified(docs, rows):
@@ -169,23 +149,45 @@ def edited_copies(n, words, edits, seed):
 
 
 def check_verified(spark, texts):
-    """Single linkage of all pairs within 7 bits whose sets of 5-word shingles are alike to 0.8, exactly."""
+    """Single linkage of all pairs that fingerprints connect and whose sets of 5-word shingles are alike to 0.8, exactly."""
     prints = [brute_fingerprint(" ".join(dict.fromkeys(t.split())), 1) for t in texts]
     shingles = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    cand = brute_components(list(enumerate(prints)), lambda a, b: (a ^ b).bit_count() <= 7)
 
     def near(a, b):
+        if cand[a] != cand[b]:
+            return False
         both = len(shingles[a] & shingles[b])
-        return (prints[a] ^ prints[b]).bit_count() <= 7 and 10 * both >= 8 * (len(shingles[a]) + len(shingles[b]) - both)
+        return 10 * both >= 8 * (len(shingles[a]) + len(shingles[b]) - both)
 
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.group_near_duplicates(df, width=1, distinct=True, bits=7, verify=(5, 0.8)).collect()}
-    assert [got[k] for k in range(len(texts))] == brute_components([(k, k) for k in range(len(texts))], near)
+    want = brute_components([(k, k) for k in range(len(texts))], near)
+    assert [got[k] for k in range(len(texts))] == want
+    return want
 
 
 def test_simhash_verified_dense(spark):
     check_verified(spark, edited_copies(400, 150, 3, 8))
 
 
+def test_simhash_verified_in_turns(spark, monkeypatch):
+    """Small blocks, few pivots and copies of copies, so that several turns are needed."""
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    assert len(set(check_verified(spark, edited_copies(300, 120, 6, 10)))) > 1
+
+
+def test_drop_near_duplicates(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(5, base), (3, base + " more"), (5, base), (5, "another text"), (-1, base), (None, base), (None, "alone"), (None, "alone"), (None, "other"), (7, None), (6, ""), (8, "x"), (8, "x")]
+    df = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, key string, stays int")
+    out = simhash.drop_near_duplicates(df, width=1, bits=7, distinct=True, verify=(5, 0.8))
+    assert out.columns == df.columns
+    want = [(-1, base), (5, "another text"), (6, ""), (8, "x"), (None, "alone"), (None, "other")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_simhash_verified_long(spark):
     """Pairs on both sides of 0.8, of texts with many shingles."""
     r, texts = random.Random(9), []
