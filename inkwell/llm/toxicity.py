@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.llm.common import WORDS, crc_mod, documents, map_docs, ship
 
-#: Labelled examples in the index, at most, of label 1 and of label 0 (those first in hash order).
-MOST_EXAMPLES = {1: 2000, 0: 6000}
-#: Terms of the index: at most so many, in this share of the texts of label 1 at least, and with this z-score at least of
-#: occurring more often there. Texts count once, however many copies the sample has, so that copies don't make terms.
-MOST_TERMS, LEAST_SHARE, LEAST_Z = 4096, 0.01, 6.0
+#: Labelled examples in the index, at most, of label 1 and of label 0 (those first in hash order), and bytes of their texts.
+MOST_EXAMPLES, MOST_BYTES = {1: 1500, 0: 2500}, 48 << 20
 NEIGHBOURS = 15
-#: Weight of the prior in a vote, as so much cosine.
-PRIOR_WEIGHT = 0.05
-BLOCK = 64
+#: What is added to a neighbour's distance (one less the cosine) before its vote is weighed by the inverse square, and the
+#: weight of the prior in a vote, as so many neighbours at distance one.
+NEAR, PRIOR_WEIGHT = 0.05, 1.0
+#: Examples of a block, and terms (those of most examples) whose postings are kept as columns, as nearly every example has them.
+BLOCK, COLUMNS = 256, 384
 REJECT_FROM = 0.7
 
 FIELDS = [("held_out", "boolean"), ("score", "double"), ("predicted", "int"), ("neighbours", "array<string>"), ("evidence", "array<string>")]
@@ -30,77 +28,163 @@ def term_counts(text: bytes) -> Counter:
     return Counter(text.translate(WORDS).split())
 
 
+class Weights:
+    """Weights of all terms of the examples: inverse document frequency times relevance frequency (log2 of two plus how
+    many times as often texts of label 1 have the term, its count there less one standard deviation). No term is left
+    out. Texts count once, however many copies the sample has."""
+
+    def __init__(self, examples: list[Counter], y: np.ndarray, weight: np.ndarray):
+        once = {tuple(sorted(c.items())): k for k, c in reversed(list(enumerate(examples)))}
+        n, seen = Counter(), {0: Counter(), 1: Counter()}
+        for k in once.values():
+            n[int(y[k])] += 1
+            seen[int(y[k])].update(examples[k].keys())
+        self.terms = {t: k for k, t in enumerate(sorted(seen[0].keys() | seen[1].keys()))}
+        a, c = (np.array([seen[x][t] for t in self.terms], float) for x in (1, 0))
+        mass = {x: weight[y == x].sum() for x in (0, 1)}
+        df = a * mass[1] / max(n[1], 1) + c * mass[0] / max(n[0], 1)
+        ratio = ((a - np.sqrt(a)) / max(n[1], 1)) / ((c + 1) / (n[0] + 1))
+        self.weight = np.log((1 + weight.sum()) / (1 + df)) * np.log2(2 + ratio) + 1e-6
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector, (1 + ln tf) * weight, over the terms of the examples: their ascending numbers and their values."""
+        get = self.terms.get
+        found = sorted([(k, n) for w, n in counts.items() if (k := get(w, -1)) >= 0])
+        k = np.array([f[0] for f in found], np.int64)
+        x = (1 + np.log([f[1] for f in found])) * self.weight[k] if found else np.zeros(0)
+        return k, x / np.sqrt((x * x).sum()) if len(x) else x
+
+
 class BlockMaxIndex:
-    """Inverted index of unit TF-IDF vectors, its postings cut into blocks of examples. For each term and block the
-    largest weight is kept, so a block whose bound can't reach the best k is never opened. Results are exact."""
+    """Inverted index of unit vectors, its postings cut into blocks of examples. For each term and block the largest
+    value is kept, so a block whose bound can't reach the best k is never opened. The postings of the COLUMNS most
+    frequent terms, which nearly every example has, stand as columns and are summed for many queries at once. Results are
+    exact."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[dict[int, float]]):
-        self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
+    def __init__(self, terms: int, examples: list[tuple[np.ndarray, np.ndarray]]):
         self.size, self.blocks = len(examples), -(-len(examples) // BLOCK)
-        self.most = np.zeros((len(terms), self.blocks))
-        self.postings = []
+        every = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
+        common = np.argsort(-np.bincount(every, minlength=terms), kind="stable")[:COLUMNS]
+        self.column = np.full(terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.wide = np.zeros((len(common), self.blocks * BLOCK))
+        self.most = np.zeros((terms, self.blocks), np.float32)
+        self.edge, self.example, self.value = [], [], []
         for b in range(self.blocks):
-            own = [(t, e, w) for e, vector in enumerate(examples[b * BLOCK : (b + 1) * BLOCK]) for t, w in vector.items()]
-            term, example, weight = (np.array([p[k] for p in own], kind) for k, kind in enumerate((np.int64, np.int64, float)))
-            np.maximum.at(self.most[:, b], term, weight)
-            self.postings.append((term, example, weight))
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        """Unit vector, (1 + ln tf) * idf, over the index's terms; empty if the text has none of them."""
-        raw = {self.terms[w]: (1 + np.log(n)) for w, n in counts.items() if w in self.terms}
-        raw = {t: x * self.idf[t] for t, x in sorted(raw.items())}
-        norm = np.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()}
-
-    def nearest(self, vector: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine over 0, ties by example: (cosine, example)."""
-        if not vector or not self.size:
+            own = examples[b * BLOCK : (b + 1) * BLOCK]
+            term, value = np.concatenate([t for t, _ in own]), np.concatenate([v for _, v in own])
+            example = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
+            column = self.column[term]
+            self.wide[column[column >= 0], b * BLOCK + example[column >= 0]] = value[column >= 0]
+            order = np.argsort(term, kind="stable")
+            order = order[column[order] < 0]
+            np.maximum.at(self.most[:, b], term[order], np.nextafter(value[order].astype(np.float32), np.float32(2)))
+            self.example.append(example[order].astype(np.int32))
+            self.value.append(value[order])
+            self.edge.append(np.searchsorted(term[order], np.arange(terms + 1)).astype(np.int32))
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector the k examples of the largest cosine over 0, ties by example: (cosine, example). skip: an
+        example that each vector leaves out."""
+        wide = np.zeros((len(vectors), len(self.wide)))
+        for q, (ts, qs) in enumerate(vectors):
+            column = self.column[ts]
+            wide[q, column[column >= 0]] = qs[column >= 0]
+        out = []
+        for q in range(0, len(vectors), 512):
+            for row, (dots, vector) in enumerate(zip(wide[q : q + 512] @ self.wide, vectors[q : q + 512])):
+                out.append(self._nearest(dots.reshape(self.blocks, BLOCK), *vector, k, skip[q + row] if skip else -1))
+        return out
+
+    def _nearest(self, dots: np.ndarray, ts: np.ndarray, qs: np.ndarray, k: int, skip: int) -> list[tuple[float, int]]:
+        """dots: what the columns give, by block."""
+        if not len(ts) or not self.size:
             return []
-        ts, qs = list(vector), np.array(list(vector.values()))
-        query = np.zeros(len(self.terms))
-        query[ts] = qs
-        bound = qs @ self.most[ts]
+        rare = self.column[ts] < 0
+        ts, qs = ts[rare], qs[rare]
+        bound = dots.max(1) + qs @ self.most[ts] * (1 + 1e-5) + 1e-9
         cosine, found = np.zeros(0), np.zeros(0, np.int64)
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) == k and bound[b] < cosine[-1] - 1e-9:
+            if bound[b] <= 1e-9 or len(found) == k and bound[b] < cosine[-1] - 1e-8:
                 break
-            term, example, weight = self.postings[b]
-            dots = np.bincount(example, query[term] * weight, BLOCK)
-            hit = np.flatnonzero(dots)
-            hit = hit[hit != skip - b * BLOCK]
-            cosine, found = np.append(cosine, np.round(dots[hit], 9)), np.append(found, hit + b * BLOCK)
-            best = np.lexsort((found, -cosine))[:k]
-            cosine, found = cosine[best], found[best]
+            sums, edge = dots[b], self.edge[b]
+            lo, hi = edge[ts], edge[ts + 1]
+            some = np.flatnonzero(hi > lo)
+            if len(some):
+                lo, n = lo[some], hi[some] - lo[some]
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                sums = sums + np.bincount(self.example[b][at], np.repeat(qs[some], n) * self.value[b][at], BLOCK)
+            sums = np.round(sums, 9)
+            if 0 <= skip - b * BLOCK < BLOCK:
+                sums[skip - b * BLOCK] = 0
+            hit = np.flatnonzero(sums >= cosine[-1] if len(found) == k else sums > 0)
+            if len(hit):
+                cosine, found = np.append(cosine, sums[hit]), np.append(found, hit + b * BLOCK)
+                best = np.lexsort((found, -cosine))[:k]
+                cosine, found = cosine[best], found[best]
         return list(zip(cosine.tolist(), found.tolist()))
 
 
 class ToxicityModel:
-    """Index, labels and importance weights of the examples, prior for texts without index terms, calibration."""
-
-    def __init__(self, index: BlockMaxIndex, names: list[str], y: np.ndarray, weight: np.ndarray, vectors: list[dict[int, float]], k: int = NEIGHBOURS):
-        self.index, self.names, self.y, self.weight, self.k = index, names, y, weight, k
-        self.words = {t: w for w, t in index.terms.items()}
-        self.prior = float((y * weight).sum() + 0.5) / float(weight.sum() + 1)
-        bare = np.array([not v for v in vectors], bool)
-        self.bare = float((y * weight)[bare].sum() + self.prior) / float(weight[bare].sum() + 1)
-        votes = np.array([self.vote(index.nearest(v, k, skip=e)) for e, v in enumerate(vectors) if v])
-        self.knots, self.levels = isotonic(votes, y[~bare], weight[~bare])
+    """Weights, index, labels and importance weights of the examples, prior for texts without known terms, calibration."""
+
+    def __init__(self, names: list[str], examples: list[Counter], y: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS):
+        self.weights = Weights(examples, y, weight)
+        vectors = [self.weights.vector(c) for c in examples]
+        order = like_together(vectors)
+        vectors = [vectors[e] for e in order]
+        self.names, self.y, self.weight, self.k = [names[e] for e in order], y[order], weight[order], k
+        self.index = BlockMaxIndex(len(self.weights.terms), vectors)
+        self.words = list(self.weights.terms)
+        self.prior = float((self.y * self.weight).sum() + 0.5) / float(self.weight.sum() + 1)
+        bare = np.array([not len(v[0]) for v in vectors], bool)
+        self.bare = float((self.y * self.weight)[bare].sum() + self.prior) / float(self.weight[bare].sum() + 1)
+        votes = np.array([self.vote(near) for near in self.index.nearest([v for v in vectors if len(v[0])], k, np.flatnonzero(~bare).tolist())])
+        self.knots, self.levels = isotonic(votes, self.y[~bare], self.weight[~bare])
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Cosine-weighted share of label 1 among the neighbours, shrunk to the prior."""
+        """Share of label 1 among the neighbours, weighted by the inverse square of their distance, shrunk to the prior."""
         up, all_ = PRIOR_WEIGHT * self.prior, PRIOR_WEIGHT
         for c, e in near:
-            up += c * self.weight[e] * self.y[e]
-            all_ += c * self.weight[e]
+            w = self.weight[e] / self.weight.max() / (NEAR + 1 - c) ** 2
+            up += w * self.y[e]
+            all_ += w
         return up / all_
 
-    def score(self, counts: Counter) -> tuple[float, list[int], list[bytes]]:
-        v = self.index.vector(counts)
-        if not v:
-            return self.bare, [], []
-        near = self.index.nearest(v, self.k)
-        strongest = sorted(v, key=lambda t: (-v[t], t))[:5]
-        return float(np.interp(self.vote(near), self.knots, self.levels)), [e for _, e in near], [self.words[t] for t in strongest if near]
+    def score(self, counts: list[Counter]) -> list[tuple[float, list[int], list[bytes]]]:
+        """Of each text's term counts: score, nearest examples, and the terms of most weight."""
+        out, vectors = [], [self.weights.vector(c) for c in counts]
+        for (ts, vs), near in zip(vectors, self.index.nearest(vectors, self.k)):
+            score = float(np.interp(self.vote(near), self.knots, self.levels)) if len(ts) else self.bare
+            out.append((score, [e for _, e in near], [self.words[ts[t]] for t in np.lexsort((ts, -vs))[:5].tolist() if near]))
+        return out
+
+
+def like_together(vectors: list[tuple[np.ndarray, np.ndarray]], wide: int = 256) -> list[int]:
+    """An order in which like examples stand together, which makes the bounds of blocks sharp: by the main direction of
+    the vectors over the most frequent terms, halved again and again."""
+    every = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
+    common = np.argsort(-np.bincount(every, minlength=1), kind="stable")[:wide]
+    place = {int(t): k for k, t in enumerate(common)}
+    x = np.zeros((len(vectors), wide))
+    for e, (ts, vs) in enumerate(vectors):
+        for t, v in zip(ts.tolist(), vs.tolist()):
+            if t in place:
+                x[e, place[t]] = v
+
+    def halved(rows: np.ndarray) -> list[int]:
+        if len(rows) <= BLOCK:
+            return rows.tolist()
+        part = x[rows] - x[rows].mean(0)
+        axis = np.ones(wide)
+        for _ in range(20):
+            axis = part.T @ (part @ axis) + 1e-12
+            axis /= np.sqrt((axis * axis).sum())
+        rows = rows[np.argsort(part @ axis, kind="stable")]
+        half = -(-len(rows) // (2 * BLOCK)) * BLOCK
+        return halved(rows[:half]) + halved(rows[half:])
+
+    return halved(np.arange(len(vectors)))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +213,13 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(knots), np.maximum.accumulate(np.clip(levels, 0, 1))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: dict[int, int] = MOST_EXAMPLES) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: dict[int, int] = MOST_EXAMPLES, most_bytes: int = MOST_BYTES) -> ToxicityModel:
     """Learn from the labels of rows whose crc32(doc_id as text) mod 3 is not 1.
 
-    The examples are a bounded sample (``most`` of each label); each stands for as many labelled rows as its label has
-    for one example. Terms are those more frequent under label 1 in that sample, by a z-score of document frequencies.
-    Labels other than 0 and 1 and null ids are left out; of several labels for a document the largest counts.
+    The examples are a bounded sample: in hash order ``most`` of each label, as far as their texts have ``most_bytes``
+    for each label's share; each stands for as many labelled rows as its label has for one example. All their terms are
+    kept. Labels other than 0 and 1 and null ids are left out; of several labels for a document the largest counts, of
+    several texts the least.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -144,51 +229,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: dict[int, int] = M
     for y, n in most.items():
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         few = part if few is None else few.unionAll(part)
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    once = sample.groupBy("text", "y").agg(F.min("doc_id").alias("doc_id"))  # at most as many as ``most`` says
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                seen[y].update(term_counts((text or "").encode()).keys())
-        words = [w for w in seen[1] if len(w) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["w", "d1", "d0"])
-
-    n = {0: 0, 1: 0} | {r.y: r["count"] for r in once.groupBy("y").count().collect()}
-    counts = once.mapInArrow(frequencies, "w binary, d1 long, d0 long").groupBy("w").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
-    share = (F.col("d1") + F.col("d0") + 0.5) / float(n[0] + n[1] + 1)
-    z = (F.col("d1") / float(max(n[1], 1)) - F.col("d0") / float(max(n[0], 1))) / F.sqrt(share * (1 - share) * (1 / max(n[1], 1) + 1 / max(n[0], 1)))
-    terms = counts.where((F.col("d1") >= max(3, LEAST_SHARE * n[1])) & (share < 1)).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(MOST_TERMS).collect()
-    words = sorted(bytes(r.w) for r in terms)
-    df = {bytes(r.w): r.d1 * total.get(1, 0) / max(n[1], 1) + r.d0 * total.get(0, 0) / max(n[0], 1) for r in terms}
-    everything = sum(total.values())
-    idf = np.array([np.log((1 + everything) / (1 + df[w])) + 1 for w in words])
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(words))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [{w: c for w, c in term_counts((t or "").encode()).items() if w in wanted.value} for t in b.column("text").to_pylist()]
-            keys = [sorted(f) for f in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("y").cast(pa.int32()), pa.array(keys, pa.list_(pa.binary())), pa.array([[f[w] for w in k] for f, k in zip(found, keys)], pa.list_(pa.int64()))], names=["doc_id", "y", "w", "c"])
-
-    rows = sorted(sample.mapInArrow(vectors, "doc_id string, y int, w array<binary>, c array<long>").collect(), key=lambda r: (r.doc_id, r.w, r.c))
-    shell = BlockMaxIndex(words, idf, [])
-    examples = [shell.vector(Counter({bytes(w): c for w, c in zip(r.w, r.c)})) for r in rows]
-    # examples with like terms stand together, which makes the bounds of blocks sharp
-    near = sorted(range(len(rows)), key=lambda e: (not examples[e], sorted(examples[e]), rows[e].doc_id))
-    rows, examples = [rows[e] for e in near], [examples[e] for e in near]
+    few = F.broadcast(few)
+    size = docs.select("doc_id", F.octet_length("text").alias("size")).join(few, "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size"))
+    taken, room = [], {y: most_bytes * n // sum(most.values()) for y, n in most.items()}
+    for r in size.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        room[r.y] -= r["size"] or 0
+        if room[r.y] >= 0:
+            taken.append((r.doc_id, r.y))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.LongType())])
+    ids = docs.sparkSession.createDataFrame([(i, int(y)) for i, y in taken], schema)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (str(r.doc_id), r.text or ""))
     n = Counter(r.y for r in rows)
     y = np.array([r.y for r in rows], float)
     weight = np.array([total[r.y] / n[r.y] for r in rows], float)
-    return ToxicityModel(BlockMaxIndex(words, idf, examples), [r.doc_id for r in rows], y, weight, examples)
+    return ToxicityModel([str(r.doc_id) for r in rows], [term_counts((r.text or "").encode()) for r in rows], y, weight)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, carry: bool = False, reject_from: float = REJECT_FROM) -> DataFrame:
     """Score every whole text: calibrated score, prediction, ids of the nearest examples and strongest terms as evidence.
 
-    One row for each input row, nothing is shuffled; the broadcast model is bounded by MOST_EXAMPLES and MOST_TERMS.
-    Texts without a term of the index, null and empty ones among them, get the share of label 1 among examples without
+    One row for each input row, nothing is shuffled; the broadcast model is bounded by MOST_EXAMPLES and MOST_BYTES.
+    Texts without a term of any example, null and empty ones among them, get the share of label 1 among examples without
     one, and no evidence. Without labels the score is one half for all.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -197,18 +259,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, carry: bool = False
         from hashlib import blake2b
         from zlib import crc32
 
-        seen: dict[bytes, tuple] = {}  # like vectors need one search; of bounded size
+        seen: dict[bytes, tuple] = {}  # texts of the same words need one search; of bounded size
 
         def fn(ids: list, texts: list[bytes]) -> dict:
             m, out = held.value, []
             if len(seen) > 20_000:
                 seen.clear()
-            for i, t in zip(ids, texts):
-                words = t.translate(WORDS).split()
-                found = Counter([w for w in words if w in m.index.terms])
-                key = blake2b(repr(sorted(found.items())).encode(), digest_size=16).digest()
-                if key not in seen:
-                    seen[key] = m.score(found)
+            words = [t.translate(WORDS).split() for t in texts]
+            keys = [blake2b(b" ".join(w), digest_size=16).digest() for w in words]
+            new = {key: w for key, w in zip(keys, words) if key not in seen}
+            seen.update(zip(new, m.score([Counter(w) for w in new.values()])))
+            for i, key in zip(ids, keys):
                 score, near, terms = seen[key]
                 score = round(min(1.0, max(0.0, score)), 9)
                 out.append((crc32(str("" if i is None else i).encode()) % 3 == 1, score, int(score >= reject_from), [m.names[e] for e in near], [w.decode("utf-8", "replace") for w in terms]))

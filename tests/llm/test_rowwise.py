@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -63,17 +64,34 @@ def test_toxicity_held_out(docs, labels, rows):
             assert r.predicted == 0 or r.evidence
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("columns", [0, 5, 30])
+def test_block_max_search_is_exact(monkeypatch, columns):
+    monkeypatch.setattr(toxicity, "COLUMNS", columns)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
     r = np.random.default_rng(5)
     terms = [f"t{k}".encode() for k in range(30)]
-    shell = toxicity.BlockMaxIndex(terms, 1 + r.random(30), [])
     bags = [collections.Counter({terms[t]: int(r.integers(1, 4)) for t in r.choice(30, r.integers(0, 8), replace=False)}) for _ in range(500)]
-    vectors = [shell.vector(b) for b in bags]
-    index = toxicity.BlockMaxIndex(terms, shell.idf, vectors)
-    for v in vectors[:60]:
-        dots = [(-round(sum(x * u.get(t, 0) for t, x in v.items()), 9), e) for e, u in enumerate(vectors)]
+    weights = toxicity.Weights(bags, r.integers(0, 2, 500).astype(float), np.ones(500))
+    vectors = [weights.vector(b) for b in bags]
+    index = toxicity.BlockMaxIndex(len(weights.terms), vectors)
+    own = [dict(zip(t.tolist(), v.tolist())) for t, v in vectors]
+    for k, near in enumerate(index.nearest(vectors[:60], 15, list(range(60)))):
+        dots = [(-round(sum(x * u.get(t, 0) for t, x in own[k].items()), 9), e) for e, u in enumerate(own) if e != k]
         want = [(-c, e) for c, e in sorted(d for d in dots if d[0] < 0)[:15]]
-        assert [(pytest.approx(c, abs=1e-8), e) for c, e in want] == index.nearest(v, 15)
+        assert [pytest.approx(c, abs=1e-8) for c, _ in want] == [c for c, _ in near]
+        assert {e for c, e in want if c > want[-1][0] + 1e-8} <= {e for _, e in near}
+
+
+def test_toxicity_knows_every_term(spark):
+    """No document that shares a word with an example gets the score of texts without any."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(40)) + (" curse" if i % 5 == 0 else "")) for i in range(200)] + [(500, ""), (501, "unheard of"), (502, "w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity.score_toxicity(df, toxicity.fit_toxicity(df, labels)).collect()}
+    assert all(got[i].neighbours for i in [*range(200), 502]) and not got[500].neighbours and got[500].score == got[501].score
+    assert all(got[i].predicted == int(i % 5 == 0) for i in range(200))
 
 
 def test_toxicity_without_labels(docs, empty):
