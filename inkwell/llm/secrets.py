@@ -18,11 +18,14 @@ PATTERNS = (
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),
 )
 SENSITIVE = re.compile(r"(?i:passw|passphrase|secret|credential|bearer|authori[sz]ation|api.?key|access.?key|private.?key|auth.?token|token|client.?id|signature)", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-#: Code points after a sensitive word in which a candidate must begin, and those around it that prime the compressor.
-REACH, AROUND = 48, 2048
-#: Marginal compressed bytes for each byte of a candidate from which on it counts as incompressible.
-NOVELTY = 0.72
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={0,2}")
+LETTER = re.compile(r"[A-Za-z]")
+#: Length of a candidate, and code points on either side of it that it is measured in.
+LEAST, AROUND = 12, 2048
+#: Marginal compressed bytes for each byte of a candidate from which on it counts as incompressible. Set on planted strings:
+#: in texts of the test tables it is reached by 99 % or more of random strings of 12 to 40 letters and digits and of
+#: letters in both cases, by three in four of random lower-case ones, and by 2 % of the texts' own words.
+NOVELTY = 0.85
 #: What a text must hold (in lower case) for the slower patterns to have a match.
 NEEDED = (b"passw", b"secret", b"token", b"key", b"passphrase", b"credential", b"bearer", b"authori", b"client", b"signature")
 IDENTIFIERS = b" ".join(
@@ -38,30 +41,64 @@ def base_spans(text: str, assigned: bool = True) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, k, b in sorted(out)]
 
 
-def novelty(candidate: str, before: str, after: str) -> float:
-    """Marginal zstandard bytes of the candidate, given the identifiers and the text around it, for each of its bytes."""
+def packer() -> zstandard.ZstdCompressor:
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
+def novelty(candidate: str, before: str, after: str, pack: zstandard.ZstdCompressor) -> float:
+    """Marginal zstandard bytes of the candidate inside the text around it, given the identifiers, for each of its bytes.
+
+    By itself a string this short never compresses, whatever it holds; inside its text its characters cost what the text's
+    own cost, or what repeats of the text and the identifiers leave. Copies of the candidate in that text are struck out,
+    or each would make the others foreseeable.
+    """
     raw = candidate.encode("utf-8", "replace")
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + (before + " " + after).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
+    a, b = before.replace(candidate, "").encode("utf-8", "replace"), after.replace(candidate, "").encode("utf-8", "replace")
+    return (len(pack.compress(a + raw + b)) - len(pack.compress(a + b))) / len(raw)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates near a sensitive word that mix digits with letters, that compression can't foresee and no base match covers."""
-    out, seen = [], set()
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Strings of LEAST characters or more, a letter among them, in lines with a sensitive word, on either side of it, and
+    in the lines right below that are one such string each (as in a key block)."""
+    out: list[tuple[int, int]] = []
+    end = 0
     for hot in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, hot.end(), hot.end() + REACH + 512):
-            a = m.start()
-            if a > hot.end() + REACH:
+        if hot.start() < end:
+            continue
+        begin, end = text.rfind("\n", 0, hot.start()) + 1, text.find("\n", hot.end())
+        end = len(text) if end < 0 else end
+        while end < len(text):
+            below = text.find("\n", end + 1)
+            below = len(text) if below < 0 else below
+            m = CANDIDATE.fullmatch(text, end + 1, below)
+            if m is None or below - end - 1 < LEAST:
                 break
-            b = a + len(CANDIDATE.match(text, a)[0])
-            if a in seen or any(x < b and a < y for x, y, _ in taken):
-                continue
-            seen.add(a)
-            c = text[a:b]
-            digits = sum(x.isdigit() for x in c)
-            if 0 < digits < len(c) and novelty(c, text[max(0, a - AROUND) : a], text[b : b + AROUND]) >= NOVELTY:
-                out.append((a, b, "novel"))
+            end = below
+        out += [m.span() for m in CANDIDATE.finditer(text, begin, end) if m.end() - m.start() >= LEAST and LETTER.search(m[0])]
+    return out
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, str]], pack: zstandard.ZstdCompressor) -> list[tuple[int, int, str]]:
+    """Candidates that compression can't foresee and no base match covers; each distinct string is measured once, in the
+    text that is left without any candidate, so that secrets side by side don't make each other look usual."""
+    out, seen, k, reach = [], {}, 0, 0
+    taken, found = sorted(taken), candidates(text)
+    rest, at, last = [], [], 0
+    for a, b in found:
+        rest.append(text[last:a])
+        at.append((at[-1] if at else 0) + a - last)
+        last = b
+    left = "".join(rest) + text[last:]
+    for (a, b), here in zip(found, at):
+        while k < len(taken) and taken[k][0] < b:
+            reach, k = max(reach, taken[k][1]), k + 1
+        if a < reach:
+            continue
+        if (c := text[a:b]) not in seen:
+            seen[c] = novelty(c, left[max(0, here - AROUND) : here], left[here : here + AROUND], pack) >= NOVELTY
+        if seen[c]:
+            out.append((a, b, "novel"))
     return out
 
 
@@ -75,12 +112,15 @@ FIELDS = [("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_
 def find_secrets(docs: DataFrame, *, carry: bool = False) -> DataFrame:
     """Find secrets in every whole text; one row for each input row, nothing is shuffled.
 
-    Base spans come from fixed patterns. Beyond them, a string near a sensitive word is reported as ``novel`` where
-    zstandard, primed with code identifiers and the text around the string, still needs ``NOVELTY`` bytes for each of
-    its bytes. Null texts are empty and have no spans; repeated rows are each judged; ties can't arise within a kind.
+    Base spans come from fixed patterns. Beyond them, a string in the line of a sensitive word or in the key block below
+    is reported as ``novel`` where zstandard, primed with code identifiers and the text around the string, still needs
+    ``NOVELTY`` bytes for each of its bytes. Null texts are empty and have no spans; repeated rows are each judged; ties
+    can't arise within a kind.
     """
 
     def make():
+        pack = packer()
+
         def fn(ids: list, texts: list[bytes]) -> dict:
             rows = []
             for raw in texts:
@@ -88,7 +128,7 @@ def find_secrets(docs: DataFrame, *, carry: bool = False) -> DataFrame:
                 low = raw.translate(LOWER)
                 hot = any(w in low for w in NEEDED)
                 base = base_spans(text, hot)
-                more = novel_spans(text, base) if hot else []
+                more = novel_spans(text, base, pack) if hot else []
                 n = [sum(k == x for *_, k in base) for x in KINDS[:3]]
                 rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))), len(more)))
             return {name: [r[k] for r in rows] for k, (name, _) in enumerate(FIELDS)}
