@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkwell.llm import lm_scoring, urls
@@ -126,7 +127,7 @@ def test_url_reputation(spark):
     rng = np.random.default_rng(4)
     labels = [(i, int(rng.random() > (0.9 if i % 40 == 3 else 0.1)), 0) for i in range(4000) if i % 2]
     p, q = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([*labels, (None, 0, 1), (9, None, None)], "doc_id long, quality int, toxic int")
-    hosts = urls.fit_hosts(p, urls.page_outcomes(p, q))
+    hosts = urls.fit_hosts(p, urls.page_outcomes(p, q), worst=1 / 20)
     assert [r.host for r in hosts.where("blocked").collect()] == ["h3.d3.com"]
     r = {x.host: x for x in hosts.collect()}
     assert 0 < r["h0.d0.com"].posterior_rate < 0.2 and r["h0.d0.com"].n == 0  # no label of its own: its domain's rate
@@ -134,6 +135,39 @@ def test_url_reputation(spark):
     assert len(blocked) == 100 and {x.host for x in blocked} == {"h3.d3.com"}
 
 
+def test_worst_hosts_are_blocked(spark):
+    """The bar follows the hosts: by default two of 40, and none of like ones."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.com/{i}") for i in range(4000)], "page_id long, url string")
+    bad = lambda f: spark.createDataFrame([(i, int(f(i))) for i in range(4000)], "page_id long, bad int")
+    hosts = urls.fit_hosts(pages, bad(lambda i: i // 40 % 10 < 1 + 4 * (i % 40 in (3, 7)) + 3 * (i % 40 == 9)))
+    assert {r.host for r in hosts.where("blocked").collect()} == {"h3.com", "h7.com"}
+    assert urls.fit_hosts(pages, bad(lambda i: i // 40 % 10 < 3)).where("blocked").count() == 0
+
+
+def test_beta_quantile(spark):
+    for a, b in [(1, 1), (1, 20), (2, 5), (7, 3), (30, 200), (4000, 9000)]:
+        x = (np.arange(400_000) + 0.5) / 400_000
+        logp = (a - 1) * np.log(x) + (b - 1) * np.log1p(-x)
+        mass = np.cumsum(np.exp(logp - logp.max()))
+        want = x[np.searchsorted(mass, 0.05 * mass[-1])]
+        (got,) = spark.range(1).select(urls.lower_quantile(F.lit(float(a)), F.lit(float(b)), urls.Z)).first()
+        assert got == pytest.approx(want, rel=0.05, abs=0.012)
+
+
+def test_url_parts(spark):
+    hosts = {"a.b.example.com": ("com", "example.com"), "x.a.co.uk": ("co.uk", "a.co.uk"), "b.co.uk:8080": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *urls.parts_of(F.col("host"))).collect()} == hosts
+
+
+def test_page_numbers(spark):
+    urls_ = {"http://a.com/en/7": 7, "http://a.com/en/7/": 7, "http://a.com/en/7.html?x=9": 7, "http://a.com/7abc": None, "http://a.com/7/8": 8, "http://a.com/" + "1" * 19: 1111111111111111111, "http://a.com/" + "1" * 25: None, "http://a.com/": None}
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    labels = spark.createDataFrame([(n, 0, 0) for n in {7, 8, 1, int("1" * 18), int("1" * 19)}], "doc_id long, quality int, toxic int")
+    got = {r.page_id for r in urls.page_outcomes(pages, labels).collect()}
+    assert got == {k for k, n in enumerate(urls_.values()) if n is not None}
+
+
 def test_url_nothing(spark):
     pages, labels = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert urls.judge_urls(pages, urls.fit_hosts(pages, urls.page_outcomes(pages, labels))).count() == 0
