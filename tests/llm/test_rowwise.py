@@ -168,6 +168,7 @@ def test_secrets_in_a_very_long_text(spark):
 def brute(texts, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     grams = collections.defaultdict(set)
+    words = [(str(i), w) for i, t in items if (w := word.findall((t or "").translate(LOWER)))]
     for i, t in items:
         w = word.findall((t or "").translate(LOWER))
         for j in range(max(1, len(w) - 7) if w else 0):
@@ -175,13 +176,20 @@ def brute(texts, items):
     sizes, out = {len(g) for g in grams}, []
     for i, t in texts:
         w = word.findall((t or "").translate(LOWER))
-        hit, names = set(), set()
+        hit, names, best = set(), set(), (0, None, None)
         for n in sizes:
             for p in range(len(w) - n + 1):
                 if found := grams.get(tuple(w[p : p + n])):
                     hit |= set(range(p, p + n))
                     names |= found
-        out.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(names) >= 2))
+                    for name, parts in words:
+                        for j in range(len(parts) - n + 1):
+                            size = n
+                            if name in found and parts[j : j + n] == w[p : p + n] and (n == 8 or n == len(parts)):
+                                while n == 8 and p + size < len(w) and j + size < len(parts) and w[p + size] == parts[j + size]:
+                                    size += 1
+                                best = min(best, (-size, p, name), key=lambda x: (x[0], x[1] or 0, x[2] or ""))
+        out.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(names) >= 2, -best[0], best[2], best[1]))
     return sorted(out, key=repr)
 
 
@@ -192,7 +200,7 @@ def benchmark(spark, rows):
     return items, spark.createDataFrame(items, "item_id long, text string")
 
 
-NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_words", "longest_item", "longest_at"]
 
 
 def test_decontamination(docs, rows, benchmark):
@@ -209,15 +217,35 @@ def test_decontamination_in_blocks(docs, rows, benchmark):
     assert as_set(got, *NAMES) == brute([r[:2] for r in rows], items)
 
 
-def test_decontamination_small_shards(rows, benchmark):
+def plain(found):
+    return [(n, begin.tolist(), end.tolist(), items, best) for n, begin, end, items, best in found]
+
+
+def test_decontamination_small_shards(rows, benchmark, monkeypatch):
     tests = decontam.TestSuffixes([(str(i), t.encode()) for i, t in benchmark[0] if i is not None and t is not None])
     texts = [(t or "").encode() for _, t, _ in rows]
-    whole = decontam.scan(tests, texts)
-    decontam.SHARD_WORDS, kept = 64, decontam.SHARD_WORDS
-    try:
-        assert decontam.scan(tests, texts) == whole
-    finally:
-        decontam.SHARD_WORDS = kept
+    whole = plain(decontam.scan(tests, texts))
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 64)
+    assert plain(decontam.scan(tests, texts)) == whole
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    r = random.Random(12)
+    passages = [" ".join(r.choice("abcd") for _ in range(r.randint(1, 40))) for _ in range(30)]
+    items = [(k, p) for k, p in enumerate(passages)] + [(k, passages[k - 40]) for k in range(40, 50)]
+    texts = [(k, " ".join(r.choice([*passages, "x", "y z"]) for _ in range(r.randint(0, 8)))) for k in range(80)]
+    got = decontam.mark_contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert as_set(got, *NAMES) == brute(texts, items)
+
+
+def test_many_equal_items_and_long_texts():
+    """Equal short items are one window, and a text of any length one pass."""
+    tests = decontam.TestSuffixes([(f"{k:05}", b"word") for k in range(10_000)])
+    (one,) = decontam.scan(tests, [b"word " * 300_000])
+    assert one[0] == 300_000 and plain([one])[0][1:3] == ([0], [300_000]) and len(one[3]) == 10_000 and one[4] == (1, 0, "00000")
+    tests = decontam.TestSuffixes([("a", b"u v w x y z p q r s " * 200), ("b", b"p q r s u v w x " * 3)])
+    (one,) = decontam.scan(tests, [b"k " * 100_000 + b"u v w x y z p q r s " * 150 + b"k"])
+    assert one[4] == (1500, 100_000, "a")
 
 
 def test_decontamination_empty_sides(docs, empty, benchmark, spark):
