@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,26 +34,36 @@ class Weights:
     many times as often texts of label 1 have the term, its count there less one standard deviation). No term is left
     out. Texts count once, however many copies the sample has."""
 
-    def __init__(self, examples: list[Counter], y: np.ndarray, weight: np.ndarray):
-        once = {tuple(sorted(c.items())): k for k, c in reversed(list(enumerate(examples)))}
-        n, seen = Counter(), {0: Counter(), 1: Counter()}
-        for k in once.values():
-            n[int(y[k])] += 1
-            seen[int(y[k])].update(examples[k].keys())
-        self.terms = {t: k for k, t in enumerate(sorted(seen[0].keys() | seen[1].keys()))}
-        a, c = (np.array([seen[x][t] for t in self.terms], float) for x in (1, 0))
-        mass = {x: weight[y == x].sum() for x in (0, 1)}
-        df = a * mass[1] / max(n[1], 1) + c * mass[0] / max(n[0], 1)
+    def __init__(self, examples: Iterable[Counter], y: np.ndarray, weight: np.ndarray):
+        number: dict[bytes, int] = {}
+        rows = []
+        for c in examples:  # as numbers at once, which take a tenth of the memory
+            k = np.fromiter((number.setdefault(t, len(number)) for t in c), np.int32, len(c))
+            rows.append((k, np.fromiter(c.values(), np.int32, len(c))))
+        self.terms = {t: k for k, t in enumerate(sorted(number))}
+        to = np.fromiter((self.terms[t] for t in number), np.int64, len(number))
+        rows = [(to[k][o], n[o]) for k, n in rows for o in [np.argsort(to[k])]]
+        n, seen, once = {0: 0, 1: 0}, np.zeros((2, len(to))), set()
+        for (k, count), label in zip(rows, y.astype(int).tolist()):
+            if (text := (k.tobytes(), count.tobytes())) not in once:
+                once.add(text)
+                n[label] += 1
+                seen[label][k] += 1
+        c, a = seen
+        df = sum(seen[x] * weight[y == x].sum() / max(n[x], 1) for x in (0, 1))
         ratio = ((a - np.sqrt(a)) / max(n[1], 1)) / ((c + 1) / (n[0] + 1))
         self.weight = np.log((1 + weight.sum()) / (1 + df)) * np.log2(2 + ratio) + 1e-6
+        self.vectors = [self.unit(k, count) for k, count in rows]
+
+    def unit(self, k: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(count)) * self.weight[k]
+        return k, x / np.sqrt((x * x).sum()) if len(x) else x
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector, (1 + ln tf) * weight, over the terms of the examples: their ascending numbers and their values."""
         get = self.terms.get
         found = sorted([(k, n) for w, n in counts.items() if (k := get(w, -1)) >= 0])
-        k = np.array([f[0] for f in found], np.int64)
-        x = (1 + np.log([f[1] for f in found])) * self.weight[k] if found else np.zeros(0)
-        return k, x / np.sqrt((x * x).sum()) if len(x) else x
+        return self.unit(np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64))
 
 
 class BlockMaxIndex:
@@ -128,9 +139,9 @@ class BlockMaxIndex:
 class ToxicityModel:
     """Weights, index, labels and importance weights of the examples, prior for texts without known terms, calibration."""
 
-    def __init__(self, names: list[str], examples: list[Counter], y: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS):
-        self.weights = Weights(examples, y, weight)
-        vectors = [self.weights.vector(c) for c in examples]
+    def __init__(self, names: list[str], texts: list[bytes], y: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS):
+        self.weights = Weights(map(term_counts, texts), y, weight)
+        vectors = self.weights.__dict__.pop("vectors")
         order = like_together(vectors)
         vectors = [vectors[e] for e in order]
         self.names, self.y, self.weight, self.k = [names[e] for e in order], y[order], weight[order], k
@@ -243,7 +254,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: dict[int, int] = M
     n = Counter(r.y for r in rows)
     y = np.array([r.y for r in rows], float)
     weight = np.array([total[r.y] / n[r.y] for r in rows], float)
-    return ToxicityModel([str(r.doc_id) for r in rows], [term_counts((r.text or "").encode()) for r in rows], y, weight)
+    return ToxicityModel([str(r.doc_id) for r in rows], [(r.text or "").encode() for r in rows], y, weight)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, carry: bool = False, reject_from: float = REJECT_FROM) -> DataFrame:
