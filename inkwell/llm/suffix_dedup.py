@@ -3,9 +3,9 @@
 A 50-byte window is keyed by the least hash of the 24-byte grams inside it, so equal windows have equal keys wherever
 they stand, and neighbouring windows mostly share theirs. Texts are dealt into blocks. (1) Blocks tell each key bucket
 their keys; (2) buckets answer which keys other blocks have too; (3) blocks send the stretches of text under shared keys;
-(4) a bucket feeds them, in batches by ascending doc_id, to a family of suffix indexes and gets the repeated windows;
+(4) a bucket feeds them, in batches by ascending doc_id, to a family of suffix arrays and gets the repeated windows;
 (5) blocks cut these from their texts. Only repeated text is sent by key, and a key never meets more than one copy of
-equal stretches from each block.
+equal stretches from each block. Suffixes are sorted and compared by their bytes; hashes only say where they meet.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ BLOCK_BYTES, PIECE, BUCKET_KEYS = 8 << 20, 1 << 20, 1 << 18
 #: Keys for each byte of text, about 2 / (windows that a gram can be the least of, and one).
 KEYS_PER_BYTE = 2 / (LENGTH - GRAM + 2)
 BATCH = 1 << 20
+#: Blocks that share a key from which on its windows are sent one by one, each to the bucket of its own hash, so that a very
+#: common gram doesn't bring all its surroundings into one bucket.
+HOT = 1024
 #: Rows without an id come after all others.
 NO_ID = (1 << 63) - 1
 _rng = np.random.default_rng(50)
@@ -115,24 +119,31 @@ class Stretches:
         return self.buffers[int(self.at[k] >> 32)][a : a + int(self.size[k])]
 
 
+#: A suffix, cut at LENGTH bytes. Sorts and compares byte by byte, zero bytes included, as all are of one width.
+SUFFIX = np.dtype(f"S{LENGTH}")
+
+
 class SuffixLevel:
-    """Distinct suffixes in order: by their first four bytes, then by a fingerprint of the first LENGTH bytes."""
+    """A suffix array: distinct suffixes in byte order."""
+
+    def __init__(self, suffix: np.ndarray):
+        self.suffix = suffix
 
-    def __init__(self, order: np.ndarray, mark: np.ndarray):
-        self.order, self.mark = order, mark
+    def has(self, suffix: np.ndarray) -> np.ndarray:
+        """Merge scan of sorted suffixes: which of them agree with one here in all LENGTH bytes."""
+        at = np.searchsorted(self.suffix, suffix)
+        inside = at < len(self.suffix)
+        inside[inside] = self.suffix[at[inside]] == suffix[inside]
+        return inside
 
-    def has(self, order: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """Merge scan of sorted suffixes: which of them agree with one here in LENGTH bytes."""
-        found, at = np.zeros(len(order), bool), np.searchsorted(self.order, order)
-        open_ = np.arange(len(order))
-        while len(open_):
-            open_ = open_[at[open_] < len(self.order)]
-            open_ = open_[self.order[at[open_]] == order[open_]]
-            same = self.mark[at[open_]] == mark[open_]
-            found[open_[same]] = True
-            open_ = open_[~same]
-            at[open_] += 1
-        return found
+    def merged(self, other: SuffixLevel) -> SuffixLevel:
+        """Both in order; they have no suffix in common."""
+        out = np.empty(len(self.suffix) + len(other.suffix), SUFFIX)
+        at = np.searchsorted(self.suffix, other.suffix) + np.arange(len(other.suffix))
+        own = np.ones(len(out), bool)
+        own[at] = False
+        out[at], out[own] = other.suffix, self.suffix
+        return SuffixLevel(out)
 
 
 class SuffixFamily:
@@ -142,67 +153,82 @@ class SuffixFamily:
     def __init__(self) -> None:
         self.levels: list[SuffixLevel] = []
 
-    def add(self, order: np.ndarray, mark: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def add(self, suffix: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Add a batch of suffixes whose owners ascend and are beyond all before. Returns which of them agree in LENGTH
         bytes with a suffix of a smaller owner, in this batch or any before."""
-        array = np.lexsort((mark, order))  # stable: owners ascend inside equal suffixes
-        o, m, who = order[array], mark[array], owner[array]
-        new = np.ones(len(o), bool)
-        new[1:] = (o[1:] != o[:-1]) | (m[1:] != m[:-1])
+        array = np.argsort(suffix, kind="stable")  # owners ascend inside equal suffixes
+        inside, who = suffix[array], owner[array]
+        new = np.ones(len(inside), bool)
+        new[1:] = inside[1:] != inside[:-1]
         first = np.flatnonzero(new)
         group = np.cumsum(new) - 1
+        distinct = inside[first]
         old = np.zeros(len(first), bool)
         for level in self.levels:
-            old |= level.has(o[first], m[first])
-        repeated = np.empty(len(o), bool)
+            old |= level.has(distinct)
+        repeated = np.empty(len(inside), bool)
         repeated[array] = old[group] | (who > who[first][group])
-        self.levels.append(SuffixLevel(o[first][~old], m[first][~old]))
-        while len(self.levels) > 1 and len(self.levels[-2].order) <= 2 * len(self.levels[-1].order):
+        self.levels.append(SuffixLevel(distinct[~old]))
+        while len(self.levels) > 1 and len(self.levels[-2].suffix) <= 2 * len(self.levels[-1].suffix):
             a, b = self.levels.pop(), self.levels.pop()
-            o, m = np.concatenate([b.order, a.order]), np.concatenate([b.mark, a.mark])
-            array = np.lexsort((m, o))
-            self.levels.append(SuffixLevel(o[array], m[array]))
+            self.levels.append(b.merged(a))
         return repeated
 
 
-def suffixes(data: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of stretches laid end to end: place of every window in data, its order and its mark."""
+def suffixes(data: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches laid end to end: place of every window in data, and its bytes."""
     x = np.frombuffer(data, np.uint8)
     begin = np.cumsum(size) - size
     n = size - LENGTH + 1
     at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    mark = gram_hashes(x, LENGTH)[at]
-    head = (x[at].astype(np.uint64) << np.uint64(24)) | (x[at + 1].astype(np.uint64) << np.uint64(16)) | (x[at + 2].astype(np.uint64) << np.uint64(8)) | x[at + 3]
-    return at, head << np.uint64(32) | mark >> np.uint64(32), mark
+    return at, np.lib.stride_tricks.sliding_window_view(x, LENGTH)[at].view(SUFFIX).ravel() if len(at) else np.zeros(0, SUFFIX)
 
 
 def repeats(owner: np.ndarray, start: np.ndarray, size: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of text in, spans (index of the stretch, begin, end in its document) out that smaller owners have too."""
+    """Stretches of text in, spans (index of the stretch, begin, end in its document) out that smaller owners have too.
+
+    Equal stretches are indexed once, for their smallest owner: all larger ones repeat them whole."""
     order = np.argsort(owner, kind="stable")
     place = np.cumsum(size) - size
-    family, out, k = SuffixFamily(), [], 0
+    family, k = SuffixFamily(), 0
+    known: dict[bytes, int] = {}
+    out = [(np.zeros(0, np.int64),) * 3]
     # batches end between owners and hold BATCH bytes or one owner
     total, ordered = np.cumsum(size[order]), owner[order]
     while k < len(order):
         end = int(np.searchsorted(total, (total[k - 1] if k else 0) + BATCH, "right"))
         end = int(np.searchsorted(ordered, ordered[min(max(end, k + 1), len(order)) - 1], "right"))
-        pick = order[k:end]
-        part = b"".join([data[place[i] : place[i] + size[i]] for i in pick])
-        at, o, m = suffixes(part, size[pick])
-        n = size[pick] - LENGTH + 1
-        which = np.repeat(np.arange(len(pick)), n)
-        hit = family.add(o, m, owner[pick][which])
+        pick, parts, whole, same = [], [], [], []
+        for j in order[k:end].tolist():
+            text = data[place[j] : place[j] + size[j]]
+            first = known.setdefault(text, j)
+            if first == j:
+                pick.append(j)
+                parts.append(text)
+            elif owner[first] < owner[j]:
+                whole.append(j)
+            else:
+                same.append((j, first))
+        k = end
+        out.append((np.array(whole, np.int64), start[whole], start[whole] + size[whole]))
+        pick = np.array(pick, np.int64)
+        at, inside = suffixes(b"".join(parts), size[pick])
+        which = np.repeat(np.arange(len(pick)), size[pick] - LENGTH + 1)
+        hit = family.add(inside, owner[pick][which])
         # a span ends where its stretch does
         new, old = np.ones(len(hit), bool), np.ones(len(hit), bool)
         new[1:] = ~hit[:-1] | (which[1:] != which[:-1])
         old[:-1] = ~hit[1:] | (which[1:] != which[:-1])
         begin, last = np.flatnonzero(hit & new), np.flatnonzero(hit & old)
-        if len(begin):
-            w = which[begin]
-            offset = start[pick][w] - (np.cumsum(size[pick]) - size[pick])[w]
-            out.append((pick[w], at[begin] + offset, at[last] + offset + LENGTH))
-        k = end
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        w = which[begin]
+        offset = start[pick][w] - (np.cumsum(size[pick]) - size[pick])[w]
+        found = (pick[w], at[begin] + offset, at[last] + offset + LENGTH)
+        out.append(found)
+        for j, first in same:  # a document's own copies of a stretch share its spans
+            a, b = np.searchsorted(found[0], [first, first + 1]) if np.all(np.diff(found[0]) >= 0) else (0, 0)
+            mine = np.flatnonzero(found[0] == first) if a == b else np.arange(a, b)
+            out.append((np.full(len(mine), j), found[1][mine] + start[j] - start[first], found[2][mine] + start[j] - start[first]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -235,6 +261,7 @@ def read_block(table: pa.Table) -> tuple[list[tuple[int, bytes]], list[int], lis
 
 
 KEYS = "bucket int, block int, keys binary"
+REPLY = "bucket int, block int, keys binary, hot binary"
 PARTS = "bucket int, block int, id binary, row binary, start binary, size binary, data binary, done binary"
 SPANS = "block int, spans binary"
 
@@ -245,8 +272,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Every byte goes that is covered by a string of LENGTH bytes that also starts in a document with a smaller doc_id.
     spans has the removed runs' begins and ends, flat. One row for each input row.
 
-    doc_id is an integer; a row without one counts as larger than all others. Rows that share a doc_id don't cover each
-    other. Null texts are empty; texts under LENGTH bytes lose nothing. An empty table gives no rows.
+    doc_id is an integer; a row without one counts as larger than all others (as 2^63 - 1). Rows that share a doc_id don't
+    cover each other, nor do rows without one. Null texts are empty; texts under LENGTH bytes lose nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -255,7 +282,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     blocks, buckets = -(-total // BLOCK_BYTES) + 1, 1 << max(2, int(total * KEYS_PER_BYTE / BUCKET_KEYS).bit_length())
     shift = np.uint64(64 - buckets.bit_length() + 1)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id"), id_.alias("id"), text.alias("text"))
+    rows = docs.select(F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64(id_)), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id"), id_.alias("id"), text.alias("text"))
 
     def short(key: np.ndarray) -> np.ndarray:
         """32 bits of a key below those that name its bucket."""
@@ -275,15 +302,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         raw = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
         whose = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
         both = np.sort(np.concatenate(raw).astype(np.uint64) << np.uint64(32) | whose.astype(np.uint64))
-        key = both >> np.uint64(32)
-        again = key[1:] == key[:-1]
-        shared = np.concatenate((again, [False])) | np.concatenate(([False], again))
-        key, who = key[shared].astype(np.uint32), (both[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        key, who = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        run = np.cumsum(new) - 1
+        blocks_of = np.bincount(run, minlength=1)[run] if len(run) else run
+        shared = blocks_of > 1
+        key, who, hot = key[shared].astype(np.uint32), who[shared], blocks_of[shared] > HOT
         order = np.argsort(who, kind="stable")
+        key, hot = key[order], hot[order]
         edge = np.searchsorted(who[order], np.arange(len(raw) + 1))
-        keep = [k for k in range(len(raw)) if edge[k] < edge[k + 1]]
-        bucket, block = table.column("bucket").to_pylist(), table.column("block").to_pylist()
-        return pa.table({"bucket": pa.array([bucket[k] for k in keep], pa.int32()), "block": pa.array([block[k] for k in keep], pa.int32()), "keys": pa.array([key[order[edge[k] : edge[k + 1]]].tobytes() for k in keep], pa.binary())})
+        out: dict[str, list] = {"bucket": [], "block": [], "keys": [], "hot": []}
+        for k, (bucket, block) in enumerate(zip(table.column("bucket").to_pylist(), table.column("block").to_pylist())):
+            if edge[k] < edge[k + 1]:
+                own = slice(edge[k], edge[k + 1])
+                for name, value in zip(out, (bucket, block, key[own].tobytes(), key[own][hot[own]].tobytes())):
+                    out[name].append(value)
+        kinds = {"bucket": pa.int32(), "block": pa.int32()}
+        return pa.table({n: pa.array(v, kinds.get(n, pa.binary())) for n, v in out.items()})
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.split()[0]: [] for f in PARTS.split(", ")}
@@ -301,23 +337,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             if len(k):
                 first, last = np.flatnonzero(np.diff(run, prepend=-1)), np.flatnonzero(np.diff(run, append=run[-1] + 1))
                 mine[order] = (o[first] != o[last])[run]
-            theirs = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, r in zip(replies.column("bucket").to_pylist(), replies.column("keys").to_pylist()))]))
             want = bucket << np.uint64(32) | low
-            at = np.minimum(np.searchsorted(theirs, want), max(len(theirs) - 1, 0))
-            shared = mine | (theirs[at] == want) if len(theirs) else mine
+
+            def said(name: str) -> np.ndarray:
+                keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, r in zip(replies.column("bucket").to_pylist(), replies.column(name).to_pylist()))]))
+                at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+                return keys[at] == want if len(keys) else np.zeros(len(want), bool)
+
+            shared, hot = mine | said("keys"), said("hot")
             parts: dict[int, list] = {}
             known: dict[bytes, int] = {}
             done: list[tuple[int, int, int]] = [(k, 0, len(texts[k][1])) for k in copies]
             for j in np.flatnonzero(shared).tolist():
-                t, i = s.text(j), int(owner[j])
-                if known.setdefault(t, i) < i:  # a smaller document here has the same stretch
-                    done.append((int(row[j]), int(s.start[j]), int(s.start[j] + s.size[j])))
-                else:
-                    parts.setdefault(int(bucket[j]), []).append((i, int(row[j]), int(s.start[j]), t))
+                text, i, begin, to = s.text(j), int(owner[j]), int(s.start[j]), int(bucket[j])
+                for a in range(len(text) - LENGTH + 1) if hot[j] else (0,):
+                    t = text[a : a + LENGTH] if hot[j] else text
+                    if known.setdefault(t, i) < i:  # a smaller document here has the same stretch
+                        done.append((int(row[j]), begin + a, begin + a + len(t)))
+                    else:
+                        parts.setdefault(xxhash.xxh64_intdigest(t) >> int(shift) if hot[j] else to, []).append((i, int(row[j]), begin + a, t))
             if done:
-                parts.setdefault(0, [])
+                parts[-1 - block] = []  # needs no bucket: a row of the block's own
             for b, rows_ in parts.items():
-                for name, value in (("bucket", b), ("block", block), ("id", np.array([r[0] for r in rows_], np.int64).tobytes()), ("row", np.array([r[1] for r in rows_], np.int64).tobytes()), ("start", np.array([r[2] for r in rows_], np.int64).tobytes()), ("size", np.array([len(r[3]) for r in rows_], np.int64).tobytes()), ("data", b"".join(r[3] for r in rows_)), ("done", np.array(done if b == 0 else [], np.int64).tobytes())):
+                for name, value in (("bucket", b), ("block", block), ("id", np.array([r[0] for r in rows_], np.int64).tobytes()), ("row", np.array([r[1] for r in rows_], np.int64).tobytes()), ("start", np.array([r[2] for r in rows_], np.int64).tobytes()), ("size", np.array([len(r[3]) for r in rows_], np.int64).tobytes()), ("data", b"".join(r[3] for r in rows_)), ("done", np.array(done if b < 0 else [], np.int64).tobytes())):
                     out[name].append(pack(value) if isinstance(value, bytes) else value)
         kinds = {"bucket": pa.int32(), "block": pa.int32()}
         return pa.table({n: pa.array(v, kinds.get(n, pa.binary())) for n, v in out.items()})
@@ -355,7 +397,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.table([first, *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names=[f.name for f in result])
 
     told = rows.groupBy("block").applyInArrow(tell, KEYS)
-    replies = told.groupBy("bucket").applyInArrow(answer, KEYS)
+    replies = told.groupBy("bucket").applyInArrow(answer, REPLY)
     parts = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(send, PARTS)
     spans = parts.groupBy("bucket").applyInArrow(match, SPANS)
     return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(strike, result)

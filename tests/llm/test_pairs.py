@@ -60,12 +60,26 @@ def test_suffix_family_grows_geometrically():
     r = np.random.default_rng(2)
     family, seen = suffix_dedup.SuffixFamily(), set()
     for k in range(64):
-        v = r.integers(0, 4000, 50).astype(np.uint64)
-        got = family.add(v, v * np.uint64(3), np.full(50, k))
-        assert got.tolist() == [int(x) in seen for x in v]
-        seen |= set(map(int, v))
-        sizes = [len(level.order) for level in family.levels]
+        text = [bytes(r.choice([0, 1, 97, 255], 2).tolist()) + bytes(46) + bytes(r.choice([0, 1, 200], 2).tolist()) for _ in range(50)]
+        got = family.add(np.array(text, suffix_dedup.SUFFIX), np.full(50, k))
+        assert got.tolist() == [t in seen for t in text]
+        seen |= set(text)
+        sizes = [len(level.suffix) for level in family.levels]
         assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
+        for level in family.levels:  # in byte order
+            inside = [bytes(x).ljust(50, b"\0") for x in level.suffix]
+            assert inside == sorted(set(inside))
+
+
+def test_repeats_of_common_strings(spark, monkeypatch):
+    """Very common grams go window by window; repeats inside a document and rows without an id among them."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1 << 12)
+    r = random.Random(4)
+    line = "".join(r.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, " ".join([line if r.random() < 0.5 else "".join(r.choice("abcdefgh ") for _ in range(30)) for _ in range(8)])) for i in range(150)]
+    rows += [(None, rows[3][1]), (None, rows[3][1] + "x"), (None, line * 3), (200, line * 4), (201, "\0" * 70), (202, "\0" * 60 + "\1"), (203, "é" * 40)]
+    assert collected(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_repeats(rows)
 
 
 def brute_fingerprint(t, width=3):
