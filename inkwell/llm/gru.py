@@ -4,48 +4,48 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASSES, WINDOW = 32, 32, 16
+HIDDEN, CLASSES, WINDOW = 16, 32, 16
+#: Texts that run side by side: at most so many in training and scoring, and in training so few that a stream of tokens
+#: gives this many steps.
+SIDE, STEPS = 512, 150
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
 class Gru:
     """Tokens 0 to words - 1 are words of their own, by falling frequency (0 ends a text); each token after that is a
-    class without a softmax inside. Words are cut into classes of like mass of root frequency."""
+    class without a softmax inside (a group), of so much ``mass``. Words are cut into classes of like mass of root
+    frequency. A group without mass is never foreseen."""
 
-    def __init__(self, counts: np.ndarray, groups: int, *, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = 7):
+    def __init__(self, counts: np.ndarray, mass: np.ndarray, *, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.words, self.groups, self.hidden = len(counts), groups, hidden
-        mass = np.cumsum(np.sqrt(counts + 1.0))
+        self.words, self.groups, self.hidden = len(counts), len(mass), hidden
+        share = np.cumsum(np.sqrt(counts + 1.0))
         # a class has as many words as its share of the mass gives, four times the even share at most
-        inner, edge = np.minimum((mass / mass[-1] * classes).astype(int), classes - 1), [0]
+        inner, edge = np.minimum((share / share[-1] * classes).astype(int), classes - 1), [0]
         most = max(1, 4 * self.words // classes)
         for k in range(1, self.words):
             if inner[k] != inner[k - 1] or k - edge[-1] >= most:
                 edge.append(k)
         self.edge = np.array([*edge, self.words])
-        self.classes = len(edge) + groups
-        self.class_of = np.concatenate([np.searchsorted(self.edge, np.arange(self.words), "right") - 1, len(edge) + np.arange(groups)])
-        tokens, small = self.words + groups, 1 / np.sqrt(hidden)
+        self.classes = len(edge) + self.groups
+        self.class_of = np.concatenate([np.searchsorted(self.edge, np.arange(self.words), "right") - 1, len(edge) + np.arange(self.groups)])
+        tokens, small = self.words + self.groups, 1 / np.sqrt(hidden)
         shapes = {"embed": (tokens, 3 * hidden), "u": (hidden, 3 * hidden), "wc": (hidden, self.classes), "ww": (hidden, self.words)}
         self.p = {k: (rng.normal(size=s) * small).astype(np.float32) for k, s in shapes.items()}
-        self.p["bc"] = np.zeros(self.classes, np.float32)
+        each = np.concatenate([np.add.reduceat(counts + 1.0, self.edge[:-1]), mass])
+        self.p["bc"] = np.where(each > 0, np.log(np.maximum(each, 1.0)) - np.log(each.sum() + 1), -60).astype(np.float32)
         self.p["bw"] = np.log(counts + 1.0).astype(np.float32)
 
     def steps(self, x: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
         """Run tokens x (time, rows) from state h; the state before each token's successor, the last one, what BPTT needs."""
-        n, embed, u, cache = self.hidden, self.p["embed"], self.p["u"], []
-        out = np.empty((len(x), len(h), n), np.float32)
+        n, u, cache = self.hidden, self.p["u"], []
+        out, seen = np.empty((len(x), len(h), n), h.dtype), self.p["embed"][x]
         for t in range(len(x)):
-            h = np.where((x[t] == 0)[:, None], np.float32(0), h)  # a new text
-            a, b = embed[x[t]], h @ u
+            h = h * (x[t] != 0)[:, None]  # nothing is carried into a new text
+            a, b = seen[t], h @ u
             zr = sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
             z, r = zr[:, :n], zr[:, n:]
             c = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
@@ -55,65 +55,89 @@ class Gru:
             out[t] = h
         return out, h, cache
 
+    def by_class(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in order of their class, and where each class begins."""
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        return order, np.searchsorted(c[order], np.arange(self.classes + 1))
+
     def logp(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural-log probability of tokens y (a group's token: of its class) in states h."""
-        c = self.class_of[y]
+        order, at = self.by_class(self.class_of[y])
+        h, y = h[order], y[order]
+        c, rows = self.class_of[y], np.arange(len(y))
         logits = h @ self.p["wc"] + self.p["bc"]
-        out = logits[np.arange(len(y)), c] - np.log(np.exp(logits - (m := logits.max(1, keepdims=True))).sum(1)) - m[:, 0]
-        order = np.argsort(c, kind="stable")
-        at = np.searchsorted(c[order], np.arange(self.classes + 1))
+        logits -= logits.max(1, keepdims=True)
+        got = logits[rows, c]
+        got = got - np.log(np.exp(logits, out=logits).sum(1))
         for k in range(self.classes - self.groups):
-            rows, lo, hi = order[at[k] : at[k + 1]], self.edge[k], self.edge[k + 1]
-            if len(rows) and hi - lo > 1:
-                logits = h[rows] @ self.p["ww"][:, lo:hi] + self.p["bw"][lo:hi]
-                m = logits.max(1, keepdims=True)
-                out[rows] += logits[np.arange(len(rows)), y[rows] - lo] - m[:, 0] - np.log(np.exp(logits - m).sum(1))
+            a, b, lo, hi = at[k], at[k + 1], self.edge[k], self.edge[k + 1]
+            if b > a and hi - lo > 1:
+                logits = h[a:b] @ self.p["ww"][:, lo:hi] + self.p["bw"][lo:hi]
+                logits -= logits.max(1, keepdims=True)
+                got[a:b] += logits[rows[: b - a], y[a:b] - lo]
+                got[a:b] -= np.log(np.exp(logits, out=logits).sum(1))
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Truncated backpropagation through one window."""
         n = self.hidden
         out, last, cache = self.steps(x, h, keep=True)
-        flat, target = out.reshape(-1, n), y.ravel()
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        order, at = self.by_class(self.class_of[y.ravel()])
+        flat, target = out.reshape(-1, n)[order], y.ravel()[order]
         c, rows = self.class_of[target], np.arange(len(target))
-        lp = log_softmax(flat @ self.p["wc"] + self.p["bc"])
-        loss = -lp[rows, c].sum()
-        d = np.exp(lp)
-        d[rows, c] -= 1
+
+        def softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, float]:
+            """Its slope by the logits, and its loss."""
+            d = states @ w + b
+            d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d /= d.sum(1, keepdims=True)
+            picked = d[rows[: len(which)], which]
+            d[rows[: len(which)], which] -= 1
+            return d, -float(np.log(picked + 1e-30).sum())
+
+        d, loss = softmax(flat, self.p["wc"], self.p["bc"], c)
         g["wc"], g["bc"], dh = flat.T @ d, d.sum(0), d @ self.p["wc"].T
         for k in range(self.classes - self.groups):
-            lo, hi, pick = self.edge[k], self.edge[k + 1], np.flatnonzero(c == k)
-            if len(pick) and hi - lo > 1:
-                lp = log_softmax(flat[pick] @ self.p["ww"][:, lo:hi] + self.p["bw"][lo:hi])
-                loss -= lp[np.arange(len(pick)), target[pick] - lo].sum()
-                d = np.exp(lp)
-                d[np.arange(len(pick)), target[pick] - lo] -= 1
-                g["ww"][:, lo:hi], g["bw"][lo:hi] = flat[pick].T @ d, d.sum(0)
-                dh[pick] += d @ self.p["ww"][:, lo:hi].T
-        dh = dh.reshape(out.shape)
+            a, b, lo, hi = at[k], at[k + 1], self.edge[k], self.edge[k + 1]
+            if b > a and hi - lo > 1:
+                d, more = softmax(flat[a:b], self.p["ww"][:, lo:hi], self.p["bw"][lo:hi], target[a:b] - lo)
+                loss += more
+                g["ww"][:, lo:hi], g["bw"][lo:hi] = flat[a:b].T @ d, d.sum(0)
+                dh[a:b] += d @ self.p["ww"][:, lo:hi].T
+        back = np.empty_like(dh)
+        back[order] = dh
+        dh, da, db = back.reshape(out.shape), np.empty((*x.shape, 3 * n), dh.dtype), np.empty((*x.shape, 3 * n), dh.dtype)
         carry = np.zeros_like(h)
         for t in reversed(range(len(x))):
             before, z, r, cand, bn = cache[t]
             d = dh[t] + carry
             dc = d * (1 - z) * (1 - cand * cand)
-            dz, dr = d * (before - cand) * z * (1 - z), dc * bn * r * (1 - r)
-            da = np.concatenate([dz, dr, dc], 1)
-            db = np.concatenate([dz, dr, dc * r], 1)
-            np.add.at(g["embed"], x[t], da)
-            g["u"] += before.T @ db
-            carry = np.where((x[t] == 0)[:, None], np.float32(0), d * z + db @ self.p["u"].T)
-        return {k: v / len(target) for k, v in g.items()}, last, float(loss) / len(target)
-
-    def fit(self, texts: list[np.ndarray], *, epochs: int = 3, rows: int = 32, rate: float = 0.01) -> Gru:
-        """Adam on windows of WINDOW tokens; rows streams of texts run side by side, their states carried on."""
+            da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = d * (before - cand) * z * (1 - z), dc * bn * r * (1 - r), dc
+            db[t, :, : 2 * n], db[t, :, 2 * n :] = da[t, :, : 2 * n], dc * r
+            carry = (d * z + db[t] @ self.p["u"].T) * (x[t] != 0)[:, None]
+        g["u"] = np.concatenate([k[0] for k in cache]).T @ db.reshape(-1, 3 * n)
+        token = x.ravel()
+        order = np.argsort(token.astype(np.int16), kind="stable")
+        token = token[order]
+        first = np.flatnonzero(np.diff(token, prepend=-1))
+        g["embed"][token[first]] = np.add.reduceat(da.reshape(-1, 3 * n)[order], first)
+        return {k: v / len(target) for k, v in g.items()}, last, loss / len(target)
+
+    def fit(self, texts: list[np.ndarray], *, epochs: int = 1, rate: float = 0.01, to: float = 0.0) -> Gru:
+        """Adam on windows of WINDOW tokens. The texts, whole, are laid end to end and cut into rows that run side by
+        side, their states carried on; the rate falls to the share ``to`` of itself."""
         if not texts:
             return self
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         stream = np.concatenate([np.append(0, t) for t in texts] + [np.zeros(1, np.int64)])
-        rows = max(1, min(rows, (len(stream) - 1) // WINDOW))
-        long = (len(stream) - 1) // rows
+        rows = int(np.clip((len(stream) - 1) // (WINDOW * STEPS), 4, SIDE))
+        long = -(-(len(stream) - 1) // rows)
+        stream = np.append(stream, np.zeros(rows * long + 1 - len(stream), stream.dtype))  # ends fill the last row
         x, y = stream[: rows * long].reshape(rows, long).T, stream[1 : rows * long + 1].reshape(rows, long).T
         total, k = epochs * -(-long // WINDOW), 0
         for _ in range(epochs):
@@ -121,22 +145,27 @@ class Gru:
             for a in range(0, long, WINDOW):
                 g, h, _ = self.gradients(x[a : a + WINDOW], y[a : a + WINDOW], h)
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-                step, k = rate * (1 - k / total) + 1e-4, k + 1
+                step, k = rate * (1 - (1 - to) * k / total) + 1e-5, k + 1
                 for n, v in g.items():
-                    v = v * min(1.0, 1.0 / (norm + 1e-9))
+                    v *= min(1.0, 1.0 / (norm + 1e-9))
                     mean[n] += 0.1 * (v - mean[n])
                     square[n] += 0.01 * (v * v - square[n])
                     self.p[n] -= (step * (mean[n] / (1 - 0.9**k)) / (np.sqrt(square[n] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
         return self
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural-log probability of each text's tokens and its end. All texts run side by side from long to short,
-        window by window with the state carried on; a text leaves when it has ended."""
+        """Natural-log probability of each text's tokens and its end. SIDE texts of like length run side by side, window by
+        window with the state carried on; a text leaves when it has ended."""
         size = np.array([len(t) + 1 for t in texts], np.int64)
         order = np.argsort(-size, kind="stable")
-        out, h = np.zeros(len(texts)), np.zeros((len(texts), self.hidden), np.float32)
-        size, last = size[order], np.zeros(len(texts), np.int64)
-        for a in range(0, int(size[0]) if len(size) else 0, WINDOW):
+        out = np.zeros(len(texts))
+        for k in range(0, len(texts), SIDE):
+            self._score(texts, order[k : k + SIDE], size, out)
+        return out
+
+    def _score(self, texts: list[np.ndarray], order: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        h, size, last = np.zeros((len(order), self.hidden), np.float32), size[order], np.zeros(len(order), np.int64)
+        for a in range(0, int(size[0]), WINDOW):
             n = int(np.searchsorted(-size, -a))
             y = np.zeros((n, WINDOW), np.int64)
             for k in range(n):
@@ -144,8 +173,7 @@ class Gru:
                 y[k, : len(part)] = part
             x = np.concatenate([last[:n, None], y[:, :-1]], 1)
             valid = (a + np.arange(WINDOW))[:, None] < size[None, :n]
-            states, h, _ = self.steps(x.T, h[:n])
+            states, h, _ = self.steps(np.ascontiguousarray(x.T), h[:n])
             got = self.logp(states[valid], y.T[valid])
             out[order[:n]] += np.bincount(np.nonzero(valid)[1], got, n)
             last = y[:, -1]
-        return out

@@ -50,7 +50,7 @@ def test_model_beats_base_on_held_out_text(spark):
 def test_score_is_a_distribution():
     """All texts of one word over the model's events sum to the mass of that length."""
     rng = np.random.default_rng(1)
-    g = Gru(100.0 / np.arange(1, 21), 2, hidden=8, classes=4).fit([rng.integers(1, 22, 30) for _ in range(20)])
+    g = Gru(100.0 / np.arange(1, 21), np.array([5.0, 3.0]), hidden=8, classes=4).fit([rng.integers(1, 22, 30) for _ in range(20)], epochs=3)
     first = np.array([g.score([np.array([k])])[0] for k in range(22)])
     end = g.score([np.zeros(0, np.int64)])[0]
     h, _, _ = g.steps(np.zeros((1, 1), np.int64), np.zeros((1, 8), np.float32))
@@ -59,9 +59,71 @@ def test_score_is_a_distribution():
     assert math.exp(end) == pytest.approx(p[0], rel=1e-4) and (first < 0).all()
 
 
+def invented(rng, texts, words, size=60):
+    """Texts whose words follow on from each other, of a vocabulary of which a part is rare."""
+    vocabulary = ["".join(rng.choice(["ba", "ne", "ti", "ro", "su"], rng.integers(1, 5))) + str(k) for k in range(words)]
+    rank = np.minimum(words - 1, rng.zipf(1.3, (texts, size)) - 1)
+    return [" ".join(vocabulary[k] for k in row) for row in rank]
+
+
+def test_words_beyond_the_head_are_a_distribution(spark, monkeypatch):
+    """What the last group's mass is cut into sums to one: known words by count, and all strings by their bytes."""
+    monkeypatch.setattr(lm_scoring, "WORDS", 20)
+    monkeypatch.setattr(lm_scoring, "GROUP_RANKS", (30, 40, 60))
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(invented(rng, 300, 400))], "doc_id long, text string")
+    model, counts, total = lm_scoring.fit_words(df)
+    rest = [r for r in counts.collect() if bytes(r.word) not in model.number]
+    assert 0 < model.unknown < 1
+    assert model.known_share * sum(r.c for r in rest) + model.unknown == pytest.approx(1)
+    assert 10 ** model.inside[20:30] @ np.ones(10) == pytest.approx(1)
+    chars, symbols = model.chars, np.arange(257)
+    for before, last in ((256, 256), (256, 98), (98, 97), (0, 255)):
+        context = lm_scoring.CharModel.context(np.full(257, before), np.full(257, last))
+        assert chars._next(context, np.full(257, last), symbols).sum() == pytest.approx(1)
+    words = [b"ba", b"xq", bytes([200]), b"ba0"]
+    for w, got in zip(words, chars.log10(words)):
+        p, before, last = 1 / chars.start, 256, 256
+        for x in (*w, 256):
+            p *= chars._next(chars.context(np.array([before]), np.array([last])), np.array([last]), np.array([x]))[0]
+            before, last = last, x
+        assert got == pytest.approx(math.log10(p))
+
+
+def test_unknown_words_lower_the_score(spark):
+    rng = np.random.default_rng(6)
+    rows, free = [], iter(range(100_000, 900_000))
+    for t in invented(rng, 700, 300):
+        while held(i := next(free)):
+            pass
+        rows.append((i, t))
+    gibberish = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9))
+    asked, share = {}, (0.0, 0.3, 0.6, 1.0)
+    for k, t in enumerate(invented(rng, 80, 300)):
+        while not held(i := next(free)):
+            pass
+        asked[i] = k % 4
+        rows.append((i, " ".join(gibberish() if rng.random() < share[k % 4] else w for w in t.split())))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_scoring.score_texts(df, *lm_scoring.fit_words(df)).collect()}
+    mean = [np.mean([got[i] for i, k in asked.items() if k == group]) for group in range(4)]
+    assert mean[0] > mean[1] > mean[2] > mean[3]
+    assert max(got[i] for i, k in asked.items() if k == 3) < min(got[i] for i, k in asked.items() if k == 0)
+
+
+def test_long_texts_and_copies_of_rows(spark):
+    rng = np.random.default_rng(8)
+    long = " ".join(invented(rng, 1, 50, 60_000))
+    rows = [(1, long), (1, long), (2, "ba0 ne1"), (2, "ba0 ne1"), (2, "other words"), (None, None), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm_scoring.score_texts(df, *lm_scoring.fit_words(df)).collect()), key=repr)
+    assert [g[:2] for g in got] == [(1, 60_001)] * 2 + [(2, 3)] * 3 + [(None, 1)] * 3
+    assert got[0] == got[1] and len({g[2] for g in got[2:5]}) == 2
+
+
 def test_state_is_carried_across_windows():
     rng = np.random.default_rng(2)
-    g = Gru(100.0 / np.arange(1, 21), 2, hidden=8, classes=4).fit([rng.integers(1, 22, 60) for _ in range(20)])
+    g = Gru(100.0 / np.arange(1, 21), np.array([5.0, 3.0]), hidden=8, classes=4).fit([rng.integers(1, 22, 60) for _ in range(20)])
     texts = [rng.integers(1, 22, n) for n in (0, 1, 15, 16, 17, 100, 33)]
     one = [g.score([t])[0] for t in texts]
     assert g.score(texts) == pytest.approx(one, rel=1e-4)
@@ -75,7 +137,7 @@ def test_state_is_carried_across_windows():
 
 def test_gradients():
     rng = np.random.default_rng(3)
-    g = Gru(100.0 / np.arange(1, 13), 2, hidden=5, classes=3)
+    g = Gru(100.0 / np.arange(1, 13), np.array([5.0, 3.0]), hidden=5, classes=3)
     for k in g.p:
         g.p[k] = g.p[k].astype(np.float64)
     x, y, h = rng.integers(0, 14, (6, 3)), rng.integers(0, 14, (6, 3)), rng.normal(size=(3, 5))
