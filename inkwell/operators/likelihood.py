@@ -66,17 +66,22 @@ def score_tokens(grams: DataFrame, base: DataFrame, alt: DataFrame, key: str) ->
 
 def score_corpus(grams: DataFrame, in_alt: Column, key: str) -> DataFrame:
     """The contract table of a corpus under the bigram model of all of it (base) and of the part where ``in_alt`` holds
-    (alt): as ``score_tokens`` gives it, with both models counted in one aggregate and finished inside contexts."""
+    (alt): as ``score_tokens`` gives it, with both models counted in one aggregate. Ranks and entropies come from distinct
+    counts, (context, n, how many), so no context's words are sorted in one task, and joins on a common context can be
+    split as they run."""
     pairs = grams.groupBy("prev", "word").agg(F.count("*").alias("n"), F.count_if(in_alt).alias("m"))
     words = pairs.groupBy("word").agg(F.max("m").alias("m"))
     types = words.agg(F.count("*").alias("v"), F.count_if(F.col("m") > 0).alias("w"))
-    context = Window.partitionBy("prev")
-    rows = pairs.join(F.broadcast(types))  # one row
-    rows = rows.withColumns({"all": F.sum("n").over(context) + F.col("v"), "alt": F.sum("m").over(context) + F.col("w"), "seen": F.count("*").over(context), "rank": F.rank().over(context.orderBy(F.desc("n")))})
-    p = (F.col("n") + 1) / F.col("all").cast("double")
-    rest = (F.col("v") - F.col("seen")) / F.col("all").cast("double") * F.ln(F.col("all").cast("double"))
-    rows = rows.withColumn("ent_base", F.sum(-p * F.ln(p)).over(context) + rest)
-    scores = rows.select("prev", "word", F.ln(p).alias("lp_base"), F.col("rank").cast("long").alias("rank_base"), "ent_base", F.ln((F.col("m") + 1) / F.col("alt").cast("double")).alias("lp_alt"))
+    levels = pairs.groupBy("prev", "n").agg(F.count("*").alias("_c"), F.sum("m").alias("_m"))
+    above = Window.partitionBy("prev").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = levels.select("prev", "n", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("likelier"))
+    total = levels.groupBy("prev").agg(F.sum(F.col("n") * F.col("_c")).alias("_n"), F.sum("_m").alias("_alt"), F.sum("_c").alias("_seen"), F.sum(F.col("_c") * (F.col("n") + 1) * F.ln((F.col("n") + 1).cast("double"))).alias("_x"), F.sum(F.col("_c") * (F.col("n") + 1)).alias("_mass"))
+    total = total.join(F.broadcast(types)).withColumn("all", (F.col("_n") + F.col("v")).cast("double"))  # one row
+    # minus the sum of p ln p, p = (n + 1) / all, with the unseen words' one in all
+    entropy = (F.col("_mass") * F.ln("all") - F.col("_x")) / F.col("all") + (F.col("v") - F.col("_seen")) / F.col("all") * F.ln("all")
+    total = total.select("prev", "all", (F.col("_alt") + F.col("w")).cast("double").alias("alt"), entropy.alias("ent_base"))
+    rows = pairs.join(ranks, ["prev", "n"]).join(total, "prev")
+    scores = rows.select("prev", "word", F.ln((F.col("n") + 1) / F.col("all")).alias("lp_base"), (F.col("likelier") + 1).alias("rank_base"), "ent_base", F.ln((F.col("m") + 1) / F.col("alt")).alias("lp_alt"))
     return grams.join(scores, ["prev", "word"]).select(key, "sent", "tok", "lp_base", "rank_base", "ent_base", "lp_alt")
 
 

@@ -11,15 +11,31 @@ from inkwell.functions.stats import ratio, wilson
 INF = float("inf")
 
 
+#: Ranges of a score in which distinct scores are summed up side by side.
+RANGES = 1024
+
+
+def running(steps: DataFrame, part: list[str], columns: list[str]) -> DataFrame:
+    """Add cum_<column>, sums by falling ``score`` over rows of distinct scores. Ranges of the score are summed up side by
+    side, and what the higher ranges hold, RANGES rows a part at most, comes on top."""
+    span = steps.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    place = F.least(F.lit(RANGES - 1), F.floor(ratio(F.col("score") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * RANGES))
+    rows = steps.join(F.broadcast(span)).withColumn("_range", F.coalesce(place, F.lit(0))).drop("_lo", "_hi")  # one row
+    above = Window.partitionBy(*part).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*part, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    sums = sums.select(*part, "_range", *(F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}") for c in columns))
+    inside = Window.partitionBy(*part, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", *(F.sum(c).over(inside).alias(f"cum_{c}") for c in columns)).join(sums, [*part, "_range"])
+    return rows.select(*steps.columns, *((F.col(f"cum_{c}") + F.col(f"_{c}")).alias(f"cum_{c}") for c in columns))
+
+
 def curve(df: DataFrame, score: str, label: str, by: str | None = None) -> DataFrame:
-    """Running positives and negatives by falling score, one row for each distinct score: ties are one step. The window
-    runs over grouped scores, not rows."""
+    """Running positives and negatives by falling score, one row for each distinct score: ties are one step."""
     part = [by] if by else []
     steps = df.groupBy(*part, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    down = Window.partitionBy(*part).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = steps.groupBy(*part).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    steps = steps.select("*", F.sum("p").over(down).alias("cum_p"), F.sum("n").over(down).alias("cum_n"))
-    return steps.join(F.broadcast(total), part) if part else steps.join(F.broadcast(total))  # a row for each condition
+    steps = running(steps, part, ["p", "n"])
+    return steps.join(total, part) if part else steps.join(F.broadcast(total))  # one row
 
 
 def operating_point(df: DataFrame, score: str, label: str, max_fpr: float = 0.01) -> DataFrame:
@@ -45,19 +61,16 @@ def brier(score: Column, label: Column) -> Column:
 
 def condition_metrics(df: DataFrame, score: str, label: str, condition: str, negatives: str, threshold: float) -> DataFrame:
     """AUC and tpr at a fixed threshold of each condition's positives, against the negatives of one condition for all."""
+    # negatives are grouped by score, and conditions by name, before each meets the other
     names = df.where(F.col(condition) != negatives).select(condition).distinct()
-    shared = df.where((F.col(condition) == negatives) & (F.col(label) == 0)).select(F.col(score).alias("s"), F.lit(0).alias("y"))
-    rows = df.where((F.col(condition) != negatives) & (F.col(label) == 1)).select(condition, F.col(score).alias("s"), F.lit(1).alias("y"))
-    # negatives are grouped by score before they are repeated for each condition
-    steps = shared.groupBy("s").agg(F.count("*").alias("n")).join(F.broadcast(names))
-    every = rows.groupBy(condition, "s").agg(F.count("*").alias("p"), F.lit(0).cast("long").alias("n")).unionByName(steps.select(condition, "s", F.lit(0).cast("long").alias("p"), "n"))
-    every = every.groupBy(condition, "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    down = Window.partitionBy(condition).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-    every = every.withColumn("above", F.coalesce(F.sum("p").over(down), F.lit(0)))
+    shared = df.where((F.col(condition) == negatives) & (F.col(label) == 0)).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"))
+    every = df.where((F.col(condition) != negatives) & (F.col(label) == 1)).groupBy(condition, F.col(score).alias("score")).agg(F.count("*").alias("p"), F.lit(0).cast("long").alias("n"))
+    every = every.unionByName(shared.join(names).select(condition, "score", F.lit(0).cast("long").alias("p"), "n"))
+    every = running(every.groupBy(condition, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), [condition], ["p"]).withColumn("above", F.col("cum_p") - F.col("p"))
     wins = F.sum(F.col("n") * F.col("above") + F.col("n") * F.col("p") * 0.5)
     return every.groupBy(condition).agg(
         F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"), F.try_divide(wins, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"),
-        ratio(F.sum(F.when(F.col("s") >= threshold, F.col("p")).otherwise(0)), F.sum("p")).alias("tpr"),
+        ratio(F.sum(F.when(F.col("score") >= threshold, F.col("p")).otherwise(0)), F.sum("p")).alias("tpr"),
     )
 
 

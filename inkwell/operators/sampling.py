@@ -11,6 +11,8 @@ from inkwell.functions import stats as st
 SEED = 42
 #: Parts in which a stratum is ranked side by side before its own rank.
 SALTS = 64
+#: Ranges of the hash in which rows are numbered side by side (three hex digits of it).
+RANGES = 16**3
 
 
 def uniform(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
@@ -67,10 +69,23 @@ def train_test(df: DataFrame, key: str, label: str, test_size: float = 0.2, seed
     return df.join(test, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+def numbered(df: DataFrame, key: str, name: str, by: list[str] | None = None, seed: int = SEED) -> DataFrame:
+    """Add the place in hash order, gapless from 0, of all rows or of those of each stratum. Rows are numbered inside ranges
+    of the hash, side by side, and the ranges' counts, a table of RANGES rows a stratum, are summed up before them."""
+    by = by or []
+    rows = df.withColumn("_h", st.hash_order(seed, F.col(key))).withColumn("_range", F.substring("_h", 1, 3))
+    counts = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_h", key)
+    rows = rows.withColumn("_at", F.row_number().over(inside) - 1)
+    return rows.join(starts, [*by, "_range"]).withColumn(name, F.col("_start") + F.col("_at")).select(*df.columns, name)
+
+
 def balanced_labels(df: DataFrame, key: str, labels: list[str], name: str, seed: int = SEED) -> DataFrame:
-    """Each label as often as any other, give or take one, in hash order. For samples: all rows are numbered in one go."""
-    rn = F.row_number().over(Window.orderBy(st.hash_order(seed, F.col(key)), F.col(key))) - 1
-    return df.withColumn(name, F.element_at(F.array(*map(F.lit, labels)), (F.pmod(rn, F.lit(len(labels))) + 1).cast("int")))
+    """Each label as often as any other, give or take one, in hash order."""
+    rows = numbered(df, key, "_place", seed=seed)
+    return rows.withColumn(name, F.element_at(F.array(*map(F.lit, labels)), (F.pmod("_place", F.lit(len(labels))) + 1).cast("int"))).drop("_place")
 
 
 def tercile(place: Column, n: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as tx
 from inkwell.functions.stats import ratio
+from inkwell.operators import annotate
 
 WINDOW = 50
 
@@ -61,15 +62,21 @@ def numerals(text: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: t.rlike(rf"\A(?:[0-9]+(?:[.,/][0-9]+)*|{'|'.join(tx.NUMBER_WORDS)})\z"))).cast("long")
 
 
-def native_features(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+def native_features(docs: DataFrame, key: str, text: str = "text", *, tags: bool = False) -> DataFrame:
     """Features that need no annotation, in one projection without a shuffle. An empty or null text has zero rates and an
-    oxford_comma_rate of -1, which means there is no list."""
+    oxford_comma_rate of -1, which means there is no list. tags: also the rules' annotated features, and ``checkable``,
+    the words that a spelling can be wrong in."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(key, t.alias("_t"), tx.alpha_words(t).alias("_w"), F.filter(tx.sentences(t), lambda s: s != "").alias("_s"))
     rows = rows.withColumn("_len", F.transform("_s", lambda s: F.size(tx.alpha_words(s)).cast("double")))
     rows = rows.withColumn("_mean", mean(F.col("_len"))).withColumn("_n", F.size("_w").cast("long"))
     rows = rows.withColumn("_std", F.sqrt(mean(F.transform("_len", lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))))))
     rows = rows.withColumn("_lists", tx.lists(F.col("_t")))
+    notes: dict[str, Column] = {}
+    if tags:
+        rows = rows.withColumn("_tags", annotate.tagged(F.col("_t")))
+        rows = rows.withColumn("_codes", annotate.word_codes(F.col("_tags")))
+        notes = annotate.rule_features(F.col("_tags"), F.col("_codes")) | {"checkable": annotate.checkable(F.col("_tags"))}
     body, per100 = F.col("_t"), ratio(F.lit(100.0), F.col("_n"))
     lists, oxford = F.size("_lists").cast("long"), F.size(F.filter("_lists", lambda g: g != ""))
     templates = tx.count_pattern(body, tx.NOT_JUST_BUT) + lists
@@ -90,6 +97,7 @@ def native_features(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         (F.size(F.filter("_w", lambda w: w.isin(tx.DISCOURSE_MARKERS))) * per100).alias("discourse_marker_rate"),
         (tx.count_homophones(body) * per100).alias("homophone_error_rate"),
         (numerals(body) * per100).alias("numeral_rate"),
+        *(c.alias(n) for n, c in notes.items()),
     )
 
 
@@ -98,24 +106,31 @@ def lexicon(docs: DataFrame, text: str, least: int) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tx.alpha_words(F.col(text)))).alias("word")).groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= least).select("word")
 
 
+def with_spelling(rows: DataFrame, key: str, known: DataFrame, words: str = "checkable") -> DataFrame:
+    """rows without ``words`` but with n_checkable, n_unknown and spelling_error_rate: distinct unknown words for each
+    checkable one. A document's distinct words meet the lexicon one by one; its other columns ride along once, under a
+    word of their own, so nothing is computed twice and no row waits for another join. key names a document."""
+    rest = [c for c in rows.columns if c not in (key, words)]
+    own = F.struct(F.concat(F.lit("\u0000"), F.col(key).cast("string")).alias("word"), F.struct(*rest, F.size(words).cast("long").alias("n_checkable")).alias("_row"))
+    kind = rows.select(own.alias("x")).schema["x"].dataType["_row"].dataType
+    each = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("word"), F.lit(None).cast(kind).alias("_row")))
+    found = rows.select(key, F.inline(F.concat(F.array(own), each))).join(known.withColumn("_known", F.lit(1)), "word", "left")
+    out = found.groupBy(key).agg(F.first("_row", ignorenulls=True).alias("_row"), F.count_if(F.col("_row").isNull() & F.col("_known").isNull()).alias("n_unknown"))
+    return out.select(key, "_row.*", "n_unknown").withColumn("spelling_error_rate", ratio(F.col("n_unknown"), F.col("n_checkable")))
+
+
 def spelling_rate(docs: DataFrame, key: str, known: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct unknown words for each checkable token (a run of two letters or more). Words are grouped by document
-    before they meet the lexicon, so a frequent word is one row for each document."""
-    words = F.filter(tx.alpha_words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.length(w) > 1)
-    rows = docs.select(key, words.alias("_w"))
-    each = rows.select(key, F.size("_w").alias("_n"), F.explode_outer(F.array_distinct("_w")).alias("word"))
-    found = each.join(known.withColumn("_known", F.lit(1)), "word", "left")
-    out = found.groupBy(key).agg(F.max("_n").cast("long").alias("n_checkable"), F.count_if(F.col("word").isNotNull() & F.col("_known").isNull()).alias("n_unknown"))
-    return out.withColumn("spelling_error_rate", ratio(F.col("n_unknown"), F.col("n_checkable")))
-
-
-def document_features(docs: DataFrame, key: str, known: DataFrame, text: str = "text") -> DataFrame:
-    """All 19 features. One pass for native ones, one Arrow pass through the annotator, one join for spelling."""
-    from inkwell.operators.annotate import annotate
-
-    native = native_features(docs, key, text)
-    notes = annotate(docs, key, text)
-    spelled = spelling_rate(docs, key, known, text).select(key, "spelling_error_rate")
-    rows = native.join(notes, key).join(spelled, key)
+    """Spelling by the rules' tags: proper nouns, numbers and single letters aren't checked."""
+    rows = docs.select(key, annotate.tagged(F.coalesce(F.col(text), F.lit(""))).alias("_tags"))
+    return with_spelling(rows.select(key, annotate.checkable(F.col("_tags")).alias("checkable")), key, known)
+
+
+def document_features(docs: DataFrame, key: str, known: DataFrame, text: str = "text", tagger: annotate.Tagger | None = None) -> DataFrame:
+    """All 19 features: one pass over the texts, and one join of their distinct words with the lexicon. With a tagger,
+    annotated features are its own and join by the key."""
+    rows = native_features(docs, key, text, tags=True)
+    if tagger is not None:
+        rows = rows.drop(*annotate.COLUMNS).join(annotate.annotate_with(docs, key, text, tagger), key)
+    rows = with_spelling(rows, key, known)
     per100 = ratio(F.lit(100.0), F.col("n_words"))
     return rows.withColumn("construction_template_rate", F.col("template_rate") + F.col("n_participial") * per100).select(key, "n_sentences", "n_words", *STYLOMETRIC, "n_lists_detected")

@@ -152,7 +152,7 @@ def training_frame(spark, d):
     return baseline.zscore(rows.join(labels, "doc_id"), NATIVE, stats).select("doc_id", "label", "word_count", *(f"{c}_z" for c in NATIVE))
 
 
-@query(nativesql.TRAINING)
+@query()
 def training_frame_z(spark, d):
     return training_frame(spark, d).withColumns({f"{c}_z": ro.r6(F.col(f"{c}_z")) for c in NATIVE})
 

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import baseline
+from inkwell.functions import text as tx
+from inkwell.operators import baseline, joins
 from inkwell.operators.stylometry import NATIVE, native_features
 from inkwell.plans import coverage, evaluation, nativesql, relational, textual
 from inkwell.plans import roles as ro
+from inkwell.runtime import cut
 
 MODULES = [relational, textual, evaluation, coverage]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct texts, native stylometric features, band statistics, and z-scores against them."""
-    first = relational.text_hash_dedup(spark, sf_dir)
-    docs = ro.texts(spark, sf_dir).join(first.select("doc_id"), "doc_id", "left_semi")
-    rows = native_features(docs, "doc_id").withColumnRenamed("n_words", "word_count").persist()  # numbers alone; read by the statistics and by the scores
+    docs = ro.texts(spark, sf_dir).withColumn("text_hash", tx.text_hash(F.col("text")))
+    rows = native_features(docs.withColumn("_id", F.struct("doc_id", "text_hash")), "_id").withColumnRenamed("n_words", "word_count")
+    # numbers alone go on: of rows with one hash the first stays
+    rows = joins.keep_first(rows.select("_id.*", "word_count", *NATIVE), ["text_hash"], ["doc_id"])
+    rows = cut(rows)  # read by the statistics and by the scores
     out = baseline.zscore(rows, NATIVE, baseline.baseline_stats(rows, NATIVE))
     return out.select("doc_id", "word_count", *(ro.r6(F.col(c)).alias(c) for n in NATIVE for c in (n, f"{n}_z")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as tx
 from inkwell.operators import annotate, attacks, baseline, generate, likelihood, segment, stylometry
 from inkwell.plans import roles as ro
+from inkwell.plans.nativesql import HOMOPHONES, LIST_RE, MARKERS, NOT_JUST, NUMBER, NUMERAL, SPELLED, TAGGED, document
 from inkwell.plans.relational import values
 
 Q: dict = {}
@@ -53,19 +54,12 @@ def hapax_rate(spark, d):
     return rounded(stylometry.native_features(ro.texts(spark, d), "doc_id").select("doc_id", "hapax_rate"), "hapax_rate")
 
 
-LIST_RE = r"(?i)([A-Za-z][\s\p{L}\p{N}_]{0,30}),\s*([A-Za-z][\s\p{L}\p{N}_]{0,30}?)(,)?\s+(and|or)\s+([A-Za-z][\s\p{L}\p{N}_]{0,30})"
-
-
 @query(f"""WITH l AS (SELECT doc_id, regexp_extract_all(text, '{LIST_RE}', 3) AS l FROM documents)
 SELECT doc_id, len(l)::BIGINT AS n_lists, round(CASE WHEN len(l) = 0 THEN -1 ELSE len(list_filter(l, lambda x: x = ','))::DOUBLE / len(l) END, 6) AS oxford_comma_rate FROM l""")
 def list_oxford(spark, d):
     return rounded(stylometry.native_features(ro.texts(spark, d), "doc_id").select("doc_id", F.col("n_lists_detected").alias("n_lists"), "oxford_comma_rate"), "oxford_comma_rate")
 
 
-NUMERAL = r"[\p{L}\p{N}]+(?:[.,/]\p{N}+)*"
-NUMBER = r"^(?:[0-9]+(?:[.,/][0-9]+)*|" + "|".join(tx.NUMBER_WORDS) + ")$"
-
-
 @query(f"""WITH t AS (SELECT page_id, len({ro.WORDS.format('html')}) AS n, len(list_filter(regexp_extract_all(lower(html), '{NUMERAL}'), lambda x: regexp_matches(x, '{NUMBER}'))) AS k FROM pages)
 SELECT page_id, round(k * 100.0::DOUBLE / nullif(n, 0), 6) AS numeral_rate FROM t""")
 def numeral_rate(spark, d):
@@ -80,46 +74,30 @@ def punct_rates(spark, d):
     return rounded(out.select("page_id", "em_dash_rate", "semicolon_rate"), "em_dash_rate", "semicolon_rate")
 
 
-PHRASES = [
-    (1, "He could of gone; she Should Of stayed. However, they would have."),
-    (2, "Not only fast but also cheap. It is not just red, blue, and green but loud --- or so."),
-    (3, "Moreover, thus and hence. Three apples, two pears and one fig — indeed."),
-    (4, ""),
-    (5, "Nothing to see here"),
-]
-
-
 def phrase_rate(name: str, count: str) -> str:
-    return f"WITH t(id, text) AS {values(PHRASES)} SELECT id, round({SAFE.format(f'({count}) * 100.0::DOUBLE', f'len({ro.WORDS.format("text")})')}, 6) AS {name} FROM t"
-
-
-def phrases(spark):
-    return stylometry.native_features(spark.createDataFrame(PHRASES, "id int, text string"), "id")
+    return f"SELECT doc_id, round({SAFE.format(f'({count}) * 100.0::DOUBLE', f'len({ro.WORDS.format("text")})')}, 6) AS {name} FROM documents"
 
 
-HOMOPHONES = " + ".join(rf"len(regexp_extract_all(text, '(?i)\b{p}\b'))" for p in tx.HOMOPHONE_ERRORS)
-MARKERS = ", ".join(f"'{w}'" for w in tx.DISCOURSE_MARKERS)
-NOT_JUST = r"(?i)\bnot\s+(?:just|only)\b[^\n]{0,60}?\bbut\b(?:\s+also)?"
+def phrases(spark, d):
+    return stylometry.native_features(ro.texts(spark, d), "doc_id")
 
 
 @query(phrase_rate("homophone_error_rate", HOMOPHONES))
 def homophone_rate(spark, d):
-    return rounded(phrases(spark).select("id", "homophone_error_rate"), "homophone_error_rate")
+    return rounded(phrases(spark, d).select("doc_id", "homophone_error_rate"), "homophone_error_rate")
 
 
 @query(phrase_rate("discourse_marker_rate", f"len(list_filter({ro.WORDS.format('text')}, lambda w: w IN ({MARKERS})))"))
 def discourse_rate(spark, d):
-    return rounded(phrases(spark).select("id", "discourse_marker_rate"), "discourse_marker_rate")
+    return rounded(phrases(spark, d).select("doc_id", "discourse_marker_rate"), "discourse_marker_rate")
 
 
 @query(phrase_rate("template_rate", f"len(regexp_extract_all(text, '{NOT_JUST}')) + len(regexp_extract_all(text, '{LIST_RE}'))"))
 def not_just_but(spark, d):
-    return rounded(phrases(spark).select("id", "template_rate"), "template_rate")
+    return rounded(phrases(spark, d).select("doc_id", "template_rate"), "template_rate")
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({ro.WORDS.format('text')}) AS w FROM documents), k AS (SELECT w FROM t GROUP BY w HAVING count(DISTINCT doc_id) >= 3),
-c AS (SELECT doc_id, count(*) AS n, count(DISTINCT CASE WHEN k.w IS NULL THEN t.w END) AS u FROM t LEFT JOIN k USING (w) WHERE length(t.w) > 1 GROUP BY 1)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_checkable, coalesce(u, 0)::BIGINT AS n_unknown, round({SAFE.format('u', 'n')}, 6) AS spelling_error_rate FROM documents LEFT JOIN c USING (doc_id)""")
+@query(f"""WITH {TAGGED}, {SPELLED} SELECT doc_id, coalesce(n, 0)::BIGINT AS n_checkable, coalesce(u, 0)::BIGINT AS n_unknown, round({SAFE.format('u', 'n')}, 6) AS spelling_error_rate FROM documents LEFT JOIN spelled USING (doc_id)""")
 def spelling_rate(spark, d):
     docs = ro.texts(spark, d)
     return rounded(stylometry.spelling_rate(docs, "doc_id", stylometry.lexicon(docs, "text", 3)), "spelling_error_rate")
@@ -215,15 +193,15 @@ def scorer_seam(spark, d):
     return likelihood.score_with(rows, lambda: lambda context, start: [(-1.0, 1, 1.0, -1.0)] * max(0, len(context[start:].split()) - 1))
 
 
-@query()
+@query(f"WITH {TAGGED} SELECT doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in annotate.COLUMNS)} FROM noted")
 def annotated_features(spark, d):
-    return annotate.annotate(ro.texts(spark, d), "doc_id")
+    return rounded(annotate.annotate(ro.texts(spark, d), "doc_id"), *annotate.COLUMNS)
 
 
-@query()
+@query(document())
 def document_features(spark, d):
     docs = ro.texts(spark, d)
-    return stylometry.document_features(docs, "doc_id", stylometry.lexicon(docs, "text", 3))
+    return rounded(stylometry.document_features(docs, "doc_id", stylometry.lexicon(docs, "text", 3)), *stylometry.STYLOMETRIC)
 
 
 CORE = "regexp_replace(regexp_replace(t, '^[[:punct:]]+', ''), '[[:punct:]]+$', '')"

@@ -25,14 +25,15 @@ def with_row_number(df: DataFrame, name: str = "row_ord") -> DataFrame:
     rows = df.withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftright("_id", 33)
     sizes = rows.groupBy(part.alias("_part")).count().orderBy("_part").collect()
-    first, table = 0, {}
+    starts, first = [], 0
     for r in sizes:
-        table[r._part] = first
+        starts.append((r._part, first))
         first += r["count"]
-    if not table:
+    if not starts:
         return df.withColumn(name, F.lit(0).cast("long"))
-    starts = F.create_map(*(F.lit(x).cast("long") for kv in table.items() for x in kv))
-    return rows.withColumn(name, starts[F.shiftright("_id", 33)] + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    table = df.sparkSession.createDataFrame(starts, "_part long, _first long")  # a row for each partition
+    rows = rows.withColumn("_part", part).join(F.broadcast(table), "_part")
+    return rows.withColumn(name, F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
