@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASSES, WINDOW = 16, 32, 16
+HIDDEN, CLASSES, WINDOW = 16, 32, 32
 #: Texts that run side by side: at most so many in training and scoring, and in training so few that a stream of tokens
 #: gives this many steps.
 SIDE, STEPS = 512, 150
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+class Work:
+    """Arrays that are filled again and again, by name, so that memory isn't asked for in each step."""
+
+    def __init__(self, kind: np.dtype = np.float32):
+        self.kind, self.held = kind, {}
+
+    def __call__(self, name: str, shape: tuple[int, ...]) -> np.ndarray:
+        a = self.held.get(name)
+        if a is None or a.shape != shape:
+            a = self.held[name] = np.empty(shape, self.kind)
+        return a
 
 
 class Gru:
@@ -39,21 +48,31 @@ class Gru:
         self.p["bc"] = np.where(each > 0, np.log(np.maximum(each, 1.0)) - np.log(each.sum() + 1), -60).astype(np.float32)
         self.p["bw"] = np.log(counts + 1.0).astype(np.float32)
 
-    def steps(self, x: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-        """Run tokens x (time, rows) from state h; the state before each token's successor, the last one, what BPTT needs."""
-        n, u, cache = self.hidden, self.p["u"], []
-        out, seen = np.empty((len(x), len(h), n), h.dtype), self.p["embed"][x]
+    def steps(self, x: np.ndarray, h: np.ndarray, work: Work | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Run tokens x (time, rows) from state h: the state before each token's successor, and the last one. What BPTT needs
+        (states before, gates, candidates, the candidates' recurrent part) is left in work."""
+        n, u, shape = self.hidden, self.p["u"], (len(x), len(h))
+        work = Work(u.dtype) if work is None else work
+        seen = np.take(self.p["embed"], x, axis=0, out=work("seen", (*shape, 3 * n)))
+        out, before, gates, new, inner = (work(k, (*shape, w * n)) for k, w in (("out", 1), ("before", 1), ("gates", 2), ("new", 1), ("inner", 1)))
+        carried = (x != 0)[:, :, None].astype(u.dtype)  # nothing is carried into a new text
+        b, change = work("b", (shape[1], 3 * n)), work("change", (shape[1], n))
         for t in range(len(x)):
-            h = h * (x[t] != 0)[:, None]  # nothing is carried into a new text
-            a, b = seen[t], h @ u
-            zr = sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(a[:, 2 * n :] + r * b[:, 2 * n :])
-            if keep:
-                cache.append((h, z, r, c, b[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
-        return out, h, cache
+            np.multiply(h, carried[t], out=before[t])
+            np.matmul(before[t], u, out=b)
+            zr = np.add(seen[t, :, : 2 * n], b[:, : 2 * n], out=gates[t])
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            inner[t] = b[:, 2 * n :]
+            c = np.multiply(zr[:, n:], inner[t], out=new[t])
+            c += seen[t, :, 2 * n :]
+            np.tanh(c, out=c)
+            np.subtract(before[t], c, out=change)
+            change *= zr[:, :n]
+            h = np.add(c, change, out=out[t])
+        return out, h.copy()
 
     def by_class(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows in order of their class, and where each class begins."""
@@ -61,65 +80,76 @@ class Gru:
         return order, np.searchsorted(c[order], np.arange(self.classes + 1))
 
     def logp(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural-log probability of tokens y (a group's token: of its class) in states h."""
+        """Natural-log probability of tokens y (a group's token: of its class) in states h. Logits stand in columns, one for
+        each state, so that sums over them run along rows."""
         order, at = self.by_class(self.class_of[y])
-        h, y = h[order], y[order]
+        h, y = h[order].T, y[order]
         c, rows = self.class_of[y], np.arange(len(y))
-        logits = h @ self.p["wc"] + self.p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        got = logits[rows, c]
-        got = got - np.log(np.exp(logits, out=logits).sum(1))
+
+        def chosen(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
+            logits -= logits.max(0)
+            got = logits[which, rows[: len(which)]]
+            return got - np.log(np.exp(logits, out=logits).sum(0))
+
+        got = chosen(self.p["wc"].T @ h + self.p["bc"][:, None], c)
         for k in range(self.classes - self.groups):
             a, b, lo, hi = at[k], at[k + 1], self.edge[k], self.edge[k + 1]
             if b > a and hi - lo > 1:
-                logits = h[a:b] @ self.p["ww"][:, lo:hi] + self.p["bw"][lo:hi]
-                logits -= logits.max(1, keepdims=True)
-                got[a:b] += logits[rows[: b - a], y[a:b] - lo]
-                got[a:b] -= np.log(np.exp(logits, out=logits).sum(1))
+                got[a:b] += chosen(self.p["ww"][:, lo:hi].T @ h[:, a:b] + self.p["bw"][lo:hi, None], y[a:b] - lo)
         out = np.empty_like(got)
         out[order] = got
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
+    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, work: Work | None = None) -> tuple[dict, np.ndarray, float]:
         """Truncated backpropagation through one window."""
-        n = self.hidden
-        out, last, cache = self.steps(x, h, keep=True)
+        n, u = self.hidden, self.p["u"]
+        work = Work(u.dtype) if work is None else work
+        out, last = self.steps(x, h, work)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         order, at = self.by_class(self.class_of[y.ravel()])
-        flat, target = out.reshape(-1, n)[order], y.ravel()[order]
+        flat, target = out.reshape(-1, n)[order].T, y.ravel()[order]
         c, rows = self.class_of[target], np.arange(len(target))
 
-        def softmax(states: np.ndarray, w: np.ndarray, b: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, float]:
-            """Its slope by the logits, and its loss."""
-            d = states @ w + b
-            d -= d.max(1, keepdims=True)
+        def softmax(d: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, float]:
+            """The loss's slope by the logits, which stand in columns, and the loss."""
+            d -= d.max(0)
             np.exp(d, out=d)
-            d /= d.sum(1, keepdims=True)
-            picked = d[rows[: len(which)], which]
-            d[rows[: len(which)], which] -= 1
+            d /= d.sum(0)
+            picked = d[which, rows[: len(which)]]
+            d[which, rows[: len(which)]] -= 1
             return d, -float(np.log(picked + 1e-30).sum())
 
-        d, loss = softmax(flat, self.p["wc"], self.p["bc"], c)
-        g["wc"], g["bc"], dh = flat.T @ d, d.sum(0), d @ self.p["wc"].T
+        d, loss = softmax(self.p["wc"].T @ flat + self.p["bc"][:, None], c)
+        g["wc"], g["bc"], dh = flat @ d.T, d.sum(1), self.p["wc"] @ d
         for k in range(self.classes - self.groups):
             a, b, lo, hi = at[k], at[k + 1], self.edge[k], self.edge[k + 1]
             if b > a and hi - lo > 1:
-                d, more = softmax(flat[a:b], self.p["ww"][:, lo:hi], self.p["bw"][lo:hi], target[a:b] - lo)
+                w = self.p["ww"][:, lo:hi]
+                d, more = softmax(w.T @ flat[:, a:b] + self.p["bw"][lo:hi, None], target[a:b] - lo)
                 loss += more
-                g["ww"][:, lo:hi], g["bw"][lo:hi] = flat[a:b].T @ d, d.sum(0)
-                dh[a:b] += d @ self.p["ww"][:, lo:hi].T
-        back = np.empty_like(dh)
+                g["ww"][:, lo:hi], g["bw"][lo:hi] = flat[:, a:b] @ d.T, d.sum(1)
+                dh[:, a:b] += w @ d
+        dh = dh.T
+        back = work("back", dh.shape)
         back[order] = dh
-        dh, da, db = back.reshape(out.shape), np.empty((*x.shape, 3 * n), dh.dtype), np.empty((*x.shape, 3 * n), dh.dtype)
+        dh, da, db = back.reshape(out.shape), work("da", (*x.shape, 3 * n)), work("db", (*x.shape, 3 * n))
+        before, gates, new, inner = (work(k, (*x.shape, w * n)) for k, w in (("before", 1), ("gates", 2), ("new", 1), ("inner", 1)))
+        carried = (x != 0)[:, :, None].astype(u.dtype)
         carry = np.zeros_like(h)
         for t in reversed(range(len(x))):
-            before, z, r, cand, bn = cache[t]
-            d = dh[t] + carry
-            dc = d * (1 - z) * (1 - cand * cand)
-            da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = d * (before - cand) * z * (1 - z), dc * bn * r * (1 - r), dc
-            db[t, :, : 2 * n], db[t, :, 2 * n :] = da[t, :, : 2 * n], dc * r
-            carry = (d * z + db[t] @ self.p["u"].T) * (x[t] != 0)[:, None]
-        g["u"] = np.concatenate([k[0] for k in cache]).T @ db.reshape(-1, 3 * n)
+            z, r, c = gates[t, :, :n], gates[t, :, n:], new[t]
+            d = dh[t]
+            d += carry
+            dc = (1 - c * c) * (1 - z) * d
+            da[t, :, :n] = d * (before[t] - c) * z * (1 - z)
+            da[t, :, n : 2 * n] = dc * inner[t] * r * (1 - r)
+            da[t, :, 2 * n :] = dc
+            db[t, :, : 2 * n] = da[t, :, : 2 * n]
+            np.multiply(dc, r, out=db[t, :, 2 * n :])
+            carry = db[t] @ u.T
+            carry += d * z
+            carry *= carried[t]
+        g["u"] = before.reshape(-1, n).T @ db.reshape(-1, 3 * n)
         token = x.ravel()
         order = np.argsort(token.astype(np.int16), kind="stable")
         token = token[order]
@@ -139,11 +169,11 @@ class Gru:
         long = -(-(len(stream) - 1) // rows)
         stream = np.append(stream, np.zeros(rows * long + 1 - len(stream), stream.dtype))  # ends fill the last row
         x, y = stream[: rows * long].reshape(rows, long).T, stream[1 : rows * long + 1].reshape(rows, long).T
-        total, k = epochs * -(-long // WINDOW), 0
+        total, k, work = epochs * -(-long // WINDOW), 0, Work()
         for _ in range(epochs):
             h = np.zeros((rows, self.hidden), np.float32)
             for a in range(0, long, WINDOW):
-                g, h, _ = self.gradients(x[a : a + WINDOW], y[a : a + WINDOW], h)
+                g, h, _ = self.gradients(x[a : a + WINDOW], y[a : a + WINDOW], h, work)
                 norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
                 step, k = rate * (1 - (1 - to) * k / total) + 1e-5, k + 1
                 for n, v in g.items():
@@ -159,11 +189,12 @@ class Gru:
         size = np.array([len(t) + 1 for t in texts], np.int64)
         order = np.argsort(-size, kind="stable")
         out = np.zeros(len(texts))
+        work = Work()
         for k in range(0, len(texts), SIDE):
-            self._score(texts, order[k : k + SIDE], size, out)
+            self._score(texts, order[k : k + SIDE], size, out, work)
         return out
 
-    def _score(self, texts: list[np.ndarray], order: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+    def _score(self, texts: list[np.ndarray], order: np.ndarray, size: np.ndarray, out: np.ndarray, work: Work) -> None:
         h, size, last = np.zeros((len(order), self.hidden), np.float32), size[order], np.zeros(len(order), np.int64)
         for a in range(0, int(size[0]), WINDOW):
             n = int(np.searchsorted(-size, -a))
@@ -173,7 +204,7 @@ class Gru:
                 y[k, : len(part)] = part
             x = np.concatenate([last[:n, None], y[:, :-1]], 1)
             valid = (a + np.arange(WINDOW))[:, None] < size[None, :n]
-            states, h, _ = self.steps(np.ascontiguousarray(x.T), h[:n])
+            states, h = self.steps(np.ascontiguousarray(x.T), h[:n], work)
             got = self.logp(states[valid], y.T[valid])
             out[order[:n]] += np.bincount(np.nonzero(valid)[1], got, n)
             last = y[:, -1]

@@ -21,11 +21,11 @@ from inkwell.llm.gru import Gru
 #: Most frequent tokens with a softmax of their own; ranks up to which words are broadcast, in groups of the model.
 WORDS, GROUP_RANKS = 1024, (4096, 16_384, 65_536)
 #: The model learns from all training texts, in rounds: so many sixteenths of them, by hash, in each.
-ROUNDS = (1, 4, 11)
+ROUNDS = (2, 14)
 #: Fewer training tokens than LEAST_TOKENS are gone over again, up to MOST_EPOCHS times.
 LEAST_TOKENS, MOST_EPOCHS = 1_000_000, 8
 #: Words in a task's counter, tokens of texts scored or learned from side by side, and models added up by one task.
-COUNTER, SIDE_BY_SIDE, FOLD = 400_000, 3_000_000, 64
+COUNTER, SIDE_BY_SIDE, FOLD = 400_000, 3_000_000, 16
 #: Stands for the end of a text; no word holds white space.
 END = b"\n"
 SEED = 42
@@ -138,6 +138,7 @@ class WordModel:
             if b > a:
                 self.inside[a:b] = np.log10(counts[a:b] / mass[g])
         self.rest = len(own) + groups - 1
+        self.token_of = dict(zip(self.number, self.token.tolist()))
         rest = total["n"] - int(counts.sum())
         mass[-1] = rest + 1
         # Good and Turing: of the tokens beyond the head as many are unknown as belong to words seen once
@@ -149,6 +150,11 @@ class WordModel:
         self.norm = float(np.log10(total["n"] + total["words"] + 1))
         self.gru = Gru(counts[: len(own)].astype(float), mass)
 
+    def tokens(self, text: bytes) -> np.ndarray:
+        """Tokens of the model alone."""
+        words = text.translate(LOWER).split()
+        return np.fromiter(map(self.token_of.get, words, repeat(self.rest)), np.int16, len(words))
+
     def ids(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Head numbers (-1: not in the head), tokens of the model, and the words that are not in the head."""
         words = text.translate(LOWER).split()
@@ -182,7 +188,7 @@ def learn(docs: DataFrame, model: WordModel, tokens: int) -> None:
     shapes = {k: v.shape for k, v in model.gru.p.items()}
     for turn, many in enumerate(ROUNDS):
         held = spark.sparkContext.broadcast(model)
-        rate, to = 0.01 * (1 - turn / (len(ROUNDS) + 1)), 0.3 if turn < len(ROUNDS) - 1 else 0.0
+        rate, to = 0.01 * (1 - turn / (2 * len(ROUNDS))), 0.3 if turn < len(ROUNDS) - 1 else 0.0
 
         def run(batches: Iterator[pa.RecordBatch], held=held, rate=rate, to=to) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -192,7 +198,7 @@ def learn(docs: DataFrame, model: WordModel, tokens: int) -> None:
             gru.p = {k: v.copy() for k, v in gru.p.items()}
             for b in batches:
                 for t in b.column(0).cast(pa.binary()).to_pylist():
-                    waiting.append(m.ids(t)[1])
+                    waiting.append(m.tokens(t))
                     size += len(waiting[-1]) + 1
                     if size >= SIDE_BY_SIDE:
                         gru.fit(waiting, epochs=epochs, rate=rate, to=to)

@@ -53,7 +53,7 @@ def test_score_is_a_distribution():
     g = Gru(100.0 / np.arange(1, 21), np.array([5.0, 3.0]), hidden=8, classes=4).fit([rng.integers(1, 22, 30) for _ in range(20)], epochs=3)
     first = np.array([g.score([np.array([k])])[0] for k in range(22)])
     end = g.score([np.zeros(0, np.int64)])[0]
-    h, _, _ = g.steps(np.zeros((1, 1), np.int64), np.zeros((1, 8), np.float32))
+    h, _ = g.steps(np.zeros((1, 1), np.int64), np.zeros((1, 8), np.float32))
     p = np.exp([g.logp(h[0], np.array([k]))[0] for k in range(22)])
     assert p.sum() == pytest.approx(1, abs=1e-4)
     assert math.exp(end) == pytest.approx(p[0], rel=1e-4) and (first < 0).all()
@@ -130,7 +130,7 @@ def test_state_is_carried_across_windows():
     long = texts[5]
     h, total, last = np.zeros((1, 8), np.float32), 0.0, 0
     for y in [*long, 0]:
-        states, h, _ = g.steps(np.array([[last]]), h)
+        states, h = g.steps(np.array([[last]]), h)
         total, last = total + float(g.logp(states[0], np.array([y]))[0]), y
     assert one[5] == pytest.approx(total, rel=1e-4)
 
