@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASSES, WINDOW = 16, 32, 32
+HIDDEN, CLASSES, WINDOW = 12, 32, 32
 #: Texts that run side by side: at most so many in training and scoring, and in training so few that a stream of tokens
 #: gives this many steps.
 SIDE, STEPS = 512, 150
