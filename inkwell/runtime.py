@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,3 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, *, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """A table in the shared folder that stands for df, for loops: unlike a checkpoint, which goes on estimating its size by
+    the plan it came from, each round starts from what the files hold. Tables of ``instead_of`` are deleted."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4()}"
+    df.write.parquet(path)
+    for old in instead_of:
+        for name in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            if "/tables/" in name:
+                p = spark._jvm.org.apache.hadoop.fs.Path(name)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return spark.read.schema(df.schema).parquet(path)
