@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,13 +10,19 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import cut, documents
 
+logger = logging.getLogger(__name__)
+
 #: Labelled documents that the classifier is fitted on, at most (those first in hash order), and its vocabulary.
-MOST_LABELLED, VOCABULARY, MOST_DOMAINS = 20_000, 512, 16
+MOST_LABELLED, VOCABULARY = 20_000, 512
+#: Domains with memberships of their own, the most frequent; all others are together one more domain, OTHER.
+MOST_DOMAINS, OTHER = 63, "(other)"
 #: A text's mean log-likelihood counts as this many words of evidence, which keeps memberships soft whatever its length.
 EVIDENCE = 20.0
 #: Default targets are the domains' shares to this power, made to sum to one.
 TEMPERATURE = 0.7
-ROUNDS, CLOSE = 40, 1e-5
+#: Rounds of the fit at most, and the share of all tokens by which it may still be off. A fit that ends before it is that
+#: close says so.
+ROUNDS, CLOSE = 200, 1e-5
 #: Rounds after which the rates are written down, so that their expression, and with it the driver's plans, stay small.
 CUT_AFTER = 5
 #: Stands at the end of every text, so that texts without a known word stay.
@@ -41,8 +48,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain_col: str) -> tuple
     (word, mark, l0, l1, ...) of log-probabilities, of VOCABULARY rows and one for END that holds the log-priors' parts."""
     few = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     sample = docs.select("doc_id", docs[domain_col].cast("string").alias("domain"), "text").where("domain is not null").join(F.broadcast(few), "doc_id")
-    domains = [r.domain for r in sample.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS).collect()]
-    held = sample.where(F.col("domain").isin(domains)) if domains else sample.limit(0)
+    domains = [r.domain for r in sample.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS + 1).collect()]
+    held = sample
+    if len(domains) > MOST_DOMAINS:
+        domains = domains[:MOST_DOMAINS]
+        held = sample.withColumn("domain", F.when(F.col("domain").isin(domains), F.col("domain")).otherwise(OTHER))
+        domains.append(OTHER)
     words = held.select("domain", F.explode(F.concat(words_of(F.col("text")), F.array(F.lit(END)))).alias("word")).where("word <> ''")
     counts = words.groupBy("word").agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("domain") == d, 1.0).otherwise(0.0)).alias(f"c{k}") for k, d in enumerate(domains)))
     top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(VOCABULARY).unionAll(counts.where(F.col("word") == END))
@@ -89,6 +100,8 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float] |
     if targets is None:
         flat = [(x / everything) ** TEMPERATURE if x else 0.0 for x in natural]
     else:
+        if lost := sorted(set(targets) - set(domains)):
+            raise ValueError(f"no labelled document, or no domain of its own, for the targets {lost}; there are {domains}")
         flat = [max(0.0, float(targets.get(d, 0.0))) for d in domains]
     share = [x / (sum(flat) or 1.0) for x in flat]
     if tokens is None:
@@ -102,14 +115,16 @@ def fit_rates(found: DataFrame, domains: list[str], targets: dict[str, float] |
         if turn % CUT_AFTER == CUT_AFTER - 1:
             found, rate = cut(found.withColumn("rate", rate)), F.col("rate")
         now = expected(found, rate)
+    if (off := sum(abs(a - g) for a, g in zip(now, goal))) > CLOSE * tokens:
+        logger.warning("the mixture is off by %.3g of %.3g tokens: %s instead of %s", off, tokens, dict(zip(domains, now)), dict(zip(domains, goal)))
     return found.withColumn("rate", rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, *, domain_col: str = "lang", targets: dict[str, float] | None = None, least: float = 0.0, tokens: float | None = None) -> DataFrame:
     """(key, n_tokens, domain, posterior, rate) of every distinct row of id and text.
 
-    A classifier learns the domains (the values of ``domain_col``, MOST_DOMAINS at most) from documents of the labelled
-    table and gives every document a posterior over them. Rates, ``least`` or more, are fitted by least squares so that
+    A classifier learns the domains (the values of ``domain_col``; beyond MOST_DOMAINS the rarer ones count as one, OTHER)
+    from documents of the labelled table and gives every document a posterior over them. Rates, ``least`` or more, are fitted by least squares so that
     the expected tokens of each domain meet ``targets`` (weights; by default tempered shares) of ``tokens`` (by default
     all there are, or with a ``least`` of one or more the fewest that can meet the targets).
 
@@ -134,11 +149,11 @@ def with_rates(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def repeat_to_rates(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The mixture itself: each row as often as its rate says, the fraction settled by a hash of the row. All columns stay."""
-    rates = mix(docs, labels, **how).select(F.col("key").alias("_mix_key"), F.col("rate").alias("_mix_rate"))
-    luck = F.pmod(F.xxhash64("_mix_key", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.withColumn("_mix_key", key_of(docs)).join(rates, "_mix_key")
-    rows = rows.withColumn("_mix_n", F.floor(F.col("_mix_rate") + luck).cast("int")).where("_mix_n > 0")
-    return rows.withColumn("_mix_n", F.explode(F.array_repeat(F.lit(0), F.col("_mix_n")))).select(*docs.columns)
+    rates = mix(docs, labels, **how).select("key", "rate")
+    luck = F.pmod(F.xxhash64("key", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), key_of(docs).alias("key")).join(rates, "key")
+    rows = rows.withColumn("n", F.floor(F.col("rate") + luck).cast("int")).where("n > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")).select("row.*")
 
 
 def contract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import cut, documents, tasks_for
+from inkwell.llm.common import cut, documents, tasks_for, written
 
 SHARDS = 40
-ROUNDS = 6
+#: Rounds of label propagation at most; it ends where a round cuts no fewer links.
+ROUNDS = 50
 #: Parts of a shard in which rows are numbered side by side; so many for each shuffle partition.
 PARTS = 4
 
@@ -25,14 +26,18 @@ def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFra
 
     In each round a group's neighbours vote by rows for one shard with room left, and cells move there; where more ask
     than a shard has room for, cells are let in by hash up to its quota. A group larger than a shard fills one shard
-    after another. Returns (text_key, first, shard).
+    after another. It ends when no cell asks to move, or a round has left as many rows outside their group's main shard as
+    there were. Returns (text_key, first, shard).
     """
     room_of = total // shards
-    cells = cut(cells.withColumn("shard", F.col("first")))
+    cells, outside = written(cells.withColumn("shard", F.col("first"))), None
     for turn in range(rounds):
         held = {r.shard: r.n for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = numbers({s: max(0, room_of - held.get(s, 0)) for s in range(shards)}, shards)
         placed = cells.groupBy("text_key", "shard").agg(F.sum("n").alias("rows"))
+        before, outside = outside, placed.groupBy("text_key").agg((F.sum("rows") - F.max("rows")).alias("out")).agg(F.sum("out")).first()[0]
+        if not outside or before is not None and outside >= before:
+            break
         free = placed.where(F.element_at(room, F.col("shard") + 1) > 0)
         votes = free.groupBy("text_key").agg(F.max_by("shard", F.struct("rows", -F.col("shard"))).alias("to"))
         asking = cells.join(votes, "text_key", "left").withColumn("to", F.coalesce("to", "shard"))
@@ -42,20 +47,23 @@ def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFra
         share = F.array(*(F.lit(min(1.0, max(0, room_of - held.get(s, 0)) / asked[s]) if s in asked else 1.0) for s in range(shards)))
         luck = F.pmod(F.xxhash64("text_key", "first", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         goes = (F.col("to") != F.col("shard")) & (luck < F.element_at(share, F.col("to") + 1))
-        cells = cut(asking.select("text_key", "first", "n", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        cells = written(asking.select("text_key", "first", "n", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")), instead_of=(cells,))
     return cells.select("text_key", "first", "shard")
 
 
 def numbered(rows: DataFrame, parts: int) -> DataFrame:
-    """Add ``at``, the place of a row in its shard, gapless from 0, linked rows first. No window holds more than a part of
-    a shard: rows are numbered inside (shard, part) and the parts' counts, a small table, are summed up before them."""
+    """Add ``at``, the place of a row in its shard, gapless from 0, linked rows first. Equal rows are one row with a count
+    until the end, and no window holds more than a part of a shard: places are summed up inside (shard, part), and the
+    parts' sums, a small table, come before them."""
     part = F.when(F.col("linked"), 0).otherwise(parts) + F.pmod(F.xxhash64("doc_id", "text_key", "size"), F.lit(parts)).cast("int")
-    rows = cut(rows.withColumn("part", part))
-    sizes = rows.groupBy("shard", "part").count()
+    rows = cut(rows.withColumn("part", part).groupBy("doc_id", "size", "text_crc32", "text_key", "shard", "part").agg(F.count("*").alias("copies")))
+    sizes = rows.groupBy("shard", "part").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_key", "size")
-    return rows.withColumn("rn", F.row_number().over(inside) - 1).join(offsets, ["shard", "part"]).withColumn("at", F.col("offset") + F.col("rn"))
+    offsets = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("ahead", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(offsets, ["shard", "part"])
+    first = F.col("offset") + F.col("ahead")
+    return rows.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("at"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, *, rounds: int = ROUNDS) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import LOWER, cut, documents, map_docs, ship, tasks_for
+from inkwell.llm.common import LOWER, cut, documents, map_docs, ship, tasks_for, written
 
 SEED = 42
 #: Ids up to which rows are picked by a broadcast of ids.
@@ -297,21 +297,22 @@ def verified_components(nodes: DataFrame, docs: DataFrame, bits: int, width: int
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge, root: the smallest node reachable. Large-star and small-star in turn.
 
-    Each half is a grouped minimum and a join on the node; every turn is cut with a checkpoint in the shared folder, and
-    only a count and a sum of hashes come to the driver.
+    Each half is a grouped minimum and a join on the node; every step is a written table in the shared folder, and only a
+    count and a sum of hashes come to the driver. As the minima are written too, both sides of a join come from a shuffle of
+    their own, and a node that most edges share can be split as it runs.
     """
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     sign = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = None
     while (now := sign(edges)) != before and now[0]:
         before = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), instead_of=(least, edges))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         small = small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
-        edges = cut(small.where("u <> v").distinct())
+        edges = written(small.where("u <> v").distinct(), instead_of=(least, large))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

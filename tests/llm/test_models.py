@@ -259,3 +259,24 @@ def test_pipeline(spark, docs, labels, rows, tmp_path):
     assert sorted(kept["sharding"], key=repr) == sorted(kept["mixing"], key=repr)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["sharding"])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, n int, stays boolean, score double, predicted int, fp long, copies int"
+
+
+@pytest.mark.parametrize("texts", [[], [None] * 6, [None, "", " ", "a few words", "a few words", "other words here"]])
+def test_pipeline_on_awkward_tables(spark, tmp_path, texts):
+    """Empty tables, texts that are all null, and columns named like those that stages add."""
+    rows = [(i if i % 2 else None, t, "en", "s", 0, "r", 1, 2, True, 0.5, 1, 3, 4) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, CLASH).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = now.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        assert k == 4 or out.columns == columns
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        now = spark.read.parquet(f"{tmp_path}/stage{k}")
+    # of copies one stays, null and empty texts being copies
+    assert now.count() == len({(t or "").strip() for t in texts})

@@ -288,3 +288,36 @@ def test_mixing_repeats_and_drops_nothing(docs, labels):
 def test_mixing_without_labels(docs, empty):
     assert {r.rate for r in mixing.with_rates(docs, empty[1]).select("rate").collect()} == {1.0}
     assert mixing.with_rates(*empty).count() == 0
+
+
+def test_mixing_of_many_domains(spark, monkeypatch):
+    """Rarer domains count as one; a target that can't be met by name is an error; names of columns don't clash."""
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 3)
+    r = random.Random(3)
+    rows = [(i, " ".join(f"{chr(97 + i % 6)}{r.randrange(20)}" for _ in range(50)), f"s{i % 6}" if i % 6 < 3 or i % 2 else "s0", 1, 2, 3.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key int, n int, rate double")
+    labels = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
+    got = mixing.with_rates(df.select("doc_id", "text", "source"), labels, domain_col="source")
+    assert got.count() == 300 and mixing.OTHER in {x.domain for x in got.collect()} and got.select("domain").distinct().count() == 4
+    with pytest.raises(ValueError, match="s9"):
+        mixing.with_rates(df, labels, domain_col="source", targets={"s0": 1.0, "s9": 1.0})
+    out = mixing.repeat_to_rates(df, labels, domain_col="source", least=1.0)
+    assert out.columns == df.columns and out.select("doc_id").distinct().count() == 300
+
+
+def test_sharding_of_equal_rows(spark):
+    """A third of all rows are one row many times."""
+    rows = [(i, f"text {i}") for i in range(200)] + [(None, None)] * 100 + [(7, "same")] * 30
+    check_shards(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect(), rows, 10)
+
+
+def test_sharding_cuts_few_links(spark):
+    """Groups of two to nine equal texts, small against a shard: by hash nearly all would be cut, and at most one in ten is."""
+    r, rows = random.Random(6), []
+    for g in range(150):
+        rows += [(len(rows) + k, f"group {g}") for k in range(r.randint(2, 9))]
+    rows += [(10_000 + k, f"own {k}") for k in range(1500)]
+    at = {}
+    for x in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect():
+        at.setdefault(dict(rows)[x.doc_id], set()).add(x.shard)
+    assert sum(len(s) > 1 for t, s in at.items() if t.startswith("group")) <= 15
