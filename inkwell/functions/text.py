@@ -32,9 +32,15 @@ MARK = "\ue000"
 NO_LIST_COMMA = rf",(?!{WS}*+[A-Za-z]{GAP}{{0,30}}?,?{WS}+(?i:and|or){WS}+[A-Za-z])"
 LIST_OF_THREE = rf"(?=[A-Za-z][^,]{{0,30}},)([A-Za-z]{GAP}{{0,30}}+),{WS}*+([A-Za-z]{GAP}{{0,30}}?)([,\x{{e000}}])?{WS}+(?i:(and|or)){WS}+([A-Za-z]{GAP}{{0,30}})"
 NOT_JUST_BUT = rf"(?i)\bnot{WS}+(?:just|only)\b[^\n]{{0,60}}?\bbut\b(?:{WS}+also)?"
+# Fixed value: what a model's reply may begin with before its text.
 PREAMBLE = (
-    r"(?is)\A(?:here.{0,15}(?:is|s|are).{0,30}(?:revised|rewritten|corrected|paragraph|version)"
-    r"|sure[,!]|i.ve (?:revised|rewritten|corrected)|certainly|\*\*revised).*?\n\n"
+    r"(?is)^(?:"
+    r"here.{0,15}(?:is|s|are).{0,30}(?:revised|rewritten|corrected|paragraph|version)"
+    r"|sure[,!]"
+    r"|i.ve (?:revised|rewritten|corrected)"
+    r"|certainly"
+    r"|\*\*revised"
+    r").*?\n\n"
 )
 SENTENCE = r"[^.!?]+[.!?]*"
 

@@ -38,18 +38,28 @@ class Client(Protocol):
 
 
 class HttpClient:
-    """A local generation server; imported and reached on the executors only."""
+    """A local generation server; imported and reached on the executors only. A call that hangs fails after ``timeout``
+    seconds, and one that fails is made ``tries`` times in all, with growing pauses."""
 
-    def __init__(self, host: str = "http://localhost:11434", num_ctx: int = 2048, keep_alive: str = "30m"):
-        self.host, self.num_ctx, self.keep_alive = host, num_ctx, keep_alive
+    def __init__(self, host: str = "http://localhost:11434", num_ctx: int = 2048, keep_alive: str = "30m", timeout: float = 600.0, tries: int = 3):
+        self.host, self.num_ctx, self.keep_alive, self.timeout, self.tries = host, num_ctx, keep_alive, timeout, tries
 
     def generate(self, model: str, prompt: str) -> str:
         import json
+        import time
+        from urllib.error import URLError
         from urllib.request import Request, urlopen
 
         body = {"model": model, "prompt": prompt, "stream": False, "keep_alive": self.keep_alive, "options": {"num_ctx": self.num_ctx}}
-        with urlopen(Request(f"{self.host}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})) as r:  # noqa: S310
-            return json.load(r)["response"].strip()
+        for turn in range(self.tries):
+            try:
+                with urlopen(Request(f"{self.host}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=self.timeout) as r:  # noqa: S310
+                    return json.load(r)["response"].strip()
+            except (URLError, TimeoutError):
+                if turn + 1 == self.tries:
+                    raise
+                time.sleep(2.0**turn)
+        raise ValueError("tries must be one or more")
 
 
 def targets(spark: SparkSession, per_model: int = PER_MODEL, seed: int = 42) -> DataFrame:

@@ -29,6 +29,13 @@ def bigrams(docs: DataFrame, key: str, text: str) -> DataFrame:
     return w.select(key, "sent", F.posexplode(pairs).alias("tok", "_p")).select(key, "sent", (F.col("tok") + 1).alias("tok"), "_p.prev", "_p.word")
 
 
+def sentence_bigrams(sentences: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """(by, tok, prev, word) of given sentences, each named by the columns ``by``."""
+    w = sentences.select(*by, tx.alpha_words(F.col(text)).alias("_w"))
+    pairs = F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))), lambda x, i: F.struct(F.get("_w", i).alias("prev"), x.alias("word")))
+    return w.select(*by, F.posexplode(pairs).alias("tok", "_p")).select(*by, (F.col("tok") + 1).alias("tok"), "_p.prev", "_p.word")
+
+
 def train_bigram(grams: DataFrame) -> DataFrame:
     """Add-one bigram model: (prev, word, n, prev_n, types, likelier, entropy) for seen pairs. ``likelier`` counts the
     pair's context mates with more occurrences; ``types`` is the vocabulary's size. Ranks are counted over distinct
@@ -46,7 +53,7 @@ def train_bigram(grams: DataFrame) -> DataFrame:
     return pairs.join(levels.drop("_m"), ["prev", "n"]).join(contexts, "prev").select("prev", "word", "n", "prev_n", "types", "likelier", "_seen", "entropy")
 
 
-def score_tokens(grams: DataFrame, base: DataFrame, alt: DataFrame, key: str) -> DataFrame:
+def score_tokens(grams: DataFrame, base: DataFrame, alt: DataFrame, *by: str) -> DataFrame:
     """The contract table by two bigram models. Pairs a model hasn't seen get the add-one probability of their context."""
     pairs = grams.groupBy("prev", "word").agg(F.count("*").alias("_c")).drop("_c")
 
@@ -61,7 +68,7 @@ def score_tokens(grams: DataFrame, base: DataFrame, alt: DataFrame, key: str) ->
         return rows.select("prev", "word", lp.alias(f"lp_{name}"), rank.alias(f"rank_{name}"), entropy.alias(f"ent_{name}"))
 
     scores = looked_up(base, "base").join(looked_up(alt, "alt").select("prev", "word", "lp_alt"), ["prev", "word"])
-    return grams.join(scores, ["prev", "word"]).select(key, "sent", "tok", "lp_base", "rank_base", "ent_base", "lp_alt")
+    return grams.join(scores, ["prev", "word"]).select(*(by if len(by) > 1 else (*by, "sent")), "tok", "lp_base", "rank_base", "ent_base", "lp_alt")
 
 
 def score_corpus(grams: DataFrame, in_alt: Column, key: str) -> DataFrame:

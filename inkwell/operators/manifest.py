@@ -11,7 +11,12 @@ from inkwell.operators.joins import keep_first
 COLUMNS = ["doc_id", "pool", "source", "author_type", "generator", "prompt_condition", "ell_flag", "topic", "word_count", "license"]
 PARAGRAPHS = "array<struct<paragraph_index:int,original_text:string,revised_text:string,was_revised:boolean>>"
 
-# Display names of generator families, and licence lines.
+# Sources, author types and conditions of pools, display names of generator families, licence lines.
+HUMAN_SOURCE = "persuade_corpus"
+POLISHED_SOURCE, POLISHED_MODEL = "persuade_corpus+llama3.2:3b", "llama3.2:3b"
+MODERN_SOURCE = "ollama_modern_generated"
+UNKNOWN_PROMPT = "unknown (DAIGT-provided)"
+HUMAN, MACHINE, MIXED, NONE, UNKNOWN = "human", "machine", "mixed", "n/a", "unknown"
 GENERATORS = {
     "mistral7binstruct_v2": "Mistral-7B-Instruct v2",
     "mistral7binstruct_v1": "Mistral-7B-Instruct v1",
@@ -50,7 +55,7 @@ def pool_label(pool: Column) -> Column:
 
 def flag(ell: Column) -> Column:
     """Missing and blank flags are unknown."""
-    return F.coalesce(F.nullif(tx.strip(ell), F.lit("")), F.lit("unknown"))
+    return F.coalesce(F.nullif(tx.strip(ell), F.lit("")), F.lit(UNKNOWN))
 
 
 def _rows(df: DataFrame, *values: Column) -> DataFrame:
@@ -59,12 +64,12 @@ def _rows(df: DataFrame, *values: Column) -> DataFrame:
 
 def human_rows(df: DataFrame, pool: str, *, key: str = "text_hash", ell: str = "ell_status", topic: str = "prompt_name", words: str = "word_count") -> DataFrame:
     c = F.col
-    return _rows(df, c(key), F.lit(pool), F.lit("persuade_corpus"), F.lit("human"), F.lit("n/a"), F.lit("n/a"), flag(c(ell)), c(topic), c(words).cast("long"), F.lit(HUMAN_LICENSE))
+    return _rows(df, c(key), F.lit(pool), F.lit(HUMAN_SOURCE), F.lit(HUMAN), F.lit(NONE), F.lit(NONE), flag(c(ell)), c(topic), c(words).cast("long"), F.lit(HUMAN_LICENSE))
 
 
 def machine_rows(df: DataFrame, pool: str, *, order: str = "row_ord", text: str = "text", topic: str = "prompt_name") -> DataFrame:
     c, key = F.col, F.concat_ws("::", F.col("source"), F.col(order).cast("string"))
-    return _rows(df, key, F.lit(pool), c("source"), F.lit("machine"), generator_name(c("source")), F.lit("unknown (DAIGT-provided)"), F.lit("n/a"), c(topic), tx.word_count(c(text)), F.lit(MACHINE_LICENSE))
+    return _rows(df, key, F.lit(pool), c("source"), F.lit(MACHINE), generator_name(c("source")), F.lit(UNKNOWN_PROMPT), F.lit(NONE), c(topic), tx.word_count(c(text)), F.lit(MACHINE_LICENSE))
 
 
 def build(pools: dict[str, DataFrame]) -> DataFrame:
@@ -94,18 +99,18 @@ def polished(checkpoint: DataFrame, joined: DataFrame, order: str) -> DataFrame:
     meta = keep_first(joined.select("text_hash", "prompt_name", "ell_status", order), ["text_hash"], [order])
     rows = checkpoint.join(meta.select(F.col("text_hash").alias("essay_id"), "prompt_name", "ell_status"), "essay_id", "left")
     c = F.col
-    return _rows(rows, c("essay_id"), F.lit("polished_mixed"), F.lit("persuade_corpus+llama3.2:3b"), F.lit("mixed"), F.lit("llama3.2:3b"), c("intensity"), flag(c("ell_status")), c("prompt_name"), revised_words(c("paragraphs_json")), F.lit(HUMAN_LICENSE))
+    return _rows(rows, c("essay_id"), F.lit("polished_mixed"), F.lit(POLISHED_SOURCE), F.lit(MIXED), F.lit(POLISHED_MODEL), c("intensity"), flag(c("ell_status")), c("prompt_name"), revised_words(c("paragraphs_json")), F.lit(HUMAN_LICENSE))
 
 
 def modern(checkpoint: DataFrame) -> DataFrame:
     c = F.col
-    return _rows(checkpoint, c("essay_id"), F.lit("machine_modern"), F.lit("ollama_modern_generated"), F.lit("machine"), c("model"), c("condition"), F.lit("n/a"), c("topic"), c("word_count").cast("long"), F.lit(LOCAL_LICENSE))
+    return _rows(checkpoint, c("essay_id"), F.lit("machine_modern"), F.lit(MODERN_SOURCE), F.lit(MACHINE), c("model"), c("condition"), F.lit(NONE), c("topic"), c("word_count").cast("long"), F.lit(LOCAL_LICENSE))
 
 
 def adversarial(checkpoint: DataFrame) -> DataFrame:
     c = F.col
     name = F.concat_ws(" + ", generator_name(c("source_family")), c("attack_type"))
-    return _rows(checkpoint, c("essay_id"), F.lit("adversarial"), c("source_family"), F.lit("machine"), name, c("attack_type"), F.lit("n/a"), c("topic"), c("word_count").cast("long"), F.lit(MACHINE_LICENSE))
+    return _rows(checkpoint, c("essay_id"), F.lit("adversarial"), c("source_family"), F.lit(MACHINE), name, c("attack_type"), F.lit(NONE), c("topic"), c("word_count").cast("long"), F.lit(MACHINE_LICENSE))
 
 
 def build_generated(spark: SparkSession, root: str, joined: DataFrame, order: str) -> dict[str, DataFrame]:

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats as st
+from inkwell.operators import sampling
+from inkwell.operators.stylometry import LIKELIHOOD
+from inkwell.sources import checkpoint
 
-MAX_ITERATIONS, PENALTY, TOLERANCE = 1000, 1.0, 1e-5
+MAX_ITERATIONS, PENALTY, TOLERANCE = 1000, 1.0, 1e-4
 ROWS_PER_TASK = 50_000
 MIN_WORDS = 150
 
+# What an ablation leaves out.
 FAMILIES = {
-    "rhythm": ["sent_len_mean", "sent_len_std", "sent_len_burstiness"],
-    "vocabulary": ["mattr", "hapax_rate"],
-    "punctuation": ["em_dash_rate", "semicolon_rate", "oxford_comma_rate"],
-    "phrases": ["discourse_marker_rate", "homophone_error_rate", "numeral_rate"],
+    "likelihood_all": LIKELIHOOD,
+    "cross_ppl_ratio": ["cross_ppl_ratio"],
+    "punctuation_construction": ["em_dash_rate", "semicolon_rate", "oxford_comma_rate", "construction_template_rate"],
+    "error_rates": ["spelling_error_rate", "homophone_error_rate"],
+    "concreteness": ["proper_noun_rate", "numeral_rate", "named_entity_rate"],
 }
 
 
@@ -69,7 +75,21 @@ class CalibratedModel:
         for k, (model, calibrator) in enumerate(self.folds):
             model.write().overwrite().save(f"{path}/fold{k}")
             calibrator.write().overwrite().save(f"{path}/calibrator{k}")
-        self.plain.write().overwrite().save(f"{path}/plain")
+        if self.plain is not None:
+            self.plain.write().overwrite().save(f"{path}/plain")
+        spark = SparkSession.getActiveSession()
+        about = {"features": self.features, "method": self.method, "folds": len(self.folds), "plain": self.plain is not None}
+        spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CalibratedModel:
+        """What ``save`` has written; fails with a plain message if nothing is there."""
+        if not checkpoint.exists(spark, f"{path}/about"):
+            raise FileNotFoundError(f"no trained model at {path}; train and save one first")
+        about = json.loads(spark.read.parquet(f"{path}/about").first().about)
+        kind = IsotonicRegressionModel if about["method"] == "isotonic" else PipelineModel
+        folds = [(PipelineModel.load(f"{path}/fold{k}"), kind.load(f"{path}/calibrator{k}")) for k in range(about["folds"])]
+        return cls(about["features"], folds, PipelineModel.load(f"{path}/plain") if about["plain"] else None, about["method"])
 
 
 def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -81,15 +101,25 @@ def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return few
 
 
+def smoothed(held: DataFrame) -> DataFrame:
+    """Each row under both labels, weighted by its smoothed target: (n + 1) / (n + 2) of n rows of label 1, 1 / (n + 2) of
+    label 0, so that a calibrator never becomes certain of few rows."""
+    n = held.agg(F.sum("label").alias("_up"), F.sum(1 - F.col("label")).alias("_down"))
+    target = F.when(F.col("label") == 1, (F.col("_up") + 1) / (F.col("_up") + 2)).otherwise(1 / (F.col("_down") + 2))
+    both = F.array(F.struct(F.lit(1.0).alias("label"), target.alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - target).alias("weight")))
+    return held.join(F.broadcast(n)).select("_m", F.inline(both))  # one row
+
+
 def fit(df: DataFrame, key: str, features: list[str], *, seed: int = 42, method: str = "isotonic", folds: int = 3, plain: bool = True) -> CalibratedModel:
-    """df: the key, ``label`` (0 or 1) and the features. Folds are by hash; there are min(folds, smallest class), two at least."""
+    """df: the key, ``label`` (0 or 1) and the features. Folds hold a like share of each label, dealt in hash order; there
+    are min(folds, smallest class), two at least."""
     base = numbers(filled(df, features).withColumn("label", F.col("label").cast("double")), [key, "label", *features])
     counts = {r.label: r["count"] for r in base.groupBy("label").count().collect()}
     if len(counts) < 2:
         base.unpersist()
         raise ValueError("both classes are needed")
     folds = max(2, min(folds, min(counts.values())))
-    rows = base.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)))
+    rows = numbers(sampling.numbered(base, key, "_place", by=["label"], seed=seed).withColumn("_fold", F.pmod("_place", F.lit(folds))), [key, "label", *features, "_fold"])
     n, out = sum(counts.values()), CalibratedModel(features, method=method)
     for k in range(folds):
         model = logistic(features, n * (folds - 1) // folds).fit(rows.where(F.col("_fold") != k))
@@ -97,28 +127,49 @@ def fit(df: DataFrame, key: str, features: list[str], *, seed: int = 42, method:
         if method == "isotonic":
             calibrator = IsotonicRegression(featuresCol="_m", labelCol="label").fit(held)
         else:
-            calibrator = Pipeline(stages=[VectorAssembler(inputCols=["_m"], outputCol="features"), LogisticRegression(labelCol="label", maxIter=MAX_ITERATIONS, tol=TOLERANCE)]).fit(held)
+            calibrator = Pipeline(stages=[VectorAssembler(inputCols=["_m"], outputCol="features"), LogisticRegression(labelCol="label", weightCol="weight", maxIter=MAX_ITERATIONS, tol=TOLERANCE)]).fit(smoothed(held))
         out.folds.append((model, calibrator))
     if plain:
         out.plain = logistic(features, n).fit(rows)
+    rows.unpersist()
     base.unpersist()
     return out
 
 
+def train(frame: DataFrame, key: str, features: list[str], *, path: str | None = None, seed: int = 42) -> tuple[CalibratedModel, DataFrame, DataFrame]:
+    """The whole run: split by label, fit with isotonic calibration (with a sigmoid where a class is too small for it),
+    report and save. Returns the model, (key, split), and a one-row report of sizes and accuracies."""
+    parts = numbers(sampling.train_test(frame, key, "label", seed=seed), [key, "label", "split", *features])
+    own = parts.where("split = 'train'")
+    smallest = own.groupBy("label").count().agg(F.min("count").alias("n")).first().n or 0
+    fitted = fit(own, key, features, seed=seed, method="isotonic" if smallest >= 2 else "sigmoid")
+    fitted.plain = logistic(features, parts.count()).fit(filled(parts, features).withColumn("label", F.col("label").cast("double")))
+    right = ((F.col("probability") >= 0.5).cast("int") == F.col("label")).cast("double")
+    part = lambda name: F.col("split") == name
+    report = fitted.score(parts).agg(*(f.alias(f"{n}_{name}") for name in ("train", "test") for n, f in (("rows", F.count_if(part(name))), ("accuracy", F.avg(F.when(part(name), right))))))
+    split = parts.select(key, "split")
+    if path:
+        fitted.save(path)
+        split.write.mode("overwrite").parquet(f"{path}/split")
+        report.write.mode("overwrite").parquet(f"{path}/report")
+    return fitted, split, report
+
+
 def ablation(df: DataFrame, key: str, features: list[str], families: dict[str, list[str]] = FAMILIES) -> list[tuple[str, float | None]]:
-    """Held-out AUC with all features and without each family; None where a fit fails. Few small fits, in turn."""
+    """Held-out AUC with all features and without each family; None where a class is too small for a fit. Few small fits,
+    in turn."""
     from inkwell.operators.metrics import auc
-    from inkwell.operators.sampling import train_test
 
-    parts = numbers(train_test(df, key, "label"), [key, "label", "split", *features])
+    parts = numbers(sampling.train_test(df, key, "label"), [key, "label", "split", *features])
     out: list[tuple[str, float | None]] = []
-    for name, dropped in [("full", []), *families.items()]:
+    for name, dropped in [("full_model", []), *((f"without_{k}", v) for k, v in families.items())]:
         left = [c for c in features if not any(c == d or c == f"{d}_z" for d in dropped)]
         try:
             model = fit(parts.where("split = 'train'"), key, left, method="sigmoid", folds=2, plain=False)
-            out.append((name, auc(model.score(parts.where("split = 'test'")), "probability", "label").first().auc))
-        except Exception:  # noqa: BLE001
+        except ValueError:
             out.append((name, None))
+            continue
+        out.append((name, auc(model.score(parts.where("split = 'test'")), "probability", "label").first().auc))
     parts.unpersist()
     return out
 

@@ -117,7 +117,10 @@ def key_columns(spark, d):
     return rows.select("doc_id", F.concat_ws("::", "source", key).alias("row_key"), F.concat_ws("::", F.col("source"), F.lit("adv"), key).alias("adv_key"), F.lpad(key, 9, "0").alias("padded"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS p FROM documents),
+q AS (SELECT doc_id, len(p) AS n, greatest(1, round_even(len(p) * (0.4::DOUBLE + 0.6::DOUBLE * (('0x' || substr(sha256('42:' || doc_id), 1, 4))::INTEGER / 65535.0::DOUBLE)), 0)) AS quota FROM t WHERE len(p) > 0),
+e AS (SELECT doc_id, quota, unnest(range(0, n)) AS i FROM q)
+SELECT doc_id, i::INTEGER AS paragraph_index, row_number() OVER (PARTITION BY doc_id ORDER BY sha256('42:' || doc_id || ':' || i), i) <= quota AS revise FROM e""")
 def revision_plan(spark, d):
     rows = ro.texts(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return generate.revision_plan(rows, "doc_id").drop("original_text")

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from inkwell.functions import stats as st
-from inkwell.operators import baseline, manifest, metrics, model
-from inkwell.operators.stylometry import NATIVE, native_features
-from inkwell.plans import nativesql
+from inkwell.functions import text as tx
+from inkwell.operators import baseline, drivers, generate, likelihood, manifest, metrics, model, sampling, stylometry
+from inkwell.plans import nativesql, textual
 from inkwell.plans import roles as ro
 from inkwell.plans.relational import values
-from inkwell.runtime import shared_folder
+from inkwell.runtime import cut, shared_folder
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -144,33 +144,134 @@ def pool_labels(spark, d):
     return spark.createDataFrame(POOLS, "pool string").select("pool", manifest.pool_label(F.col("pool")).cast("double").alias("label"))
 
 
-def training_frame(spark, d):
-    """Labelled documents with z-scored native features; the baseline are documents without a label."""
-    rows = native_features(ro.texts(spark, d), "doc_id").withColumnRenamed("n_words", "word_count").persist()
+def training_rows(spark, d):
+    """(all 26 features of documents, statistics of those without a label, features' labels)."""
+    docs = ro.texts(spark, d)
+    style = stylometry.document_features(docs, "doc_id", stylometry.lexicon(docs, "text", 3))
+    sentences = likelihood.sentence_features(textual.tokens(spark, d), ["doc_id", "sent"])
+    rows = cut(drivers.feature_join(style, sentences).select("doc_id", "word_count", *FEATURES))  # read by statistics and scores
     labels = ro.corpus(spark, d).select("doc_id", "label")
-    stats = baseline.baseline_stats(rows.join(labels, "doc_id", "left_anti"), NATIVE)
-    return baseline.zscore(rows.join(labels, "doc_id"), NATIVE, stats).select("doc_id", "label", "word_count", *(f"{c}_z" for c in NATIVE))
+    return rows, baseline.baseline_stats(rows.join(labels, "doc_id", "left_anti"), FEATURES), labels
 
 
-@query()
+def training_frame(spark, d):
+    """Labelled documents with all 26 features z-scored; the baseline are documents without a label."""
+    rows, stats, labels = training_rows(spark, d)
+    return baseline.zscore(rows.join(labels, "doc_id"), FEATURES, stats).select("doc_id", "label", "word_count", *Z)
+
+
+FEATURES, Z = stylometry.FEATURES, [f"{c}_z" for c in stylometry.FEATURES]
+FRAME = f"""like_d AS (SELECT doc_id, {', '.join(f'avg({c}) AS {c}' for c in textual.LIKE)} FROM sent_f GROUP BY 1), frame AS (SELECT full_f.*, like_d.* EXCLUDE (doc_id) FROM full_f JOIN like_d USING (doc_id))"""
+
+
+@query(f"""WITH {nativesql.native('')}, {nativesql.TAGGED}, {nativesql.SPELLED}, {nativesql.FULL}, {textual.TOKENS}, {textual.SENT}, {FRAME}, {nativesql.zscores('frame', FEATURES, 'doc_id NOT IN (SELECT doc_id FROM labels)', '(SELECT (1 - quality)::BIGINT FROM labels WHERE labels.doc_id = n.doc_id) AS label,', False).replace(', 6) AS', ', 5) AS')} WHERE n.doc_id IN (SELECT doc_id FROM labels)""")
 def training_frame_z(spark, d):
-    return training_frame(spark, d).withColumns({f"{c}_z": ro.r6(F.col(f"{c}_z")) for c in NATIVE})
+    return training_frame(spark, d).withColumns({c: F.round(c, 5) for c in Z})
 
 
 @query()
 def calibrated_model_scores(spark, d):
     frame = training_frame(spark, d)
-    fitted = model.fit(frame, "doc_id", [f"{c}_z" for c in NATIVE])
-    return fitted.score(frame).select("doc_id", "label", "probability")
+    fitted, split, _ = model.train(frame, "doc_id", Z)
+    return fitted.score(frame).select("doc_id", "label", "probability").join(split, "doc_id")
 
 
 @query()
 def ablation_auc(spark, d):
-    rows = model.ablation(training_frame(spark, d), "doc_id", [f"{c}_z" for c in NATIVE])
-    return spark.createDataFrame(rows, "family string, auc double")
+    return spark.createDataFrame(model.ablation(training_frame(spark, d), "doc_id", Z), "family string, auc double")
+
+
+def folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
+def models(spark, d):
+    """Bigram models of all documents and of those of good quality, trained once."""
+    grams = likelihood.bigrams(ro.texts(spark, d), "doc_id", "text")
+    good = ro.labels(spark, d).where("quality = 1").select("doc_id").distinct()
+    return cut(likelihood.train_bigram(grams)), cut(likelihood.train_bigram(grams.join(good, "doc_id", "left_semi")))
+
+
+def people(spark, d):
+    rows = ro.corpus(spark, d)
+    return rows.where("label = 0").select(F.col("doc_id").cast("string").alias("text_hash"), "text", tx.word_count(F.col("text")).alias("word_count"), F.col("ell").alias("ell_status"), F.col("topic").alias("prompt_name"))
+
+
+def machines(spark, d):
+    return ro.corpus(spark, d).where("label = 1").select("doc_id", "text", "label", "source", F.col("topic").alias("prompt_name"))
+
+
+def scoring_targets(spark, d):
+    """The six pools, played by the driver's tables; essays of the generation runs are made by a stand-in."""
+    essays = people(spark, d).limit(0).select(F.col("text_hash").alias("essay_id"), F.lit("[]").alias("paragraphs_json"))
+    written = ro.docs(spark, d).where("source = 'src3'").select(F.concat(F.lit("modern_"), F.col("doc_id").cast("string")).alias("essay_id"), "text", tx.word_count(F.col("text")).alias("word_count"))
+    return drivers.target_documents(people(spark, d), machines(spark, d), essays, written, held_out="src1", excluded=["src3"], sizes={"baseline": 15, "human_training": 25, "machine_training": 25, "machine_heldout": 20, "polished": 60, "modern_gen": 45})
+
+
+@query()
+def target_union(spark, d):
+    return scoring_targets(spark, d).select("doc_id", "pool", "word_count")
 
 
 @query()
+def likelihood_run(spark, d):
+    """Scores of all pools, in two runs; the second takes up what the first has left."""
+    targets, path, scorer = cut(scoring_targets(spark, d)), folder(spark, "likelihood"), drivers.bigram_scorer(*models(spark, d))
+    drivers.run_likelihood(targets.where("pool <> 'modern_gen'"), path, scorer)
+    return drivers.run_likelihood(targets, path, scorer)
+
+
+class Writer:
+    """A stand-in for a generation server: the prompt's own words."""
+
+    def generate(self, model: str, prompt: str) -> str:
+        return f"Sure, here it is.\n\nAs {model} would say: {prompt}"
+
+
+@query()
+def modern_run(spark, d):
+    topics = F.element_at(F.array(*map(F.lit, generate.TOPICS)), (F.pmod(F.col("doc_id"), F.lit(len(generate.TOPICS))) + 1).cast("int"))
+    joined = ro.docs(spark, d).select("doc_id", "text", topics.alias("prompt_name")).withColumn("assignment", F.concat(F.lit("Write about "), F.lower("prompt_name"), F.lit(".")))
+    return drivers.run_modern(joined, folder(spark, "modern"), Writer)
+
+
+def attacked(spark, d):
+    rows = machines(spark, d)
+    used = sampling.uniform(rows, "doc_id", 5)
+    pool = drivers.adversarial_pool(rows, used, "doc_id", 100, excluded=["src3"])
+    return drivers.run_adversarial(pool, folder(spark, "adversarial"))
+
+
+@query()
+def adversarial_run(spark, d):
+    return attacked(spark, d)
+
+
+@query()
+def adversarial_robustness(spark, d):
+    """Attacks, features of both texts, scores of a model trained without them, and the loss by attack."""
+    rows, stats, labels = training_rows(spark, d)
+    essays = attacked(spark, d)
+    docs = ro.texts(spark, d)
+    features = drivers.run_adversarial_features(essays, folder(spark, "features"), drivers.bigram_scorer(*models(spark, d)), stylometry.lexicon(docs, "text", 3))
+    frame = baseline.zscore(rows.join(labels, "doc_id"), FEATURES, stats).withColumn("key", F.col("doc_id").cast("string"))
+    inside = essays.select(F.element_at(F.split("essay_id", "::"), -1).alias("key"))
+    fitted = model.fit(frame.join(inside, "key", "left_anti"), "doc_id", Z, plain=False)
+    return drivers.robustness(features, fitted, stats)
+
+
+@query()
+def analyze_essays(spark, d):
+    """The analysis of all documents of one language."""
+    rows, stats, labels = training_rows(spark, d)
+    docs = ro.texts(spark, d)
+    fitted = model.fit(baseline.zscore(rows.join(labels, "doc_id"), FEATURES, stats), "doc_id", Z)
+    essays = docs.where("lang = 'es'").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    out = drivers.analyze(essays, fitted, stats, stylometry.lexicon(docs, "text", 3), drivers.bigram_scorer(*models(spark, d), every=True), top=10)
+    return out.withColumn("n_sentences", F.size("sentences")).withColumn("top_name", F.get("evidence", F.lit(0))["name"])
+
+
+@query("SELECT event_id, any_value(user_id) AS user_id, any_value(value) AS value FROM events GROUP BY event_id")
 def incremental_events(spark, d):
     """Take up the events table as a file stream, twice; the second run finds nothing new."""
     from inkwell.streaming.incremental import process_new

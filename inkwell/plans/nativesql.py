@@ -58,8 +58,8 @@ TAGGED = rf"""tags AS (SELECT doc_id, sent, toks, list_transform(toks, lambda t,
 coded AS (SELECT *, array_to_string(codes, '') AS c FROM tags),
 counted AS (SELECT *, greatest(1, len(regexp_extract_all(c, '[GVX]')))::DOUBLE AS clauses, len(regexp_extract_all(c, 'S')) + len(regexp_extract_all(regexp_replace(c, '[^SGVX]', '', 'g'), 'S[GVX]')) AS subordinate FROM coded),
 worded AS (SELECT doc_id, string_agg(replace(regexp_replace(c, '[U.,]', '', 'g'), 'G', 'V'), '' ORDER BY sent) AS w, avg(clauses) AS clauses, avg(subordinate / clauses) AS subordination, count_if(regexp_matches(c, '^G.{{0,6}},'))::DOUBLE AS n_participial, sum(len(regexp_extract_all(c, 'P'))) AS proper, sum(len(regexp_extract_all(c, 'P+'))) AS entities FROM counted GROUP BY 1),
-grams AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda k: substr(w, k, 3))) AS g FROM worded) GROUP BY 1, 2),
-entropies AS (SELECT doc_id, log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n) AS h FROM grams GROUP BY 1),
+pos_grams AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda k: substr(w, k, 3))) AS g FROM worded) GROUP BY 1, 2),
+entropies AS (SELECT doc_id, log2(sum(n)::DOUBLE) - sum(n * log2(n::DOUBLE)) / sum(n) AS h FROM pos_grams GROUP BY 1),
 noted AS (SELECT doc_id, coalesce(len(regexp_extract_all(w, '[DARCSXT]'))::DOUBLE / nullif(length(w), 0), 0) AS function_word_rate, coalesce(h, 0) AS pos_trigram_entropy, coalesce(clauses, 0) AS clause_count_mean, coalesce(subordination, 0) AS subordination_ratio_mean, coalesce(n_participial, 0) AS n_participial,
 coalesce(proper * 100.0::DOUBLE / nullif(length(w), 0), 0) AS proper_noun_rate, coalesce(entities * 100.0::DOUBLE / nullif(length(w), 0), 0) AS named_entity_rate FROM (SELECT doc_id FROM documents) LEFT JOIN worded USING (doc_id) LEFT JOIN entropies USING (doc_id))"""
 SPELLED = rf"""checked AS (SELECT doc_id, unnest(list_transform(list_filter(list_zip(toks, codes), lambda x: length(x[1]) > 1 AND x[2] NOT IN ('P', 'U', '.', ',')), lambda x: lower(x[1]))) AS x FROM tags),

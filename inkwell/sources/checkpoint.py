@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+logger = logging.getLogger(__name__)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -52,6 +56,7 @@ def read_threshold(spark: SparkSession, path: str, default: float = 0.5) -> floa
     return row.t if row else default
 
 
+# Pools, their sizes and the defaults of the configuration.
 @dataclass
 class Pool:
     name: str
@@ -63,6 +68,7 @@ class Pool:
 class Sampling:
     seed: int = 42
     pools: list[Pool] = field(default_factory=lambda: [Pool("human_baseline", 4000), Pool("human_training", 600), Pool("machine_training", 700), Pool("machine_heldout_family", 150), Pool("machine_modern", 150), Pool("polished_mixed", 350), Pool("adversarial", 100)])
+    ell_target_ratio: float = 0.5
 
 
 @dataclass
@@ -76,15 +82,35 @@ class Paths:
 @dataclass
 class Generation:
     host: str = "http://localhost:11434"
+    models: list[str] = field(default_factory=lambda: ["llama3.2:3b", "gemma2:2b", "phi3.5:3.8b"])
+    num_parallel: int = 1
+    max_loaded_models: int = 1
     num_ctx: int = 2048
     keep_alive: str = "30m"
 
 
+@dataclass
+class Scorer:
+    base_model: str = "Qwen/Qwen2.5-0.5B"
+    instruct_model: str = "Qwen/Qwen2.5-0.5B-Instruct"
+
+
+@dataclass
+class Decision:
+    operating_point: str = "tpr_at_1pct_fpr"
+    min_words_for_verdict: int = 150
+
+
 @dataclass
 class Config:
     paths: Paths = field(default_factory=Paths)
     sampling: Sampling = field(default_factory=Sampling)
     ollama: Generation = field(default_factory=Generation)
+    scorer: Scorer = field(default_factory=Scorer)
+    decision: Decision = field(default_factory=Decision)
+
+
+CHOICES = {"operating_point": ("tpr_at_1pct_fpr",)}
 
 
 def _made(kind: type, values: dict) -> object:
@@ -92,14 +118,19 @@ def _made(kind: type, values: dict) -> object:
     out = kind()
     for name, value in (values or {}).items():
         if name not in known:
+            logger.warning("the configuration has no %s in %s; it is left out", name, kind.__name__)
             continue
         now = getattr(out, name)
         if is_dataclass(now):
             value = _made(type(now), value)
         elif name == "pools":
             value = [Pool(**p) for p in value]
+        elif isinstance(now, float) and isinstance(value, int) and not isinstance(value, bool):
+            value = float(value)
         elif not isinstance(value, type(now)) or isinstance(value, bool) != isinstance(now, bool):
             raise ValueError(f"{name}: {value!r} isn't a {type(now).__name__}")
+        elif name in CHOICES and value not in CHOICES[name]:
+            raise ValueError(f"{name}: {value!r} isn't one of {CHOICES[name]}")
         setattr(out, name, value)
     return out
 

@@ -1,13 +1,16 @@
 """Behaviour of the library's own operators on small inline frames."""
 
 import math
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell.functions import stats
 from inkwell.functions import stats as st
 from inkwell.functions import text as tx
-from inkwell.operators import annotate, attacks, baseline, generate, joins, likelihood, manifest, metrics, model, sampling, segment, stylometry
+from inkwell.operators import annotate, attacks, baseline, drivers, generate, joins, likelihood, manifest, metrics, model, sampling, segment, stylometry
+from inkwell.runtime import shared_folder
 from inkwell.sources import checkpoint, corpora
 from inkwell.streaming import incremental
 
@@ -94,6 +97,250 @@ def test_annotator(spark):
     assert not any(v for k, v in b.items() if k != "doc_id") and not any(v for k, v in c.items() if k != "doc_id")
 
 
+TEXTS = ["Walking home, the Doctor said that Bob Smith left because it rained. Although it was late, we stayed; 3 or 4,5 of us.", "while if. ran, walked, Jumped Over! organize quickly famous", "", None, "ALL CAPS Words Here", "1 2, three. because because is are", "naïve Über-straße né Élan; 𝒳 — ok"]
+
+
+class PlainRules:
+    """The rules, token by token."""
+
+    def tag(self, sentence):
+        out, rooted, marked = [], False, False
+        names = {"D": "DET", "A": "ADP", "R": "PRON", "C": "CCONJ", "S": "SCONJ", "X": "AUX", "T": "PART", "B": "ADV", "G": "VERB", "V": "VERB", "J": "ADJ"}
+        letter = lambda c: unicodedata.category(c)[0] == "L"
+        digit = lambda c: unicodedata.category(c) == "Nd"
+        k, tokens = 0, []
+        while k < len(sentence):
+            e = k + 1
+            if letter(sentence[k]):
+                while e < len(sentence) and letter(sentence[e]):
+                    e += 1
+            elif digit(sentence[k]):
+                while e < len(sentence) and (digit(sentence[e]) or sentence[e] in ".,/" and e + 1 < len(sentence) and digit(sentence[e + 1])):
+                    e += 1
+            if sentence[k] not in " \t\n\x0b\f\r":
+                tokens.append(sentence[k:e])
+            k = e
+        for k, word in enumerate(tokens):
+            low, tag = word.lower(), ""
+            pos = next((names[c] for c, ws in annotate.CLOSED.items() if low in ws.split()), None)
+            if digit(word[0]):
+                pos = "NUM"
+            elif not letter(word[0]):
+                pos = "PUNCT"
+            elif pos is None and k and unicodedata.category(word[0]) == "Lu":
+                pos = "PROPN"
+            elif pos is None:
+                c = next((c for end, c in annotate.ENDINGS if low.endswith(end) and len(word) > len(end) + 2), "N")
+                pos, tag = names.get(c, "NOUN"), "VBG" if c == "G" else ""
+            dep = "dep"
+            if pos == "SCONJ":
+                dep, marked = "mark", True
+            elif pos in ("VERB", "AUX"):
+                dep, marked, rooted = ("advcl" if marked else "conj" if rooted else "ROOT"), False, True
+            out.append(annotate.Token(word, pos, tag, dep))
+        return out
+
+
+def test_rules_match_a_plain_tagger(spark):
+    """The expressions and the annotator seam give the same, the rules being the tagger."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+    native = annotate.annotate(df, "doc_id").orderBy("doc_id").collect()
+    seam = annotate.annotate(df, "doc_id", tagger=PlainRules()).orderBy("doc_id").collect()
+    assert [list(r.asDict()) for r in native] == [list(r.asDict()) for r in seam]
+    for a, b in zip(native, seam):
+        assert tuple(a) == pytest.approx(tuple(b))
+
+
+def test_spelling_leaves_proper_nouns_out(spark):
+    df = spark.createDataFrame([("a", "The cat met Zorblax and zorblax. Qwxyz 12 a"), ("b", "")], "doc_id string, text string")
+    known = spark.createDataFrame([("the",), ("cat",), ("met",), ("and",)], "word string")
+    a, b = stylometry.spelling_rate(df, "doc_id", known).orderBy("doc_id").collect()
+    assert (a.n_checkable, a.n_unknown) == (6, 2) and a.spelling_error_rate == pytest.approx(2 / 6)
+    assert (b.n_checkable, b.n_unknown, b.spelling_error_rate) == (0, 0, 0)
+
+
+def test_numbering_is_gapless(spark):
+    df = spark.range(3000).withColumn("g", F.col("id") % 3)
+    rows = sampling.numbered(df, "id", "n", by=["g"]).collect()
+    for g in range(3):
+        assert sorted(r.n for r in rows if r.g == g) == list(range(1000))
+    order = [r.id for r in sorted(sampling.numbered(df, "id", "n").collect(), key=lambda r: r.n)]
+    assert order == [r.id for r in df.orderBy(stats.hash_order(42, F.col("id")), "id").collect()]
+
+
+def test_folds_hold_both_labels(spark):
+    """Three rows of one label are enough, wherever their hashes fall."""
+    for seed in range(3):
+        df = spark.createDataFrame([(i, int(i < 3), float(i < 3) + i / 1000) for i in range(60)], "id long, label int, a_z double")
+        fitted = model.fit(df, "id", ["a_z"], seed=seed)
+        assert len(fitted.folds) == 3 and metrics.auc(fitted.score(df), "probability", "label").first().auc > 0.9
+
+
+def test_smoothed_targets(spark):
+    held = spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (0.0, 0.0)], "_m double, label double")
+    got = {(r._m, r.label): r.weight for r in model.smoothed(held).collect()}
+    assert got == pytest.approx({(1.0, 1.0): 3 / 4, (1.0, 0.0): 1 / 4, (2.0, 1.0): 3 / 4, (2.0, 0.0): 1 / 4, (0.0, 1.0): 1 / 3, (0.0, 0.0): 2 / 3})
+
+
+def test_training_run_saves_and_loads(spark, tmp_path):
+    import random
+
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, i % 2, r.gauss(i % 2 * 2, 1)) for i in range(200)], "id long, label int, a_z double")
+    fitted, split, report = model.train(df, "id", ["a_z"], path=f"{tmp_path}/m")
+    row = report.first()
+    assert (row.rows_train, row.rows_test) == (160, 40) and row.accuracy_test > 0.7
+    again = model.CalibratedModel.load(spark, f"{tmp_path}/m")
+    assert again.features == fitted.features and again.coefficients() == pytest.approx(fitted.coefficients())
+    pairs = zip(fitted.score(df).orderBy("id").collect(), again.score(df).orderBy("id").collect())
+    assert all(a.probability == pytest.approx(b.probability) for a, b in pairs)
+    assert spark.read.parquet(f"{tmp_path}/m/split").where("split = 'test'").count() == 40
+    with pytest.raises(FileNotFoundError, match="train and save"):
+        model.CalibratedModel.load(spark, f"{tmp_path}/none")
+    names = [n for n, _ in model.ablation(df.withColumn("cross_ppl_ratio_z", F.lit(0.0)), "id", ["a_z", "cross_ppl_ratio_z"])]
+    assert names == ["full_model", "without_likelihood_all", "without_cross_ppl_ratio", "without_punctuation_construction", "without_error_rates", "without_concreteness"]
+    assert {v for _, v in model.ablation(df.where("label = 1"), "id", ["a_z"])} == {None}
+
+
+PROSE = "The river ran past the old mill and the road. We walked along it because the day was warm. Nobody spoke for a long while, and then everyone did. "
+
+
+@pytest.fixture
+def essays(spark):
+    rows = [(f"e{k:02}", PROSE * (1 + k % 8) + f"Word{k} ends it.", "src0" if k % 3 else "src1", f"t{k % 2}", k % 2) for k in range(24)]
+    return spark.createDataFrame(rows, "doc_id string, text string, source string, prompt_name string, label int")
+
+
+def test_target_union(spark, essays):
+    humans = essays.where("label = 0").select(F.col("doc_id").alias("text_hash"), "text", F.lit(9).alias("word_count"), F.when(F.col("source") == "src0", "Yes").otherwise("No").alias("ell_status"), "prompt_name")
+    machines = essays.where("label = 1")
+    polished = spark.createDataFrame([("p1", '[{"revised_text":"one two"},{"revised_text":"three"}]')], "essay_id string, paragraphs_json string")
+    modern = spark.createDataFrame([("m1", "some text", 2)], "essay_id string, text string, word_count int")
+    sizes = {"baseline": 3, "human_training": 4, "machine_training": 5, "machine_heldout": 2, "polished": 2, "modern_gen": 9}
+    humans = humans.withColumn("prompt_name", F.lit("t1"))  # machines are stratified by the humans' topics
+    rows = drivers.target_documents(humans, machines, polished, modern, held_out="src1", excluded=[], sizes=sizes).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.pool, []).append(r)
+    assert {k: len(v) for k, v in per.items()} == {"baseline": 3, "human_training": 4, "machine_training": 5, "machine_heldout": 2, "polished": 1, "modern_gen": 1}
+    assert len({r.doc_id for r in rows}) == len(rows)
+    assert (per["polished"][0].text, per["polished"][0].word_count) == ("one two\n\nthree", 3)
+
+
+def test_likelihood_run_resumes_after_failures(spark, essays, tmp_path):
+    targets = essays.select("doc_id", "text", F.lit("baseline").alias("pool"))
+    path = f"{tmp_path}/likelihood"
+
+    def scorer(broken):
+        def make():
+            def score(context, start):
+                if broken and "Word7 " in context[start:]:
+                    raise RuntimeError("down")
+                return [(-1.0, 2, 0.5, -2.0)] * 3
+
+            return score
+
+        return drivers.token_scorer(make, every=True)
+
+    first = drivers.run_likelihood(targets, path, scorer(True))
+    assert {r.doc_id for r in first.select("doc_id").collect()} == {f"e{k:02}" for k in range(24)} - {"e07"}
+    rows = drivers.run_likelihood(targets, path, scorer(False))
+    assert rows.select("doc_id").distinct().count() == 24 and rows.groupBy("doc_id", "paragraph_index", "sentence_index").count().where("count > 1").isEmpty()
+    assert rows.where("pool = 'baseline' and cross_ppl_ratio is not null").count() == rows.count()
+
+
+def test_modern_run_resumes_after_failures(spark, tmp_path):
+    joined = spark.createDataFrame([(k, f"words of essay {k} " * 90, t, f"Write: {t}") for k, t in enumerate(generate.TOPICS)], "doc_id long, text string, prompt_name string, assignment string")
+    path = f"{tmp_path}/modern"
+
+    class Half:
+        def generate(self, model, prompt):
+            if model == generate.MODELS[1]:
+                raise RuntimeError("down")
+            return "Certainly.\n\n" + prompt
+
+    class Whole:
+        def generate(self, model, prompt):
+            return prompt
+
+    assert drivers.run_modern(joined, path, Half, per_model=8).count() == 16
+    rows = drivers.run_modern(joined, path, Whole, per_model=8).collect()
+    assert len(rows) == len({r.essay_id for r in rows}) == 24 and not any(r.text.startswith("Certainly") for r in rows)
+    styled = [r for r in rows if r.condition == "style_exemplar"]
+    assert styled and all(f"words of essay {generate.TOPICS.index(r.topic)} " in r.text for r in styled) and all(r.word_count > 150 for r in styled)
+
+
+def test_adversarial_runs(spark, essays, tmp_path):
+    used = essays.where("doc_id in ('e01', 'e03')")
+    pool = drivers.adversarial_pool(essays, used, "doc_id", 8, excluded=["src9"])
+    rows = pool.collect()
+    assert len(rows) == 8 and not {"e01", "e03"} & {r.doc_id for r in rows} and {r.label for r in rows} == {1}
+    assert sorted(sum(r.attack_type == a for r in rows) for a in drivers.ATTACKS) == [4, 4]
+    attacked = drivers.run_adversarial(pool, f"{tmp_path}/a")
+    again = drivers.run_adversarial(pool, f"{tmp_path}/a")
+    assert attacked.count() == again.count() == 8 and all(r.essay_id.split("::")[1] == "adv" for r in again.collect())
+    grams = likelihood.bigrams(essays, "doc_id", "text")
+    m = likelihood.train_bigram(grams)
+    scorer = drivers.bigram_scorer(m, m, every=True)
+    known = stylometry.lexicon(essays, "text", 2)
+    features = drivers.run_adversarial_features(again, f"{tmp_path}/f", scorer, known)
+    assert features.count() == 16 and drivers.run_adversarial_features(again, f"{tmp_path}/f", scorer, known).count() == 16
+    style = stylometry.document_features(essays, "doc_id", known)
+    joined = drivers.feature_join(style, likelihood.sentence_features(likelihood.score_corpus(grams, F.lit(True), "doc_id"), ["doc_id", "sent"]))
+    assert joined.count() == 24
+    stat = baseline.baseline_stats(joined, stylometry.FEATURES)
+    frame = baseline.zscore(joined.join(essays.select("doc_id", "label"), "doc_id"), stylometry.FEATURES, stat, fallback="unit")
+    fitted = model.fit(frame, "doc_id", [f"{c}_z" for c in stylometry.FEATURES])
+    table = {r.attack: r for r in drivers.robustness(features, fitted, stat).collect()}
+    assert set(table) == {"overall", *drivers.ATTACKS} and table["overall"].n == 8
+    out = {r.doc_id: r for r in drivers.analyze(essays, fitted, stat, known, scorer).collect()}
+    short, long = out["e00"], out["e07"]
+    assert short.abstained and "150" in short.abstain_reason and short.probability is None and short.evidence is None
+    assert not long.abstained and 0 <= long.band_low <= long.probability <= long.band_high <= 1 and len(long.evidence) == 26
+    sizes = [abs(e.contribution) for e in long.evidence]
+    assert sizes == sorted(sizes, reverse=True) and {s.heat for s in long.sentences} >= {0.0, 1.0}
+
+
+def test_configuration_has_all_parts(tmp_path, caplog):
+    (tmp_path / "c.yaml").write_text("scorer:\n  base_model: other\nsampling:\n  ell_target_ratio: 1\nunheard_of: 1\n")
+    c = checkpoint.load_config(f"{tmp_path}/c.yaml")
+    assert (c.scorer.base_model, c.scorer.instruct_model) == ("other", "Qwen/Qwen2.5-0.5B-Instruct") and c.sampling.ell_target_ratio == 1.0
+    assert c.decision.min_words_for_verdict == 150 and len(c.ollama.models) == 3 and "unheard_of" in caplog.text
+    (tmp_path / "d.yaml").write_text("decision:\n  operating_point: whatever\n")
+    with pytest.raises(ValueError):
+        checkpoint.load_config(f"{tmp_path}/d.yaml")
+
+
+def test_shared_folder(spark):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "a"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster)
+    assert shared_folder(spark)
+
+
+def test_hung_server_fails(monkeypatch):
+    from urllib import request
+
+    calls = []
+
+    def urlopen(req, timeout):
+        calls.append(timeout)
+        raise TimeoutError
+
+    monkeypatch.setattr(request, "urlopen", urlopen)
+    monkeypatch.setattr("time.sleep", lambda s: None)
+    with pytest.raises(TimeoutError):
+        generate.HttpClient(timeout=5).generate("m", "p")
+    assert calls == [5] * 3
+
+
 def test_document_features_have_all_columns(spark):
     df = spark.createDataFrame([("a", "One two three. Four five."), ("b", "")], "doc_id string, text string")
     out = stylometry.document_features(df, "doc_id", stylometry.lexicon(df, "text", 1))
