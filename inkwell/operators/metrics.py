@@ -61,15 +61,16 @@ def brier(score: Column, label: Column) -> Column:
 
 def condition_metrics(df: DataFrame, score: str, label: str, condition: str, negatives: str, threshold: float) -> DataFrame:
     """AUC and tpr at a fixed threshold of each condition's positives, against the negatives of one condition for all."""
-    # negatives are grouped by score, and conditions by name, before each meets the other
-    names = df.where(F.col(condition) != negatives).select(condition).distinct()
-    shared = df.where((F.col(condition) == negatives) & (F.col(label) == 0)).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"))
-    every = df.where((F.col(condition) != negatives) & (F.col(label) == 1)).groupBy(condition, F.col(score).alias("score")).agg(F.count("*").alias("p"), F.lit(0).cast("long").alias("n"))
-    every = every.unionByName(shared.join(names).select(condition, "score", F.lit(0).cast("long").alias("p"), "n"))
-    every = running(every.groupBy(condition, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), [condition], ["p"]).withColumn("above", F.col("cum_p") - F.col("p"))
-    wins = F.sum(F.col("n") * F.col("above") + F.col("n") * F.col("p") * 0.5)
-    return every.groupBy(condition).agg(
-        F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"), F.try_divide(wins, (F.sum("p") * F.sum("n")).cast("double")).alias("auc"),
+    # negatives are summed up once over all scores; each condition's positives look up what is below them
+    negative = (F.col(condition) == negatives) & (F.col(label) == 0)
+    pos = df.where((F.col(condition) != negatives) & (F.col(label) == 1)).groupBy(condition, F.col(score).alias("score")).agg(F.count("*").alias("p"))
+    neg = df.where(negative).select(F.col(score).alias("score"), F.lit(1).cast("long").alias("n")).unionAll(pos.select("score", F.lit(0).cast("long").alias("n")))
+    steps = running(neg.groupBy("score").agg(F.sum("n").alias("n")), [], ["n"])
+    total = df.agg(F.count_if(negative).alias("all_n"))
+    rows = pos.join(steps, "score").join(F.broadcast(total))  # one row
+    wins = F.sum(F.col("p") * (F.col("all_n") - F.col("cum_n")) + F.col("p") * F.col("n") * 0.5)
+    return rows.groupBy(condition).agg(
+        F.sum("p").alias("n_positive"), F.max("all_n").alias("n_negative"), F.try_divide(wins, (F.sum("p") * F.max("all_n")).cast("double")).alias("auc"),
         ratio(F.sum(F.when(F.col("score") >= threshold, F.col("p")).otherwise(0)), F.sum("p")).alias("tpr"),
     )
 
