@@ -24,7 +24,7 @@ LETTER = re.compile(r"[A-Za-z]")
 LEAST, AROUND = 12, 2048
 #: Marginal compressed bytes for each byte of a candidate from which on it counts as incompressible. Set on planted strings:
 #: in texts of the test tables it is reached by 99 % or more of random strings of 12 to 40 letters and digits and of
-#: letters in both cases, by three in four of random lower-case ones, and by 2 % of the texts' own words.
+#: letters in both cases, by nine in ten random lower-case ones, and by 2 % of the texts' own words.
 NOVELTY = 0.85
 #: What a text must hold (in lower case) for the slower patterns to have a match.
 NEEDED = (b"passw", b"secret", b"token", b"key", b"passphrase", b"credential", b"bearer", b"authori", b"client", b"signature")

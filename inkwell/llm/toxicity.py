@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,24 +37,32 @@ class Weights:
 
     def __init__(self, examples: Iterable[Counter], y: np.ndarray, weight: np.ndarray):
         number: dict[bytes, int] = {}
-        rows = []
+        rows, digests = [], []
         for c in examples:  # as numbers at once, which take a tenth of the memory
             k = np.fromiter((number.setdefault(t, len(number)) for t in c), np.int32, len(c))
-            rows.append((k, np.fromiter(c.values(), np.int32, len(c))))
+            n = np.fromiter(c.values(), np.int32, len(c))
+            order = np.argsort(k)
+            rows.append((k[order], n[order]))
+            digests.append(blake2b(k[order].tobytes() + n[order].tobytes(), digest_size=16).digest())
         self.terms = {t: k for k, t in enumerate(sorted(number))}
-        to = np.fromiter((self.terms[t] for t in number), np.int64, len(number))
-        rows = [(to[k][o], n[o]) for k, n in rows for o in [np.argsort(to[k])]]
+        to = np.fromiter((self.terms[t] for t in number), np.int32, len(number))
+        del number
         n, seen, once = {0: 0, 1: 0}, np.zeros((2, len(to))), set()
-        for (k, count), label in zip(rows, y.astype(int).tolist()):
-            if (text := (k.tobytes(), count.tobytes())) not in once:
-                once.add(text)
+        for j, label in enumerate(y.astype(int).tolist()):
+            k, count = rows[j]
+            order = np.argsort(to[k])
+            rows[j] = k, count = to[k][order], count[order]
+            if digests[j] not in once:
+                once.add(digests[j])
                 n[label] += 1
                 seen[label][k] += 1
         c, a = seen
         df = sum(seen[x] * weight[y == x].sum() / max(n[x], 1) for x in (0, 1))
         ratio = ((a - np.sqrt(a)) / max(n[1], 1)) / ((c + 1) / (n[0] + 1))
         self.weight = np.log((1 + weight.sum()) / (1 + df)) * np.log2(2 + ratio) + 1e-6
-        self.vectors = [self.unit(k, count) for k, count in rows]
+        for j, (k, count) in enumerate(rows):
+            rows[j] = self.unit(k, count)
+        self.vectors = rows
 
     def unit(self, k: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(count)) * self.weight[k]
@@ -74,8 +83,10 @@ class BlockMaxIndex:
 
     def __init__(self, terms: int, examples: list[tuple[np.ndarray, np.ndarray]]):
         self.size, self.blocks = len(examples), -(-len(examples) // BLOCK)
-        every = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
-        common = np.argsort(-np.bincount(every, minlength=terms), kind="stable")[:COLUMNS]
+        have = np.zeros(terms, np.int64)
+        for t, _ in examples:
+            have[t] += 1
+        common = np.argsort(-have, kind="stable")[:COLUMNS]
         self.column = np.full(terms, -1, np.int32)
         self.column[common] = np.arange(len(common))
         self.wide = np.zeros((len(common), self.blocks * BLOCK))
@@ -90,7 +101,7 @@ class BlockMaxIndex:
             order = np.argsort(term, kind="stable")
             order = order[column[order] < 0]
             np.maximum.at(self.most[:, b], term[order], np.nextafter(value[order].astype(np.float32), np.float32(2)))
-            self.example.append(example[order].astype(np.int32))
+            self.example.append(example[order].astype(np.uint8 if BLOCK <= 256 else np.int32))
             self.value.append(value[order])
             self.edge.append(np.searchsorted(term[order], np.arange(terms + 1)).astype(np.int32))
 
@@ -139,7 +150,7 @@ class BlockMaxIndex:
 class ToxicityModel:
     """Weights, index, labels and importance weights of the examples, prior for texts without known terms, calibration."""
 
-    def __init__(self, names: list[str], texts: list[bytes], y: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS):
+    def __init__(self, names: list[str], texts: Iterable[bytes], y: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS):
         self.weights = Weights(map(term_counts, texts), y, weight)
         vectors = self.weights.__dict__.pop("vectors")
         order = like_together(vectors)
@@ -174,9 +185,10 @@ class ToxicityModel:
 def like_together(vectors: list[tuple[np.ndarray, np.ndarray]], wide: int = 256) -> list[int]:
     """An order in which like examples stand together, which makes the bounds of blocks sharp: by the main direction of
     the vectors over the most frequent terms, halved again and again."""
-    every = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)])
-    common = np.argsort(-np.bincount(every, minlength=1), kind="stable")[:wide]
-    place = {int(t): k for k, t in enumerate(common)}
+    every = Counter(t for ts, _ in vectors for t in ts.tolist())
+    common = [t for t, _ in sorted(every.items(), key=lambda x: (-x[1], x[0]))[:wide]]
+    del every
+    place = {t: k for k, t in enumerate(common)}
     x = np.zeros((len(vectors), wide))
     for e, (ts, vs) in enumerate(vectors):
         for t, v in zip(ts.tolist(), vs.tolist()):
@@ -254,7 +266,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most: dict[int, int] = M
     n = Counter(r.y for r in rows)
     y = np.array([r.y for r in rows], float)
     weight = np.array([total[r.y] / n[r.y] for r in rows], float)
-    return ToxicityModel([str(r.doc_id) for r in rows], [(r.text or "").encode() for r in rows], y, weight)
+    return ToxicityModel([str(r.doc_id) for r in rows], ((rows.pop(0).text or "").encode() for _ in range(len(rows))), y, weight)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, carry: bool = False, reject_from: float = REJECT_FROM) -> DataFrame:
@@ -267,7 +279,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, carry: bool = False
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        from hashlib import blake2b
         from zlib import crc32
 
         seen: dict[bytes, tuple] = {}  # texts of the same words need one search; of bounded size
