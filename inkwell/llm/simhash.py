@@ -265,7 +265,7 @@ def verified_components(nodes: DataFrame, docs: DataFrame, bits: int, width: int
     members = cand.select(F.col("root").alias("comp"), "node").unionAll(cand.select(F.col("root").alias("comp"), F.col("root").alias("node")).distinct())
     sets = cut(cut(members).join(shingle_sets(docs, members.select("node"), width), "node"))
     sizes = sets.groupBy("comp").agg(F.count("*").alias("size"), F.sum(F.size("shingles")).alias("bytes"))
-    blocks = F.greatest(F.when(F.col("size") > SMALL, F.ceil(F.sqrt(F.col("size").cast("double")) / 4)).otherwise(1), F.ceil(F.col("bytes") / BLOCK_HASHES)).cast("int")
+    blocks = F.greatest(F.when(F.col("size") > SMALL, F.ceil(F.sqrt(F.col("size").cast("double")) / 2)).otherwise(1), F.ceil(F.col("bytes") / BLOCK_HASHES)).cast("int")
     large = cut(sizes.withColumn("blocks", blocks).where("blocks > 1").select("comp", "size", "blocks"))
     sets = sets.join(small(large), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     luck = lambda turn: F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
