@@ -234,18 +234,23 @@ def normalize_fixture(spark, d):
     return spark.createDataFrame(NORM, "id int, x string").select("id", tx.normalize(F.col("x")).alias("norm"), tx.text_hash(F.col("x")).alias("hash"))
 
 
-PREAMBLES = [(1, "Here is the revised paragraph:\n\nThe text."), (2, "Sure, I can help.\n\n Body one.\n\nBody two. "), (3, "Certainly!\n\nX"), (4, "Here in this town we live.\n\nYes."), (5, " No preamble "), (6, "I've rewritten it.\n\n  Done ")]
+#: What replies begin with, by the remainder of their id; the last isn't a preamble.
+PREAMBLES = ["Here is the revised paragraph:\n\n", "Sure, I can help.\n\n ", "Certainly! I've rewritten it below.\n\n", "", "Here in this town we live.\n\n"]
+_PICK = " ".join(f"WHEN {k} THEN '" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for k, p in enumerate(PREAMBLES))
+_STRIPPED = r"CASE WHEN regexp_matches(x, re) THEN regexp_replace(regexp_replace(x, re, ''), '^\s+|\s+$', '', 'g') ELSE x END"
+_RE = "'" + tx.PREAMBLE + "' AS re"
 
 
-@query(rf"""WITH t(id, x) AS {values(PREAMBLES)}, p AS (SELECT *, '(?is)^(?:here.{{0,15}}(?:is|s|are).{{0,30}}(?:revised|rewritten|corrected|paragraph|version)|sure[,!]|i.ve (?:revised|rewritten|corrected)|certainly|\*\*revised).*?\n\n' AS re FROM t)
-SELECT id, CASE WHEN regexp_matches(x, re) THEN regexp_replace(regexp_replace(x, re, ''), '^\s+|\s+$', '', 'g') ELSE x END AS y FROM p""")
+@query(f"""WITH t AS (SELECT doc_id, (CASE doc_id % {len(PREAMBLES)} {_PICK} END) || text AS x, {_RE} FROM documents) SELECT doc_id, sha256({_STRIPPED}) AS sha256 FROM t""")
 def strip_preamble(spark, d):
-    return spark.createDataFrame(PREAMBLES, "id int, x string").select("id", tx.strip_preamble(F.col("x")).alias("y"))
+    begin = F.element_at(F.array(*map(F.lit, PREAMBLES)), (F.pmod("doc_id", F.lit(len(PREAMBLES))) + 1).cast("int"))
+    return ro.docs(spark, d).select("doc_id", F.sha2(tx.strip_preamble(F.concat(begin, F.col("text"))), 256).alias("sha256"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN text ELSE text END AS y FROM conversations")
+@query(f"WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'Certainly.' || chr(10) || chr(10) || text ELSE text END AS x, {_RE} FROM conversations) SELECT conv_id, turn, {_STRIPPED} AS y FROM t")
 def strip_preamble_turns(spark, d):
-    return ro.table(spark, d, "conversations").select("conv_id", "turn", tx.strip_preamble(F.col("text")).alias("y"))
+    reply = F.when(F.col("role") == "assistant", F.concat(F.lit("Certainly.\n\n"), F.col("text"))).otherwise(F.col("text"))
+    return ro.table(spark, d, "conversations").select("conv_id", "turn", tx.strip_preamble(reply).alias("y"))
 
 
 @query("SELECT doc_id, CASE WHEN n < 250 THEN 'short' WHEN n < 500 THEN 'medium' ELSE 'long' END AS band, n AS word_count FROM (SELECT doc_id, " + WC + " AS n FROM documents)")
