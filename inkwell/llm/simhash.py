@@ -329,7 +329,7 @@ def group_near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = 2, dis
     component, but its row gets the component of its fingerprint's other rows, null if there is none.
     """
     sig = cut(signatures(docs, width=width, distinct=distinct, words=verify is not None))
-    nodes = sig.groupBy("fp", "same").agg(F.min("doc_id").cast("long").alias("node"))
+    nodes = cut(sig.groupBy("fp", "same").agg(F.min("doc_id").cast("long").alias("node")))  # so that the last join can be split
     known = nodes.where(F.col("node").isNotNull()).select("fp", "node")
     roots = verified_components(known, docs, bits, *verify) if verify else components(links(known, bits))
     of_node = nodes.join(roots, "node", "left").select("fp", "same", F.coalesce("root", "node").alias("component_id"))
