@@ -228,7 +228,15 @@ class Writer:
         return f"Sure, here it is.\n\nAs {model} would say: {prompt}"
 
 
-@query()
+_N, _L = "chr(10) || chr(10)", generate.LENGTH_LINE
+_TOPIC = f"{textual.listed(generate.TOPICS)}[doc_id % {len(generate.TOPICS)} + 1]"
+
+
+@query(rf"""WITH {textual.TARGETS}, shown AS (SELECT {_TOPIC} AS topic, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> '')[1:150], ' ') AS e, sha256('42:' || doc_id) AS h FROM documents),
+own AS (SELECT topic, arg_min(e, h) AS e FROM shown GROUP BY 1), p AS (SELECT targets.*, 'Write about ' || lower(topic) || '.' AS a, e FROM targets JOIN own USING (topic)),
+written AS (SELECT essay_id, model, condition, topic, 'As ' || model || ' would say: ' || CASE condition WHEN 'bare' THEN a || {_N} || '{_L}' WHEN 'persona' THEN '{generate.PERSONA_LINE}' || {_N} || a || {_N} || '{_L}'
+WHEN 'style_exemplar' THEN '{generate.EXEMPLAR_LINE}' || {_N} || e || {_N} || '{generate.STYLE_LINE}' || {_N} || a || {_N} || '{_L}' ELSE a || {_N} || '{generate.EVASION_LINE}' || {_N} || '{_L}' END AS text FROM p)
+SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> ''))::BIGINT AS word_count FROM written""")
 def modern_run(spark, d):
     topics = F.element_at(F.array(*map(F.lit, generate.TOPICS)), (F.pmod(F.col("doc_id"), F.lit(len(generate.TOPICS))) + 1).cast("int"))
     joined = ro.docs(spark, d).select("doc_id", "text", topics.alias("prompt_name")).withColumn("assignment", F.concat(F.lit("Write about "), F.lower("prompt_name"), F.lit(".")))
