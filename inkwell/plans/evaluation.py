@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import stats as st
 from inkwell.functions import text as tx
 from inkwell.operators import baseline, drivers, generate, likelihood, manifest, metrics, model, sampling, stylometry
-from inkwell.plans import nativesql, textual
+from inkwell.plans import nativesql, relational, textual
 from inkwell.plans import roles as ro
 from inkwell.plans.relational import values
 from inkwell.runtime import cut, shared_folder
@@ -208,7 +208,12 @@ def scoring_targets(spark, d):
     return drivers.target_documents(people(spark, d), machines(spark, d), essays, written, held_out="src1", excluded=["src3"], sizes={"baseline": 15, "human_training": 25, "machine_training": 25, "machine_heldout": 20, "polished": 60, "modern_gen": 45})
 
 
-@query()
+@query(f"""WITH {ro.CORPUS}, h AS (SELECT * FROM corpus WHERE label = 0), base AS (SELECT doc_id FROM h ORDER BY {relational.ORDER.format('doc_id')} LIMIT 15), rest AS (SELECT * FROM h WHERE doc_id NOT IN (SELECT doc_id FROM base)),
+{relational.BALANCED.format(n=25, t='rest')}, share AS (SELECT topic, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM h GROUP BY 1),
+m AS (SELECT doc_id, topic, source FROM corpus WHERE label = 1 AND source NOT IN ('src3')), held AS (SELECT * FROM m WHERE source = 'src1'), train AS (SELECT * FROM m WHERE source <> 'src1'),
+picked AS (SELECT 'baseline' AS pool, doc_id FROM base UNION ALL SELECT 'human_training', doc_id FROM k, q WHERE rn <= CASE WHEN ell = 'Yes' THEN y ELSE 25 - y END
+UNION ALL SELECT 'machine_training', doc_id FROM {relational.stratified_sql('train', 25)} UNION ALL SELECT 'machine_heldout', doc_id FROM {relational.stratified_sql('held', 20)})
+SELECT doc_id::VARCHAR AS doc_id, pool, {relational.WC} AS word_count FROM picked JOIN documents USING (doc_id) UNION ALL SELECT 'modern_' || doc_id, 'modern_gen', {relational.WC} FROM documents WHERE source = 'src3'""")
 def target_union(spark, d):
     return scoring_targets(spark, d).select("doc_id", "pool", "word_count")
 
