@@ -110,15 +110,26 @@ def document_means(sentences: DataFrame, key: str) -> DataFrame:
     return sentences.groupBy(key).agg(*(F.avg(c).alias(c) for c in LIKELIHOOD))
 
 
-def score_with(sentences: DataFrame, scorer: Callable[[], Callable[[str, int], list[tuple]]]) -> DataFrame:
-    """Fill the contract through Arrow. ``scorer`` is called once in a task (load the model there) and gives a function of
+#: Scorers that a worker process has made, by name.
+_made: dict[str, Callable[[str, int], list[tuple]]] = {}
+
+
+def score_with(sentences: DataFrame, scorer: Callable[[], Callable[[str, int], list[tuple]]], *, cache: str | None = None) -> DataFrame:
+    """Fill the contract through Arrow. ``scorer`` is called once in a task (load the model there), or with a name to
+    ``cache`` it under once in a worker process, whatever tasks it runs, and gives a function of
     (paragraph up to the sentence's end, start of the sentence in it) that returns (lp, rank, entropy, lp_alt) rows. A
     sentence that fails gives one row with the error, and the others go on. sentences: as ``segment.sentence_offsets``
     makes them, with doc_id as the key."""
     ship(sentences.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer()
+        from inkwell.operators import likelihood  # the worker's own module, which outlives the task
+
+        score = likelihood._made.get(cache) if cache else None
+        if score is None:
+            score = scorer()
+            if cache:
+                likelihood._made[cache] = score
         names = [c.split()[0] for c in CONTRACT.split(", ")]
         for b in batches:
             rows = []

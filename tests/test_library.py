@@ -462,6 +462,20 @@ def test_scorer_failures_stay_apart(spark):
     assert [(r.sentence_index, r.lp_base, r.error) for r in got] == [(0, -1.0, None), (1, None, "RuntimeError: no"), (2, -1.0, None)]
 
 
+def test_scorer_is_kept_in_a_worker(spark):
+    rows = spark.createDataFrame([(str(k), f"Text {k}.") for k in range(64)], "doc_id string, text string").repartition(16)
+
+    def scorer():
+        import uuid
+
+        made = float(uuid.uuid4().int % 10**6)
+        return lambda context, start: [(-made, 1, 0.0, 0.0)]
+
+    sentences = segment.sentence_offsets(rows, "doc_id", "text")
+    kept = likelihood.score_with(sentences, scorer, cache="counting").select("lp_base").distinct().count()
+    assert kept <= spark.sparkContext.defaultParallelism < 16
+
+
 def test_metrics_closed_forms(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 1), (0.8, 0), (0.3, 1), (0.2, 0), (0.1, 0)], "s double, y int")
     assert metrics.auc(df, "s", "y").first().auc == pytest.approx((3 + 2.5 + 2) / 9)
