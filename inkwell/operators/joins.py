@@ -98,3 +98,11 @@ def union_pools(pools: dict[str, DataFrame]) -> DataFrame:
         df = df.withColumn("pool", F.lit(name))
         out = df if out is None else out.unionByName(df)
     return out
+
+
+def union_first(pools: dict[str, DataFrame], key: str) -> DataFrame:
+    """UNION ALL of pools, of which each key keeps the row of the first pool that has it, marked by that pool's name. A pool's
+    own rows must be unique by key."""
+    order = F.array_position(F.array(*map(F.lit, pools)), F.col("pool"))
+    rows = union_pools(pools).withColumn("_order", order)
+    return keep_first(rows, [key], ["_order"]).drop("_order")

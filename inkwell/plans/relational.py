@@ -264,3 +264,12 @@ def windowed_events(spark, d):
     from inkwell.streaming.incremental import windowed_counts
 
     return windowed_counts(ro.table(spark, d, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH u AS (SELECT doc_id, source, 1 AS o, 'spanish' AS pool FROM documents WHERE lang = 'es' UNION ALL SELECT doc_id, source, 2, 'labelled' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, source, 3, 'family' FROM documents WHERE source = 'src2')
+SELECT doc_id, arg_min(source, o) AS source, arg_min(pool, o) AS pool FROM u GROUP BY 1""")
+def union_keep_first(spark, d):
+    rows = ro.docs(spark, d).select("doc_id", "source", "lang")
+    labelled = joins.members(rows, ro.labels(spark, d), "doc_id")
+    pools = {"spanish": rows.where("lang = 'es'"), "labelled": labelled, "family": rows.where("source = 'src2'")}
+    return joins.union_first({k: v.select("doc_id", "source") for k, v in pools.items()}, "doc_id")
