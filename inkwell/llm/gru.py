@@ -74,6 +74,12 @@ class Gru:
             h = np.add(c, change, out=out[t])
         return out, h.copy()
 
+    def bounded(self) -> bool:
+        """States lie between -1 and 1, so weights bound the logits. Where no exponential can overflow, logits needn't be
+        shifted by their maximum first."""
+        p = self.p
+        return all(float((np.abs(p[w]).sum(0) + p[b]).max(initial=0)) < 60 for w, b in (("wc", "bc"), ("ww", "bw")))
+
     def by_class(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows in order of their class, and where each class begins."""
         order = np.argsort(c.astype(np.int16), kind="stable")
@@ -86,8 +92,11 @@ class Gru:
         h, y = h[order].T, y[order]
         c, rows = self.class_of[y], np.arange(len(y))
 
+        shift = not self.bounded()
+
         def chosen(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-            logits -= logits.max(0)
+            if shift:
+                logits -= logits.max(0)
             got = logits[which, rows[: len(which)]]
             return got - np.log(np.exp(logits, out=logits).sum(0))
 
@@ -110,9 +119,12 @@ class Gru:
         flat, target = out.reshape(-1, n)[order].T, y.ravel()[order]
         c, rows = self.class_of[target], np.arange(len(target))
 
+        shift = not self.bounded()
+
         def softmax(d: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, float]:
             """The loss's slope by the logits, which stand in columns, and the loss."""
-            d -= d.max(0)
+            if shift:
+                d -= d.max(0)
             np.exp(d, out=d)
             d /= d.sum(0)
             picked = d[which, rows[: len(which)]]

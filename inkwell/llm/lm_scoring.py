@@ -145,8 +145,9 @@ class WordModel:
         self.unknown = (total["once"] + 1) / (rest + 1)
         self.known_share = (1 - self.unknown) / max(rest, 1)
         self.chars = chars
-        self.base = np.log10(counts + 1.0)
-        self.known = counts > 0
+        # a last entry stands for words beyond the head, whose number is -1
+        self.token, self.inside = np.append(self.token, self.rest).astype(np.int16), np.append(self.inside, 0.0)
+        self.base, self.known = np.append(np.log10(counts + 1.0), 0.0), np.append(counts > 0, False)
         self.norm = float(np.log10(total["n"] + total["words"] + 1))
         self.gru = Gru(counts[: len(own)].astype(float), mass)
 
@@ -159,8 +160,7 @@ class WordModel:
         """Head numbers (-1: not in the head), tokens of the model, and the words that are not in the head."""
         words = text.translate(LOWER).split()
         k = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        token = np.where(k >= 0, self.token[k], self.rest)
-        return k, token.astype(np.int16), [words[j] for j in np.flatnonzero(k < 0).tolist()]
+        return k, self.token[k], [words[j] for j in np.flatnonzero(k < 0).tolist()]
 
 
 def fit_chars(counts: DataFrame) -> CharModel:
@@ -298,9 +298,8 @@ def score_texts(docs: DataFrame, model: WordModel, counts: DataFrame, total: dic
                 keys, mores, rare, ns = [], [], [], []
                 for i, t, key, more in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
                     k, token, beyond = m.ids(t or b"")
-                    hit = k[k >= 0]
                     end = m.number[END]
-                    waiting.append((i, key, more, len(k) + 1, int(m.known[hit].sum()) + int(m.known[end]), float(m.base[hit].sum() + m.base[end]), float(m.inside[hit].sum()), token))
+                    waiting.append((i, key, more, len(k) + 1, int(m.known[k].sum()) + int(m.known[end]), float(m.base[k].sum() + m.base[end]), float(m.inside[k].sum()), token))
                     tokens += len(k) + 1
                     found = Counter(beyond)
                     keys += [key] * len(found)

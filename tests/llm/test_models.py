@@ -57,6 +57,9 @@ def test_score_is_a_distribution():
     p = np.exp([g.logp(h[0], np.array([k]))[0] for k in range(22)])
     assert p.sum() == pytest.approx(1, abs=1e-4)
     assert math.exp(end) == pytest.approx(p[0], rel=1e-4) and (first < 0).all()
+    assert g.bounded()
+    g.p["bc"] += 100  # the same for all classes: nothing changes, but the logits have to be shifted
+    assert not g.bounded() and np.exp([g.logp(h[0], np.array([k]))[0] for k in range(22)]) == pytest.approx(p, rel=1e-3)
 
 
 def invented(rng, texts, words, size=60):
