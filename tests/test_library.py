@@ -610,3 +610,33 @@ def test_generated_manifests_skip_absent_sets(spark, tmp_path):
     spark.createDataFrame([("e", "m", "bare", "T", 9)], "essay_id string, model string, condition string, topic string, word_count long").write.parquet(f"{tmp_path}/modern/checkpoint.parquet")
     got = manifest.build_generated(spark, str(tmp_path), joined, "o")
     assert list(got) == ["machine_modern"] and got["machine_modern"].first().generator == "m"
+
+
+def test_one_pass_over_texts(spark):
+    """Features are one Arrow pass without expressions over arrays, and say what the expressions say."""
+    import random
+
+    r = random.Random(5)
+    parts = ["a", "B", "and", "or", "not", "just", "but", "also", ",", ", ", "; ", "—", "--", "\n", ".", "é", "Σ", "ß", "²", "٣", "4,5", "one", "could of", "_", "red", "blue", "中文", "𝒳"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randint(0, 120))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = stylometry.native_features(df, "id")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "lambda" not in plan
+    t = F.col("text")
+    want = df.select("id", F.size(tx.lists(t)).alias("n_lists_detected"), F.size(tx.alpha_words(t)).alias("n_words"), tx.count_homophones(t).alias("h"), tx.count_pattern(t, tx.NOT_JUST_BUT).alias("b"))
+    for a, b in zip(rows.orderBy("id").collect(), want.orderBy("id").collect()):
+        assert (a.n_lists_detected, a.n_words) == (b.n_lists_detected, b.n_words)
+        per100 = 100 / b.n_words if b.n_words else 0
+        assert (a.homophone_error_rate, a.template_rate) == pytest.approx((b.h * per100, (b.b + b.n_lists_detected) * per100))
+
+
+def test_frequent_words_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"cats run fast and word{'abcdefgh'[k % 8]} stays {'odd' if k == 1 else 'even'}.") for k in range(20)], "doc_id int, text string")
+    known = stylometry.lexicon(df, "text", 2)
+    assert {r.df for r in known.collect()} >= {20}
+    got = []
+    for most in (0, 3, 1000):
+        monkeypatch.setattr(stylometry, "MOST_KNOWN", most)
+        got.append(sorted(map(tuple, stylometry.spelling_rate(df, "doc_id", known).collect())))
+    assert got[0] == got[1] == got[2] and sum(r[2] for r in got[0]) == 1
