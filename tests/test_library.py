@@ -640,3 +640,25 @@ def test_frequent_words_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(stylometry, "MOST_KNOWN", most)
         got.append(sorted(map(tuple, stylometry.spelling_rate(df, "doc_id", known).collect())))
     assert got[0] == got[1] == got[2] and sum(r[2] for r in got[0]) == 1
+
+
+def test_blocks_score_as_one_table(spark, monkeypatch):
+    """Scores by blocks and buckets are those of the joined tables, and tokens are not shuffled."""
+    from inkwell.operators import corpus_scores
+
+    texts = ["The cat sat. The cat ran! A dog sat?", "a dog ran. The end", "", None, "one", "..", "Élan vital. the cat sat on the mat, the cat sat on the dog"] * 3
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    alt = df.where("doc_id % 3 = 0").select("doc_id")
+    grams = likelihood.bigrams(df, "doc_id", "text").join(alt.withColumn("good", F.lit(True)), "doc_id", "left")
+    want = likelihood.score_corpus(grams, F.coalesce("good", F.lit(False)), "doc_id").orderBy("doc_id", "sent", "tok").collect()
+    for size in (10_000, 40):
+        monkeypatch.setattr(corpus_scores, "BLOCK", size)
+        monkeypatch.setattr(corpus_scores, "BUCKET", size)
+        out = corpus_scores.score(df, alt, "doc_id", "text")
+        assert out._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+        got = out.orderBy("doc_id", "sent", "tok").collect()
+        assert len(got) == len(want) and all(tuple(a) == pytest.approx(tuple(b)) for a, b in zip(got, want))
+    features = corpus_scores.score(df, alt, "doc_id", "text", corpus_scores.SENTENCES, corpus_scores.sentence_rows)
+    plain = likelihood.sentence_features(spark.createDataFrame(want), ["doc_id", "sent"]).select(*features.columns)
+    for a, b in zip(features.orderBy("doc_id", "sent").collect(), plain.orderBy("doc_id", "sent").collect()):
+        assert tuple(a) == pytest.approx(tuple(b))
