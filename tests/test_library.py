@@ -662,3 +662,15 @@ def test_blocks_score_as_one_table(spark, monkeypatch):
     plain = likelihood.sentence_features(spark.createDataFrame(want), ["doc_id", "sent"]).select(*features.columns)
     for a, b in zip(features.orderBy("doc_id", "sent").collect(), plain.orderBy("doc_id", "sent").collect()):
         assert tuple(a) == pytest.approx(tuple(b))
+
+
+def test_offsets_without_a_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "One. Two two!  Three\n\n Four. " + "x. " * 20), ("b", ""), ("c", None), ("d", "...\n\n!?")], "doc_id string, text string")
+    got = []
+    for run in (256, 3):
+        monkeypatch.setattr(segment, "RUN", run)
+        rows = segment.sentence_offsets(df, "doc_id", "text")
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        got.append(rows.collect())
+    assert got[0] == got[1] and len(got[0]) == 24
+    assert all(r.paragraph[r.char_start : r.char_end].strip() == r.text for r in got[0])
