@@ -674,3 +674,43 @@ def test_offsets_without_a_shuffle(spark, monkeypatch):
         got.append(rows.collect())
     assert got[0] == got[1] and len(got[0]) == 24
     assert all(r.paragraph[r.char_start : r.char_end].strip() == r.text for r in got[0])
+
+
+def test_logistic_fits_are_the_optimum(spark):
+    """Fits side by side end where plain gradient steps end, whatever rows each leaves out, and in few jobs."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    data = [(i % 3, float(r.random() < 0.5), r.gauss(0, 1), r.gauss(0, 3)) for i in range(240)]
+    data = [(f, y, a + y, b) for f, y, a, b in data]
+    df = spark.createDataFrame(data, "_fold int, label double, a double, b double").coalesce(2)
+    fits = [model.Fit(["a", "b"]), model.Fit(["b", "a"], without=1), model.Fit(["a"], 0.0, only=2), model.Fit([])]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fits", "fits")
+    found = model.solve(df, fits, "label")
+    assert len(tracker.getJobIdsForGroup("fits")) < 15
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for f, m in zip(fits, found):
+        rows = np.array([(1.0, *({"a": a, "b": b}[c] for c in f.features), y) for k, y, a, b in data if k != f.without and f.only in (None, k)])
+        x, y, w = rows[:, :-1], rows[:, -1], np.zeros(len(f.features) + 1)
+        for _ in range(20_000):
+            w -= 0.002 * (x.T @ (1 / (1 + np.exp(-x @ w)) - y) + f.penalty * w * (np.arange(len(w)) > 0))
+        assert [m.intercept, *m.coefficients] == pytest.approx(list(w), abs=1e-5)
+
+
+def test_few_jobs_for_an_ablation(spark):
+    """Families and folds share their jobs; values are those of each fitted by itself."""
+    import random
+
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, i % 2, r.gauss(i % 2, 1), r.gauss(i % 2, 2)) for i in range(300)], "id long, label int, a_z double, em_dash_rate_z double")
+    spark.sparkContext.setJobGroup("ablation", "ablation")
+    got = dict(model.ablation(df, "id", ["a_z", "em_dash_rate_z"]))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ablation")) < 80
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    parts = sampling.train_test(df, "id", "label").cache()
+    for name, left in (("full_model", ["a_z", "em_dash_rate_z"]), ("without_punctuation_construction", ["a_z"])):
+        alone = model.fit(parts.where("split = 'train'"), "id", left, method="sigmoid", folds=2, plain=False)
+        assert got[name] == pytest.approx(metrics.auc(alone.score(parts.where("split = 'test'")), "probability", "label").first().auc)
