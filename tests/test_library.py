@@ -714,3 +714,15 @@ def test_few_jobs_for_an_ablation(spark):
     for name, left in (("full_model", ["a_z", "em_dash_rate_z"]), ("without_punctuation_construction", ["a_z"])):
         alone = model.fit(parts.where("split = 'train'"), "id", left, method="sigmoid", folds=2, plain=False)
         assert got[name] == pytest.approx(metrics.auc(alone.score(parts.where("split = 'test'")), "probability", "label").first().auc)
+
+
+def test_consistency_reads_its_rows_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(k, k % 3, float(k * k % 7)) for k in range(30)], "id int, doc int, x double").mapInArrow(seen, "id int, doc int, x double")
+    assert baseline.consistency(df, ["x"], "doc").count() == 30 and runs.value == 30
