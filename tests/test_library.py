@@ -1,5 +1,6 @@
 """Behaviour of the library's own operators on small inline frames."""
 
+import hashlib
 import math
 import unicodedata
 
@@ -726,3 +727,28 @@ def test_consistency_reads_its_rows_once(spark):
 
     df = spark.createDataFrame([(k, k % 3, float(k * k % 7)) for k in range(30)], "id int, doc int, x double").mapInArrow(seen, "id int, doc int, x double")
     assert baseline.consistency(df, ["x"], "doc").count() == 30 and runs.value == 30
+
+
+def test_synonyms_without_a_row_for_each_token(spark, monkeypatch):
+    """A text is changed alike whether its words go to all tasks or are looked up, and tokens are not shuffled."""
+    texts = ["The (quick) Fox, the fox; A fox's den  fox!", "", None, "Élan  Ünder the fox.", "nothing known"] * 4
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, x string")
+    table = spark.createDataFrame([("fox", "wolf", 3), ("the", "one", 9), ("the", "two", 9), ("élan", "verve", 2), ("ünder", "over", 1), ("quick", None, 5)], "word string, synonym string, df int")
+    got = []
+    for most, known in ((100, table), (1, table), (1, table.drop("df"))):
+        monkeypatch.setattr(attacks, "MOST_KNOWN", most)
+        out = attacks.swap_from_table(df, "id", "x", known, rate=0.6)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange" in plan) == (most == 1) and "posexplode" not in plan.lower()
+        got.append({r.id: r.attacked for r in out.collect()})
+    assert got[0] == got[1] == got[2] and set(got[0]) == {k for k, t in enumerate(texts) if t is not None}
+    want = {}
+    for k, t in enumerate(texts):
+        tokens = (t or "").split(" ")
+        for i, x in enumerate(tokens):
+            core = x.strip("().,;!")
+            other = {"fox": "wolf", "the": "one", "élan": "verve", "ünder": "over"}.get(core.lower())
+            if other and int(hashlib.sha256(f"42:{k}:{i}".encode()).hexdigest()[:4], 16) < int(0.6 * 65536):
+                tokens[i] = x.replace(core, other.capitalize() if core[0].isupper() else other, 1)
+        want[k] = " ".join(tokens)
+    assert got[0] == {k: want[k] for k in got[0]} and any(want[k] != t for k, t in enumerate(texts) if t)
