@@ -717,16 +717,25 @@ def test_few_jobs_for_an_ablation(spark):
         assert got[name] == pytest.approx(metrics.auc(alone.score(parts.where("split = 'test'")), "probability", "label").first().auc)
 
 
-def test_consistency_reads_its_rows_once(spark):
-    runs = spark.sparkContext.accumulator(0)
-
-    def seen(batches):
-        for b in batches:
-            runs.add(b.num_rows)
-            yield b
+def test_trained_counts_score_other_texts(spark, monkeypatch):
+    """Texts that the models haven't seen are scored as by joins with their tables, whatever the blocks."""
+    from inkwell.operators import corpus_scores
 
-    df = spark.createDataFrame([(k, k % 3, float(k * k % 7)) for k in range(30)], "id int, doc int, x double").mapInArrow(seen, "id int, doc int, x double")
-    assert baseline.consistency(df, ["x"], "doc").count() == 30 and runs.value == 30
+    corpus = spark.createDataFrame([(k, t) for k, t in enumerate(["The cat sat. The cat ran! A dog sat?", "a dog ran. The end", "", "Élan vital. the cat sat on the mat, the cat sat on the dog"] * 3)], "doc_id int, text string")
+    alt = corpus.where("doc_id % 3 = 0").select("doc_id")
+    others = spark.createDataFrame([("x", "The cat saw a dog.\n\nUnheard of words here. A dog ran! One"), ("y", "the cat sat on the cat. " * 3), ("z", None), ("w", "")], "doc_id string, text string")
+    grams = likelihood.bigrams(corpus, "doc_id", "text")
+    tables = likelihood.train_bigram(grams), likelihood.train_bigram(grams.join(alt, "doc_id", "left_semi"))
+    for every, size in ((True, 40), (False, 10_000)):
+        plain = drivers.bigram_scorer(*tables, every=every)(others)
+        want = plain.orderBy("doc_id", "paragraph_index", "sentence_index").collect()
+        monkeypatch.setattr(corpus_scores, "BLOCK", size)
+        monkeypatch.setattr(corpus_scores, "BUCKET", size)
+        counted = corpus_scores.train(corpus, alt, "doc_id", "text")
+        out = drivers.corpus_scorer(counted, every=every)(others)
+        assert not set(plain.columns) ^ set(out.columns) and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = out.select(plain.columns).orderBy("doc_id", "paragraph_index", "sentence_index").collect()
+        assert len(got) == len(want) > 3 and all(a[:4] == b[:4] and a[4:-1] == pytest.approx(b[4:-1]) for a, b in zip(got, want))
 
 
 def test_synonyms_without_a_row_for_each_token(spark, monkeypatch):
@@ -752,3 +761,15 @@ def test_synonyms_without_a_row_for_each_token(spark, monkeypatch):
                 tokens[i] = x.replace(core, other.capitalize() if core[0].isupper() else other, 1)
         want[k] = " ".join(tokens)
     assert got[0] == {k: want[k] for k in got[0]} and any(want[k] != t for k, t in enumerate(texts) if t)
+
+
+def test_consistency_reads_its_rows_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(k, k % 3, float(k * k % 7)) for k in range(30)], "id int, doc int, x double").mapInArrow(seen, "id int, doc int, x double")
+    assert baseline.consistency(df, ["x"], "doc").count() == 30 and runs.value == 30
