@@ -11,6 +11,7 @@ from inkwell.functions import stats
 from inkwell.functions import stats as st
 from inkwell.functions import text as tx
 from inkwell.operators import annotate, attacks, baseline, drivers, generate, joins, likelihood, manifest, metrics, model, sampling, segment, stylometry
+from inkwell.plans import textual
 from inkwell.runtime import shared_folder
 from inkwell.sources import checkpoint, corpora
 from inkwell.streaming import incremental
@@ -677,6 +678,57 @@ def test_offsets_without_a_shuffle(spark, monkeypatch):
     assert all(r.paragraph[r.char_start : r.char_end].strip() == r.text for r in got[0])
 
 
+def measured():
+    """A scorer whose rows tell what it was given; sentences with Bad fail."""
+
+    def score(context, start):
+        if "Bad" in context[start:]:
+            raise RuntimeError("no")
+        return [(float(-len(context)), start, float(k), float(ord(context[-1]))) for k in range(len(context[start:].split()))]
+
+    return score
+
+
+ODD = [
+    ("a", "One. Two two!  Three\n\n\n\n Four. " + "x. " * 20), ("a", "Other text. Of the same id"), ("b", ""), ("c", None), ("d", "...\n\n!?"), ("e", "...Well. Bad one? \u2003\u00a0Good\x1cone!!\n \nmore"),
+    ("f", "\U0001f600 smile. \U00020000\U00020001? e\u0301 end"), (None, "No id. Bad"), ("g", " \n\n \u2028 . . .\n\nA\n\n"),
+]
+
+
+def test_paragraphs_go_to_the_scorer_once(spark, tmp_path):
+    df = spark.createDataFrame(ODD, "doc_id string, text string")
+    out = likelihood.score_paragraphs(segment.paragraphs(df, "doc_id", "text"), measured)
+    got = sorted(map(repr, out.collect()))
+    assert got == sorted(map(repr, likelihood.score_with(segment.sentence_offsets(df, "doc_id", "text"), measured).collect())) and len(got) > 40
+    assert {(r.doc_id, r.tok, r.lp_base, r.error) for r in out.where("error is not null").collect()} == {("e", None, None, "RuntimeError: no"), (None, None, None, "RuntimeError: no")}
+    # a row is a paragraph until the scorer has it: no sentence carries what is before it
+    df.withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = textual.Q["scorer_seam"](spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    assert sorted(r.tok for r in rows.where("doc_id = 'a'").collect()) == [0, 0, 0, 1, 2]  # "Two two!", "Other text.", "Of the same id"
+
+
+def test_scored_rows_are_the_same_in_any_batches(monkeypatch):
+    asked = [(d, 0, k, t[:end], start) for d, t in ODD for k, (start, end) in enumerate(segment.offsets(t or ""))]
+    whole = [r for b in likelihood._filled(asked, measured()) for r in b.to_pylist()]
+    monkeypatch.setattr(likelihood, "ROWS", 2)
+    parts = list(likelihood._filled(asked, measured()))
+    assert [r for b in parts for r in b.to_pylist()] == whole and max(b.num_rows for b in parts) == 2
+    uneven = [r for b in likelihood._filled(asked[:1], lambda context, start: [(-1.0, 1, 1.0, -1.0), (-1.0, 1)]) for r in b.to_pylist()]
+    assert len(uneven) == 1 and uneven[0]["error"].startswith("ValueError")
+
+
+def test_token_scorer_scores_what_is_sampled(spark):
+    df = spark.createDataFrame([(k, f"Some{k} text. " * 9 + "\n\n" + f"And {k} words more! " * (k + 1)) for k in range(12)], "doc_id long, text string")
+    got = drivers.token_scorer(measured)(df)
+    want = drivers.sampled(df)
+    place = ["doc_id", "paragraph_index", "sentence_index"]
+    assert sorted(got.select(*place).collect()) == sorted(want.select(*place).collect()) and got.count() == 36
+    key = segment.sentence_offsets(df, "doc_id", "text").select(*place, "char_end")
+    assert got.join(key, place).where("mean_logprob = -char_end").count() == 36
+    assert "char_end" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_logistic_fits_are_the_optimum(spark):
     """Fits side by side end where plain gradient steps end, whatever rows each leaves out, and in few jobs."""
     import random
